@@ -14,12 +14,13 @@ filter) unless both lists are at most 4 t long; only such lines are paired. That
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import materialize
 from .components import connected_components
@@ -99,33 +100,56 @@ def within(a: str, b: str, t: int) -> bool:
     return any(r >> end & 1 for r in rows)
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    split = F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)).alias("line_no", "raw")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), split)
+def _lines(text: str | None, min_chars: int) -> Iterator[tuple[int, int, str]]:
+    """(line number, hash, line with white space collapsed) of the lines of at least min_chars."""
+    for no, raw in enumerate((text or "").split("\n")):
+        line = " ".join(raw.split())
+        if len(line) >= min_chars:
+            yield no, xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42), line
 
 
-def _normal(raw: str | Column) -> Column:
-    return F.trim(F.regexp_replace(raw, r"\s+", " "))
+def _signed(value: int) -> int:
+    return (value ^ (1 << 63)) - (1 << 63)
 
 
-def _keyed(rows: DataFrame) -> DataFrame:
-    """(h, key) of every different line (within each task) of rows(h, line)."""
+def _places(docs: DataFrame, min_chars: int) -> DataFrame:
+    """(doc_id, line_no, h) of every line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(d, no, _signed(h)) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for no, h, _ in _lines(t, min_chars)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 3, (pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["doc_id", "line_no", "h"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, line_no int, h long")
+
+
+def _different(docs: DataFrame, min_chars: int, of: Callable[[str], list], kind: pa.DataType, schema: str) -> DataFrame:
+    """(h, one value of `of`) for every different line within each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            hs, ks = [], []
-            for h, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if h not in seen:
-                    seen.add(h)
-                    k = keys(line)
-                    ks += k
-                    hs += [h] * len(k)
-            if len(seen) > 300_000:
-                seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(ks, pa.int64())], names=["h", "key"])
+            for at in range(0, batch.num_rows, 500):
+                hs, values = [], []
+                for t in batch.column(0)[at : at + 500].to_pylist():
+                    for _, h, line in _lines(t, min_chars):
+                        if h not in seen:
+                            seen.add(h)
+                            got = of(line)
+                            values += got
+                            hs += [_signed(h)] * len(got)
+                if len(seen) > 300_000:
+                    seen.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(values, kind)], names=["h", "value"])
 
-    return rows.mapInArrow(run, "h long, key long")
+    return docs.select("text").mapInArrow(run, schema)
+
+
+def parity(line: str) -> int:
+    """Bit i: whether the letter pairs hashed to i are odd in number. An edit flips at most four bits."""
+    code = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
+    odd = np.bincount((code[:-1] * np.uint32(37) + code[1:] * np.uint32(101)) % 64, minlength=64) & 1
+    return int(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)[0])
 
 
 def _apart(rows: DataFrame) -> DataFrame:
@@ -149,22 +173,33 @@ def _apart(rows: DataFrame) -> DataFrame:
 
 
 def _pairs(met: DataFrame, by: str) -> DataFrame:
+    """Pairs of lines that meet at a key and whose parities allow two edits."""
     a, b = met.alias("a"), met.alias("b")
-    return a.join(b, (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col("a.h") < F.col("b.h"))).select(F.col("a.h").alias("a"), F.col("b.h").alias("b")).distinct()
+    near = F.bit_count(F.col("a.odd").bitwiseXOR(F.col("b.odd"))) <= 8
+    return a.join(b, (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col("a.h") < F.col("b.h")) & near).select(F.col("a.h").alias("a"), F.col("b.h").alias("b")).distinct()
 
 
-def similar_lines(lines: DataFrame, pair_limit: int = 40) -> DataFrame:
-    """lines(h, line): links (a, b) between the hashes of different lines within the allowed edits."""
-    keyed = _keyed(lines).select("h", F.expr("shiftright(key, 1)").alias("key"), F.col("key").bitwiseAND(1).alias("own"))
+def similar_lines(docs: DataFrame, min_chars: int = 40, pair_limit: int = 40) -> DataFrame:
+    """Links (a, b) between the hashes of different lines of docs(text) within the allowed edits."""
+    keyed = _different(docs, min_chars, keys, pa.int64(), "h long, value long").select("h", F.expr("shiftright(value, 1)").alias("key"), F.col("value").bitwiseAND(1).alias("own"))
     over = Window.partitionBy("key")
-    met = keyed.distinct().select("h", "key", F.min("h").over(over).alias("lo"), F.max("h").over(over).alias("hi"), F.max("own").over(over).alias("own"), F.count("*").over(over).alias("n"))
+    met = keyed.select("h", "key", F.min("h").over(over).alias("lo"), F.max("h").over(over).alias("hi"), F.max("own").over(over).alias("own"), F.count("*").over(over).alias("n"))
     met = materialize(met.filter("lo < hi and own = 1").select("h", "key", "n", "lo").distinct(), "met")
-    texts = materialize(lines.join(met.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")), "texts")
+    lines = _different(docs, min_chars, lambda line: [line], pa.string(), "h long, value string").withColumnRenamed("value", "line")
+
+    def odds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            odd = pa.array([parity(x) for x in batch.column(1).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), odd], names=["h", "line", "odd"])
+
+    texts = lines.join(met.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
+    texts = materialize(texts.mapInArrow(odds, "h long, line string, odd long"), "texts")
     few, crowd = met.filter(F.col("n") <= pair_limit), met.filter(F.col("n") > pair_limit)
-    candidates = _pairs(few.select("h", "key"), "key")
+    candidates = _pairs(few.select("h", "key").join(texts.select("h", "odd"), "h"), "key")
     if not crowd.isEmpty():
         told = crowd.join(texts, "h").join(texts.select(F.col("h").alias("lo"), F.col("line").alias("hub")), "lo")
-        candidates = candidates.union(_pairs(_apart(told.select("h", "key", "line", "hub")).distinct(), "token")).distinct()
+        apart = _apart(told.select("h", "key", "line", "hub")).distinct().join(texts.select("h", "odd"), "h")
+        candidates = candidates.union(_pairs(apart, "token")).distinct()
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -182,12 +217,11 @@ def repeated(docs: DataFrame, min_chars: int = 40) -> DataFrame:
     Lines are numbered from 0. A class is what links within the allowed edits connect (equal lines are linked); its first
     line is the one of the smallest (doc_id, line_no). Lines under min_chars and rows with a null id are left out.
     """
-    lines = _lines(docs.filter("doc_id is not null")).select("doc_id", "line_no", _normal("raw").alias("line")).filter(F.length("line") >= min_chars)
-    lines = lines.withColumn("h", F.xxhash64("line"))
-    links = connected_components(similar_lines(lines.select("h", "line")))
+    docs = docs.filter("doc_id is not null")
+    places = materialize(_places(docs, min_chars), "places")
+    links = connected_components(similar_lines(docs, min_chars))
     links = links.select(F.col("node").alias("h"), "component")
     roots = links.select(F.col("component").alias("h"), "component").distinct()
-    places = lines.select("h", "doc_id", "line_no")
     first = places.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
     first = first.join(links.union(roots), "h", "left").withColumn("class", F.coalesce("component", "h"))
     heads = first.groupBy("class").agg(F.min("first").alias("head"), F.sum("n").alias("n")).filter("n > 1")
