@@ -21,7 +21,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), path)
-    found = warc.captures(spark, path)
+    found = warc.captures(spark, path, payloads=False)
     return found.select("page_id", "response.payload_bytes", "response.payload_digest", F.col("type").alias("record_type"), "refers_to")
 
 

@@ -13,6 +13,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .common import materialize
+
 GAP = "\r\n\r\n"
 MIN_BYTES = 100
 
@@ -34,6 +36,7 @@ def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", per_f
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     sized = rows.withColumns({"digest": F.sha2(F.col("html").cast("binary"), 256), "bytes": F.octet_length("html")})
     first = sized.filter(F.col("bytes") >= MIN_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").select("digest", "first")
+    first = materialize(first, "first")  # its size is known then: the payloads are only shuffled if it is large
     told = sized.join(first, "digest", "left").withColumn("again", F.coalesce(~F.col("page_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull(), F.lit(False)))
     uri = F.col("url")
     for code in (9, 10, 13, 32):
@@ -98,14 +101,16 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(run, ", ".join(f"{c} string" for c in FIELDS.values()) + ", payload binary")
 
 
-def captures(spark: SparkSession, path: str) -> DataFrame:
+def captures(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """One row per capture: page_id, uri, type, refers_to, and the nested records response, request and metadata.
 
     The response of a revisit has the bytes and digest of the payload that it refers to (by digest), and no payload.
-    Records without partners leave nulls. An archive without records gives an empty table.
+    payloads=False leaves the payloads
+    out after they are read and digested, so that joins don't move them. Records without partners leave nulls. An archive without records gives an empty table.
     """
     all_ = records(spark, path)
     main = all_.filter("type in ('response', 'revisit')").withColumns({"bytes": F.octet_length("payload").cast("long"), "sha256": F.sha2("payload", 256)})
+    main = main if payloads else main.drop("payload")
     stored = main.filter(f"type = 'response' and bytes >= {MIN_BYTES}").groupBy("sha256").agg(F.max("bytes").alias("full_bytes"))
     stored = stored.withColumnRenamed("sha256", "full_sha256")
     found = main.withColumn("want", F.when(F.col("type") == "revisit", F.substring("digest", 8, 64))).join(stored, F.col("want") == F.col("full_sha256"), "left")
@@ -117,7 +122,7 @@ def captures(spark: SparkSession, path: str) -> DataFrame:
     rows = found.join(asked, F.col("record_id") == F.col("q_to"), "left").join(noted, F.col("record_id") == F.col("m_to"), "left")
     return rows.select(
         F.expr("try_cast(page_id as long)").alias("page_id"), "uri", "type", F.expr("try_cast(refers_to as long)").alias("refers_to"),
-        F.struct("record_id", "date", "payload", F.when(again, F.col("full_bytes")).otherwise(F.col("bytes")).alias("payload_bytes"), F.when(again, F.col("full_sha256")).otherwise(F.col("sha256")).alias("payload_digest")).alias("response"),
+        F.struct("record_id", "date", *["payload"] * payloads, F.when(again, F.col("full_bytes")).otherwise(F.col("bytes")).alias("payload_bytes"), F.when(again, F.col("full_sha256")).otherwise(F.col("sha256")).alias("payload_digest")).alias("response"),
         F.struct(F.col("q_id").alias("record_id"), F.col("q_block").alias("block")).alias("request"),
         F.struct(F.col("m_id").alias("record_id"), F.col("m_block").alias("block")).alias("metadata"),
     )
