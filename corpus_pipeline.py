@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hyperslice.llm import decontam, linededup, packing, simhash, toxicity
+from hyperslice.llm import decontam, linededup, nearcopies, packing, toxicity
 from hyperslice.llm.common import id_bucket, materialize, table
 
 
@@ -24,8 +24,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that SimHash links (five-word shingles), the one with the smallest id stays; null ids stay."""
-    found = simhash.near_duplicates(docs, shingle=5, distance=2)
+    """Of documents that SimHash links (five-word shingles, similarity 0.8), the one with the smallest id stays; null ids stay."""
+    found = nearcopies.near_copies(docs, shingle=5, least=0.8)
     gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

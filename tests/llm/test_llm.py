@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hyperslice.llm import components, decontam, hashing, htmltext, license, linededup, lm, packing, queries, simhash, topk, toxicity, warc
+from hyperslice.llm import components, decontam, hashing, htmltext, license, linededup, lm, nearcopies, packing, queries, simhash, topk, toxicity, warc
 from hyperslice.llm.common import crc_mod, id_bucket, new_path, table
 
 SF = "/root/testdata/sf0.001"
@@ -88,6 +88,55 @@ def test_simhash_links_of_crowded_keys(spark, distance):
     assert {i: got.get(i, i) for i in want} == want
 
 
+def test_near_copies_against_brute_force(spark):
+    """Scattered changes at similarity 0.8 or more are found; texts well below stay apart."""
+    rng = np.random.default_rng(3)
+    texts = []
+    for _ in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 100_000, 400)]
+        texts.append(" ".join(words))
+        for changes in (0, 2, 5, 8, 25, 60):
+            copy = list(words)
+            for at in rng.choice(400, changes, replace=False):
+                copy[at] = f"x{rng.integers(0, 100_000)}"
+            texts.append(" ".join(copy))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(396)} for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["component_id"] for r in nearcopies.near_copies(docs).collect()}
+    linked = far = 0
+    for base in range(0, len(texts), 7):
+        for i in range(base + 1, base + 7):
+            near = len(sets[base] & sets[i]) / len(sets[base] | sets[i])
+            if near >= 0.82:
+                linked += 1
+                assert got[i] == base
+            elif near < 0.7:
+                far += 1
+                assert got[i] == i
+    assert linked > 150 and far > 100
+
+
+def test_near_copies_of_crowded_keys(spark):
+    """A large group of near copies becomes one component through the longer keys and their first members."""
+    rng = np.random.default_rng(5)
+    words = [f"w{x}" for x in range(300)]
+    texts = []
+    for i in range(200):
+        copy = list(words)
+        copy[int(rng.integers(0, 300))] = f"x{i}"
+        texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    prints = nearcopies.sketches(docs)
+    assert nearcopies.candidates(prints, pair_limit=8).count() < 200 * 199 / 2
+    assert {r["component_id"] for r in nearcopies.near_copies(docs).collect()} == {0}
+
+
+def test_near_copies_odd_rows(spark):
+    got = nearcopies.near_copies(odd(spark)).collect()
+    assert len(got) == odd(spark).filter("doc_id is not null").count()
+    assert nearcopies.near_copies(empty(spark)).count() == 0
+
+
 def test_simhash_odd_rows(spark):
     got = simhash.near_duplicates(odd(spark)).collect()
     assert len(got) == 10 and {r["component_id"] for r in got if r["doc_id"] in (1, 2, 6)} == {1} and {r["component_id"] for r in got if r["doc_id"] in (3, 5)} == {3}
