@@ -10,8 +10,9 @@ whose first l segments hold at most floor(l * BUDGET / SEGMENTS) differing ones,
 first two, at most one of the first four. So the first two and the third or the fourth agree, which makes the index key;
 pairs that meet at a key must pass the whole chain and are then compared by their shingles.
 
-Where over `pair_limit` texts meet at a key, the keys are lengthened by two more of the chain's next four segments;
-where even so over `pair_limit` meet, each is compared with the first of them only.
+Where over `pair_limit` texts meet at a key, each is compared with the first of them; for those that are not near copies
+of it, the key is lengthened by two more of the chain's next four segments, and they are paired with each other (with the
+first only, where over `pair_limit` still meet).
 """
 
 from __future__ import annotations
@@ -128,20 +129,42 @@ def _pairs(met: DataFrame, segs: DataFrame) -> DataFrame:
     return both.filter(_chain("x", "y")).select("a", "b")
 
 
-def candidates(nodes: DataFrame, pair_limit: int = 32) -> DataFrame:
-    """nodes(node, segs) -> different pairs (a, b) that pass a chain."""
+def _check(pairs: DataFrame, nodes: DataFrame, least: float, name: str) -> DataFrame:
+    """The pairs (a, b) whose sets have at least this similarity."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            ok = [similarity(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) >= least for x, y in zip(frame["x"], frame["y"], strict=True)]
+            yield frame.loc[ok, ["a", "b"]]
+
+    left = pairs.distinct().join(nodes.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a")
+    both = left.join(nodes.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
+    return materialize(both.select("a", "b", "x", "y").mapInPandas(run, "a long, b long"), name)
+
+
+def _stars(met: DataFrame, segs: DataFrame) -> DataFrame:
+    """The first text of each key with every other one whose chain passes."""
+    others = met.filter("node <> lo").select("slot", "node", "lo").distinct().join(segs, "node")
+    both = others.join(segs.select(F.col("node").alias("lo"), F.col("segs").alias("first")), "lo")
+    return both.filter(_chain("first", "segs")).select(F.col("lo").alias("a"), F.col("node").alias("b"))
+
+
+def links(nodes: DataFrame, least: float = 0.8, pair_limit: int = 32) -> DataFrame:
+    """nodes(node, segs, sketch) -> links (a, b) that hold."""
     segs = nodes.select("node", "segs")
     keys = [F.struct(F.lit(i).alias("slot"), F.xxhash64(F.lit(2 * i + j), *(_at(F.lit(i), step) for step in (0, 1, 2 + j))).alias("key")) for i in range(SEGMENTS) for j in (0, 1)]
     first = _with_counts(nodes.select("node", F.explode(F.array(*keys)).alias("k")).select("node", "k.slot", "k.key"), "keys")
     pairs = _pairs(first.filter(F.col("n") <= pair_limit), segs)
     crowd = first.filter(F.col("n") > pair_limit)
-    if not crowd.isEmpty():
-        more = [F.xxhash64("key", F.lit(f"{i} {j}"), _at(F.col("slot"), i), _at(F.col("slot"), j)) for i, j in combinations(range(4, 8), 2)]
-        longer = crowd.select("node", "slot", "key").join(segs, "node").select("node", "slot", F.explode(F.array(*more)).alias("key"))
-        second = _with_counts(longer, "longer")
-        star = second.filter((F.col("n") > pair_limit) & (F.col("node") != F.col("lo"))).select(F.col("lo").alias("a"), F.col("node").alias("b"))
-        pairs = pairs.union(_pairs(second.filter(F.col("n") <= pair_limit), segs)).union(star)
-    return pairs.distinct()
+    if crowd.isEmpty():
+        return _check(pairs, nodes, least, "links")
+    found = _check(_stars(crowd, segs), nodes, least, "stars")
+    told = found.select(F.col("a").alias("lo"), F.col("b").alias("node"))
+    rest = crowd.filter("node <> lo").join(told, ["lo", "node"], "left_anti").select("node", "slot", "key")
+    more = [F.xxhash64("key", F.lit(f"{i} {j}"), _at(F.col("slot"), i), _at(F.col("slot"), j)) for i, j in combinations(range(4, 8), 2)]
+    second = _with_counts(rest.join(segs, "node").select("node", "slot", F.explode(F.array(*more)).alias("key")), "longer")
+    pairs = pairs.union(_pairs(second.filter(F.col("n") <= pair_limit), segs)).union(_stars(second.filter(F.col("n") > pair_limit), segs))
+    return found.union(_check(pairs, nodes, least, "links"))
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
@@ -155,16 +178,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFr
     prints = materialize(sketches(docs.filter("doc_id is not null"), shingle), "sketches")
     heads = prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     nodes = materialize(prints.join(heads, ["node", "doc_id"], "left_semi").dropDuplicates(["node"]), "nodes")
-    found = materialize(candidates(nodes.select("node", "segs")), "candidates")
-
-    def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            ok = [similarity(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) >= least for x, y in zip(frame["x"], frame["y"], strict=True)]
-            yield frame.loc[ok, ["a", "b"]]
-
-    left = found.join(nodes.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a")
-    both = left.join(nodes.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
-    comps = connected_components(both.select("a", "b", "x", "y").mapInPandas(check, "a long, b long"))
+    comps = connected_components(links(nodes, least))
     grouped = nodes.select("node", "doc_id").join(comps, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     least_id = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     known = grouped.join(least_id, "component").select("node", "component_id")
