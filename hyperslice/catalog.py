@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import queries as plans
+from .plans import flow_queries, queries as plans
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(plans.QUERIES)
+    return plans.QUERIES | flow_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
