@@ -50,13 +50,15 @@ def fit_sample(rows: list[np.ndarray], toxic: np.ndarray, prior: float, used: in
     n_pos, n_neg = int(toxic.sum()), int(len(toxic) - toxic.sum())
     if not n_pos or not n_neg:
         return Model(np.zeros(0, np.int64), -3.0 if not n_pos else 3.0, np.zeros(0), np.zeros((0, factors)))
-    count = [np.bincount(np.concatenate([r for r, y in zip(rows, toxic, strict=True) if y == side] or [np.zeros(0, np.int64)]), minlength=SLOTS) for side in (1, 0)]
+    held, side = np.concatenate(rows), np.repeat(toxic == 1, [len(r) for r in rows])
+    known, place = np.unique(held, return_inverse=True)  # only terms that occur: the driver holds no table of all slots
+    count = [np.bincount(place[side == s], minlength=len(known)) for s in (True, False)]
     seen = count[0] + count[1]  # G-test of each term's occurrence against the label
     with np.errstate(divide="ignore", invalid="ignore"):
         parts = [np.where(c > 0, c * np.log(c * len(toxic) / (seen * n)), 0) for c, n in ((count[0], n_pos), (count[1], n_neg))]
     gain = np.where(2 * sum(parts) >= least, 2 * sum(parts), 0)
-    slots = np.sort(np.argsort(-gain, kind="stable")[:used])
-    slots = slots[gain[slots] > 0]
+    best = np.argsort(-gain, kind="stable")[:used]
+    slots = np.sort(known[best[gain[best] > 0]])
     x = np.zeros((len(rows), len(slots)), np.float32)
     for i, r in enumerate(rows):
         x[i, np.flatnonzero(np.isin(slots, r, assume_unique=True))] = 1
