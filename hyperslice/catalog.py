@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import flow_queries, queries as plans
+from .plans import evidence_queries, flow_queries, queries as plans
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return plans.QUERIES | flow_queries.QUERIES
+    return plans.QUERIES | flow_queries.QUERIES | evidence_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(plans.SQL)
+    return plans.SQL | evidence_queries.SQL
