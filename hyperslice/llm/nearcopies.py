@@ -10,20 +10,22 @@ whose first l segments hold at most floor(l * BUDGET / SEGMENTS) differing ones,
 first two, at most one of the first four. So the first two and the third or the fourth agree, which makes the index key;
 pairs that meet at a key must pass the whole chain and are then compared by their shingles.
 
-Where over `pair_limit` texts meet at a key, each is compared with the first of them; for those that are not near copies
-of it, the key is lengthened by two more of the chain's next four segments, and they are paired with each other (with the
-first only, where over `pair_limit` still meet).
+Where over `pair_limit` texts meet at a key, they are compared with one of them, the hub (the one in most crowded keys:
+the original of many copies), then those that aren't in its component with a next hub, for a few rounds. All other pairs
+of different components are met through their differences from the first hub: if x and y hold and D(x), D(y) are their
+shingles that differ from the hub's, |D(x) ^ D(y)| = |x ^ y| is at most (1 - least) / (1 + least) * (|x| + |y|). If D(x)
+and D(y) were disjoint, both would be near copies of the hub; else they share one of their first tokens (prefix filter,
+rare tokens first). That loses no pair that meets at a key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import materialize
 from .components import connected_components
@@ -77,9 +79,15 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return 1.0 if not len(low) else float(np.isin(low, np.intersect1d(a, b), assume_unique=True).sum() / len(low))
 
 
-def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(doc_id, node, segs, sketch) of every row of docs; node is a hash of the set of shingles."""
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("segs", pa.list_(pa.int32())), ("sketch", pa.binary())])
+def overlap(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two whole sets."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def sketches(docs: DataFrame, shingle: int = 5, whole: bool = True) -> DataFrame:
+    """(doc_id, node, segs, sketch) of every row of docs, and the whole set; node is a hash of the set of shingles."""
+    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("segs", pa.list_(pa.int32())), ("sketch", pa.binary()), ("whole", pa.binary())][: 4 + whole])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,11 +100,11 @@ def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
                     found = shingle_hashes(words[end - n : end], shingle)
                     place = np.arange(1, len(found) + 1, dtype=np.uint64) * _STEP
                     node = int(_mix(found + place).sum(dtype=np.uint64).view(np.int64))
-                    rows.append((ids[a + i], node, segments(found).tolist(), sketch(found).tobytes()))
+                    rows.append((ids[a + i], node, segments(found).tolist(), sketch(found).tobytes(), found.astype("<u8").tobytes())[: 4 + whole])
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, node long, segs array<int>, sketch binary")
+    return rows.mapInArrow(run, "doc_id long, node long, segs array<int>, sketch binary" + ", whole binary" * whole)
 
 
 def _at(slot: Column, step: int) -> Column:
@@ -116,8 +124,8 @@ def _chain(x: str, y: str) -> Column:
 
 
 def _with_counts(keyed: DataFrame, name: str) -> DataFrame:
-    """keyed(node, slot, key) whose key others share too, with their number n and smallest node lo."""
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo")).filter("n > 1")
+    """keyed(node, slot, key) whose key others share too, with their number n."""
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     return materialize(keyed.join(shared, "key"), name)
 
 
@@ -142,29 +150,100 @@ def _check(pairs: DataFrame, nodes: DataFrame, least: float, name: str) -> DataF
     return materialize(both.select("a", "b", "x", "y").mapInPandas(run, "a long, b long"), name)
 
 
-def _stars(met: DataFrame, segs: DataFrame) -> DataFrame:
-    """The first text of each key with every other one whose chain passes."""
-    others = met.filter("node <> lo").select("slot", "node", "lo").distinct().join(segs, "node")
-    both = others.join(segs.select(F.col("node").alias("lo"), F.col("segs").alias("first")), "lo")
-    return both.filter(_chain("first", "segs")).select(F.col("lo").alias("a"), F.col("node").alias("b"))
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("whole").alias("x")), "a")
+    return left.join(sets.select(F.col("node").alias("b"), F.col("whole").alias("y")), "b")
+
+
+def _exact(pairs: DataFrame, sets: DataFrame, least: float, name: str) -> DataFrame:
+    """The pairs (a, b) whose whole sets have at least this similarity."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            ok = [overlap(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) >= least for x, y in zip(frame["x"], frame["y"], strict=True)]
+            yield frame.loc[ok, ["a", "b"]]
+
+    return materialize(_with_sets(pairs.distinct(), sets).select("a", "b", "x", "y").mapInPandas(run, "a long, b long"), name)
 
 
-def links(nodes: DataFrame, least: float = 0.8, pair_limit: int = 32) -> DataFrame:
-    """nodes(node, segs, sketch) -> links (a, b) that hold."""
+def _parts(rows: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """rows(key, node, ...) of the keys that hold several components of the links found so far, with the component c."""
+    rows = rows.join(connected_components(found), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    several = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
+    return materialize(rows.join(several, "key", "left_semi"), name)
+
+
+def _by_differences(groups: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """groups(hub, node, c) -> pairs (a, b) of different c in a group, at least all that hold and aren't both linked to the hub."""
+    share, more = (1 - least) / (1 + least), (1 - least) / least
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), 200):
+                part = frame.iloc[at : at + 200]
+                sets_of = [(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) for x, y in zip(part["x"], part["y"], strict=True)]
+                apart = [np.setxor1d(x, y, assume_unique=True).view(np.int64) for x, y in sets_of]
+                out = part[["hub", "node", "c"]].assign(size=[len(y) for _, y in sets_of], d=[len(d) for d in apart])
+                out = out.loc[out.index.repeat(out["d"])].assign(token=np.concatenate(apart))
+                yield out[["hub", "node", "c", "size", "d", "token"]]
+
+    both = _with_sets(groups.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"), "c"), sets)
+    rows = both.select(F.col("a").alias("hub"), F.col("b").alias("node"), "c", "x", "y").mapInPandas(run, "hub long, node long, c long, size long, d long, token long")
+    rows = materialize(rows, "differences")
+    rows = rows.join(rows.groupBy("hub", "token").agg(F.count("*").alias("n")), ["hub", "token"])
+    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("hub", "node").orderBy("n", "token")))
+    # |x ^ y| is at most share * (size_x + size_y), and at most more * size of either.
+    rows = rows.filter((F.col("n") > 1) & (F.col("at") <= F.floor(F.col("size") * more + 1e-6) + 1)).withColumn("e", F.col("d") - share * F.col("size"))
+    rows = materialize(rows, "prefixes")
+    x, y = rows.filter(F.col("at") <= F.floor(F.col("size") * share + 1e-6) + 1).alias("x"), rows.alias("y")
+    on = (F.col("x.hub") == F.col("y.hub")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.c") != F.col("y.c"))
+    # Of x and y the one with the smaller e, d - share * size, has a shared token in the shorter prefix.
+    on &= F.struct("x.e", "x.node") < F.struct("y.e", "y.node")
+    on &= F.least("x.size", "y.size") >= least * F.greatest("x.size", "y.size") - 1e-6
+    on &= F.abs(F.col("x.d") - F.col("y.d")) <= share * (F.col("x.size") + F.col("y.size")) + 1e-6
+    return x.join(y, on).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def _crowded(crowd: DataFrame, found: DataFrame, sets: DataFrame, least: float, rounds: int) -> DataFrame:
+    """found, with links that make all texts at a key of crowd(key, node, n) one component that links there would."""
+    rank = crowd.groupBy("node").agg(F.struct((-F.sum("n")).alias("n"), "node").alias("rank"))
+    rest = crowds = _parts(crowd.select("key", "node").distinct().join(rank, "node"), found, "crowds")
+    firsts = None
+    for _ in range(rounds):
+        hubs = materialize(rest.groupBy("key").agg(F.min_by(F.struct("node", "c"), "rank").alias("hub")).select("key", F.col("hub.node").alias("hub"), F.col("hub.c").alias("hub_c")), "hubs")
+        firsts = hubs if firsts is None else firsts
+        stars = rest.join(hubs, "key").filter("c <> hub_c").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+        new = _exact(stars, sets, least, "stars")
+        if new.isEmpty():
+            break
+        found = found.union(new)
+        rest = rest.join(hubs.select("key", "hub"), "key").drop("c").join(connected_components(found), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+        home = rest.filter("node = hub").select("key", F.col("c").alias("hub_c"))
+        rest = materialize(rest.join(home, "key").filter("c <> hub_c").select("key", "node", "rank", "c"), "rest")
+        if rest.isEmpty():
+            break
+    crowds = _parts(crowds.select("key", "node"), found, "crowds")
+    if crowds.isEmpty():
+        return found
+    groups = crowds.join(firsts.select("key", "hub"), "key").select("hub", "node", "c").distinct()
+    return found.union(_exact(_by_differences(groups, sets, least), sets, least, "met"))
+
+
+def links(nodes: DataFrame, least: float = 0.8, pair_limit: int = 32, sets: Callable[[DataFrame], DataFrame] | None = None, rounds: int = 4) -> DataFrame:
+    """nodes(node, segs, sketch) -> links (a, b) that hold, enough to connect all texts that links connect.
+
+    sets gives (node, whole) for a table of nodes (default: nodes has the column). Of crowded keys, hubs are tried for
+    `rounds` rounds at most; that only saves work.
+    """
+    sets = sets or (lambda wanted: nodes.join(wanted, "node", "left_semi").select("node", "whole"))
     segs = nodes.select("node", "segs")
     keys = [F.struct(F.lit(i).alias("slot"), F.xxhash64(F.lit(2 * i + j), *(_at(F.lit(i), step) for step in (0, 1, 2 + j))).alias("key")) for i in range(SEGMENTS) for j in (0, 1)]
     first = _with_counts(nodes.select("node", F.explode(F.array(*keys)).alias("k")).select("node", "k.slot", "k.key"), "keys")
-    pairs = _pairs(first.filter(F.col("n") <= pair_limit), segs)
+    found = _check(_pairs(first.filter(F.col("n") <= pair_limit), segs), nodes, least, "links")
     crowd = first.filter(F.col("n") > pair_limit)
     if crowd.isEmpty():
-        return _check(pairs, nodes, least, "links")
-    found = _check(_stars(crowd, segs), nodes, least, "stars")
-    told = found.select(F.col("a").alias("lo"), F.col("b").alias("node"))
-    rest = crowd.filter("node <> lo").join(told, ["lo", "node"], "left_anti").select("node", "slot", "key")
-    more = [F.xxhash64("key", F.lit(f"{i} {j}"), _at(F.col("slot"), i), _at(F.col("slot"), j)) for i, j in combinations(range(4, 8), 2)]
-    second = _with_counts(rest.join(segs, "node").select("node", "slot", F.explode(F.array(*more)).alias("key")), "longer")
-    pairs = pairs.union(_pairs(second.filter(F.col("n") <= pair_limit), segs)).union(_stars(second.filter(F.col("n") > pair_limit), segs))
-    return found.union(_check(pairs, nodes, least, "links"))
+        return found
+    return _crowded(crowd, found, materialize(sets(crowd.select("node").distinct()), "sets"), least, rounds)
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
@@ -175,10 +254,18 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFr
     Rows with a null id are left out; repeated ids give repeated rows; an empty table gives an empty table; other columns
     of docs are not read. Sets of over SKETCH shingles are compared by their SKETCH smallest hashes.
     """
-    prints = materialize(sketches(docs.filter("doc_id is not null"), shingle), "sketches")
+    docs = docs.filter("doc_id is not null")
+    prints = materialize(sketches(docs, shingle, whole=False), "sketches")
     heads = prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     nodes = materialize(prints.join(heads, ["node", "doc_id"], "left_semi").dropDuplicates(["node"]), "nodes")
-    comps = connected_components(links(nodes, least))
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        """The whole sets of these nodes, from their texts."""
+        ids = nodes.join(wanted, "node", "left_semi").select(F.col("doc_id").alias("id"))
+        rows = sketches(docs.join(ids, F.col("doc_id").cast("long") == F.col("id"), "left_semi"), shingle)
+        return rows.join(wanted, "node", "left_semi").select("node", "whole").dropDuplicates(["node"])
+
+    comps = connected_components(links(nodes, least, sets=sets))
     grouped = nodes.select("node", "doc_id").join(comps, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     least_id = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     known = grouped.join(least_id, "component").select("node", "component_id")

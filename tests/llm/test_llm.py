@@ -131,6 +131,56 @@ def test_near_copies_of_crowded_keys(spark):
     assert {r["component_id"] for r in nearcopies.near_copies(docs).collect()} == {0}
 
 
+def shingle_sets(texts):
+    return [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+
+
+def changed(rng, words, changes):
+    copy = list(words)
+    for at in rng.choice(len(words), changes, replace=False):
+        copy[at] = f"x{rng.integers(0, 1_000_000)}"
+    return copy
+
+
+def test_near_copies_of_one_original(spark):
+    """Copies that are near their original but not near one another all meet it."""
+    rng = np.random.default_rng(11)
+    words = [f"w{x}" for x in range(400)]
+    texts = [" ".join(changed(rng, words, 6)) for _ in range(250)]
+    texts.insert(120, " ".join(words))
+    sets = shingle_sets(texts)
+    near = [i for i, s in enumerate(sets) if len(s & sets[120]) / len(s | sets[120]) >= 0.8]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in nearcopies.near_copies(docs).collect()}
+    assert len(near) == 251 and {got[i] for i in near} == {0}
+
+
+@pytest.mark.parametrize("rounds", [1, 4])
+def test_links_of_crowded_keys_equal_brute_force(spark, rounds):
+    """Families of copies of copies around the threshold: the components are those of all pairs."""
+    rng = np.random.default_rng(12)
+    base = [[f"w{x}" for x in range(300)]]
+    for _ in range(5):
+        base.append(changed(rng, base[-1], 5))
+    texts = [" ".join(changed(rng, base[int(rng.integers(0, 6))], int(rng.integers(3, 9)))) for _ in range(90)]
+    sets = shingle_sets(texts)
+    edges = [(i, j) for j in range(90) for i in range(j) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    prints = nearcopies.sketches(docs).cache()
+    node = {r["node"]: r["doc_id"] for r in prints.select("node", "doc_id").collect()}
+    got = [(node[r["a"]], node[r["b"]]) for r in nearcopies.links(prints, pair_limit=2, rounds=rounds).collect()]
+
+    def classes(pairs):
+        of = list(range(90))
+        for a, b in pairs:
+            x, y = of[a], of[b]
+            of = [min(x, y) if c in (x, y) else c for c in of]
+        return of
+
+    assert {tuple(sorted(p)) for p in got} <= set(edges) and classes(got) == classes(edges)
+    assert 3 < len(set(classes(edges))) < 80
+
+
 def test_near_copies_odd_rows(spark):
     got = nearcopies.near_copies(odd(spark)).collect()
     assert len(got) == odd(spark).filter("doc_id is not null").count()
