@@ -155,6 +155,25 @@ def test_near_copies_of_one_original(spark):
     assert len(near) == 251 and {got[i] for i in near} == {0}
 
 
+def test_near_copies_of_long_texts(spark):
+    """Long texts just above and just below the threshold are told apart."""
+    rng = np.random.default_rng(13)
+    texts = []
+    for i in range(40):
+        words = [f"{i}-{x}" for x in range(2004)]
+        texts.append(" ".join(words))
+        copy = list(words)
+        for n in range(43 if i % 2 else 46):
+            copy[10 + 43 * n] = f"x{rng.integers(0, 1_000_000)}"
+        texts.append(" ".join(copy))
+    sets = shingle_sets(texts)
+    near = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, 80, 2)]
+    assert all(0.79 < x < 0.81 for x in near) and sum(x >= 0.8 for x in near) == 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in nearcopies.near_copies(docs).collect()}
+    assert [got[i + 1] == i for i in range(0, 80, 2)] == [x >= 0.8 for x in near]
+
+
 @pytest.mark.parametrize("rounds", [1, 4])
 def test_links_of_crowded_keys_equal_brute_force(spark, rounds):
     """Families of copies of copies around the threshold: the components are those of all pairs."""
