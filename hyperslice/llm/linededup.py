@@ -2,13 +2,18 @@
 
 A line of length L is cut into t + 1 segments; a line within t edits keeps one of them unchanged, at a place at most t
 off, so lines are indexed by (length, segment number, segment) and probe the indexes of lengths L - t to L with the few
-substrings whose place fits (the multi-match-aware windows). Lines that meet are verified with a banded bit-parallel
-edit distance. Lines are compared with white space collapsed; those under `min_chars` characters are left alone.
+substrings whose place fits (the multi-match-aware windows). From GRAMS_FROM characters on that would take many keys;
+such lines are indexed by their first GRAM * t + 1 runs of GRAM letters (numbered where they repeat) in the order of
+their hashes: t edits take away at most GRAM * t runs, so one of these is shared (prefix filter). Lines that meet are
+verified with a banded bit-parallel edit distance. Lines are compared with white space collapsed; those under `min_chars`
+characters are left alone (op4_line_dedup and the pipeline take 1: all but empty lines), and those under EDITS_FROM are
+compared for equality only.
 
 Where more than `pair_limit` different lines meet at one key, they are not paired with each other but compared with one
 of them, the hub: each line is reduced to the letter pairs in which it differs from the hub. Lines within t edits of one
 another differ in at most 4 t letter pairs, so their difference lists share one of the first 4 t + 1 entries (prefix
-filter) unless both lists are at most 4 t long; only such lines are paired. That is exact.
+filter) unless both lists are at most 4 t long; only such lines are paired. That is exact; each line takes the t of its
+own length, which is no less than that of a pair it is in.
 """
 
 from __future__ import annotations
@@ -24,11 +29,18 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import materialize
 from .components import connected_components
+from .hashing import _mix
+
+
+#: Lines this long may differ by edits; lines this long are indexed by runs of GRAM letters.
+EDITS_FROM, GRAMS_FROM, GRAM = 20, 160, 12
+#: Runs are keyed with the line's length in steps of so many characters, at least the edits of any line.
+_STEP = 64
 
 
 def edits_for(length: int) -> int:
-    """Allowed edits between two lines of which the shorter has this length."""
-    return 1 if length < 80 else 2
+    """Allowed edits between two lines of which the shorter has this length: 1 from 20 characters on, 2 from 80, 3 from 160, 4 from 320, and so on."""
+    return 0 if length < EDITS_FROM else max(1, (length // 40).bit_length())
 
 
 def _digest(text: str) -> int:
@@ -46,10 +58,32 @@ def _segment(length: int, parts: int) -> list[tuple[int, int]]:
     return out
 
 
+def _runs(line: str) -> np.ndarray:
+    """Sorted hashes of all runs of GRAM letters, each with the number of equal ones before it."""
+    code = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = len(code) - GRAM + 1
+    total = np.zeros(n, np.uint64)
+    for i in range(GRAM):
+        total = total * np.uint64(0x9E3779B97F4A7C15) + code[i : i + n] + np.uint64(1)
+    total = np.sort(_mix(total))
+    new = np.concatenate(([True], total[1:] != total[:-1]))
+    before = np.arange(n) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    return np.sort(np.where(new, total, _mix(total + before.astype(np.uint64) * np.uint64(0x5851F42D4C957F2D))))
+
+
 def keys(line: str) -> list[int]:
     """Signed 64-bit keys of a line; the lowest bit is 1 for index entries, 0 for probes."""
     length, out = len(line), {}
-    for shorter in range(length - edits_for(length), length + 1):
+    if length < EDITS_FROM:
+        return []
+    if length >= GRAMS_FROM:
+        t = edits_for(length)
+        runs = _runs(line)[: GRAM * t + 1]
+        for bucket in {length // _STEP, (length - t) // _STEP}:
+            own = bucket == length // _STEP
+            for key in (_mix(runs ^ np.uint64(_digest(f"{bucket}"))) >> np.uint64(1) << np.uint64(1)).tolist():
+                out[key] = out.get(key, 0) | own
+    for shorter in range(length - edits_for(length), min(length + 1, GRAMS_FROM)):
         t, gap = edits_for(shorter), length - shorter
         if shorter < t + 1 or gap > t:
             continue
@@ -162,7 +196,7 @@ def _apart(rows: DataFrame) -> DataFrame:
         for frame in frames:
             out = []
             for h, key, line, hub in frame[["h", "key", "line", "hub"]].itertuples(index=False):
-                a, b, t = pairs(line), pairs(hub), 2
+                a, b, t = pairs(line), pairs(hub), edits_for(len(line))
                 diff = sorted(_digest(f"{key} {sign} {n} {g}") for sign, d in (("+", a - b), ("-", b - a)) for g, c in d.items() for n in range(c))
                 if len(diff) <= 4 * t:
                     out.append((h, _digest(f"{key}")))
@@ -173,9 +207,9 @@ def _apart(rows: DataFrame) -> DataFrame:
 
 
 def _pairs(met: DataFrame, by: str) -> DataFrame:
-    """Pairs of lines that meet at a key and whose parities allow two edits."""
+    """Pairs of lines that meet at a key and whose parities allow the edits of the shorter one."""
     a, b = met.alias("a"), met.alias("b")
-    near = F.bit_count(F.col("a.odd").bitwiseXOR(F.col("b.odd"))) <= 8
+    near = F.bit_count(F.col("a.odd").bitwiseXOR(F.col("b.odd"))) <= 4 * F.least("a.t", "b.t")
     return a.join(b, (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col("a.h") < F.col("b.h")) & near).select(F.col("a.h").alias("a"), F.col("b.h").alias("b")).distinct()
 
 
@@ -189,16 +223,17 @@ def similar_lines(docs: DataFrame, min_chars: int = 40, pair_limit: int = 40) ->
 
     def odds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            odd = pa.array([parity(x) for x in batch.column(1).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), odd], names=["h", "line", "odd"])
+            lines = batch.column(1).to_pylist()
+            odd, t = pa.array([parity(x) for x in lines], pa.int64()), pa.array([edits_for(len(x)) for x in lines], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), odd, t], names=["h", "line", "odd", "t"])
 
     texts = lines.join(met.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
-    texts = materialize(texts.mapInArrow(odds, "h long, line string, odd long"), "texts")
+    texts = materialize(texts.mapInArrow(odds, "h long, line string, odd long, t int"), "texts")
     few, crowd = met.filter(F.col("n") <= pair_limit), met.filter(F.col("n") > pair_limit)
-    candidates = _pairs(few.select("h", "key").join(texts.select("h", "odd"), "h"), "key")
+    candidates = _pairs(few.select("h", "key").join(texts.select("h", "odd", "t"), "h"), "key")
     if not crowd.isEmpty():
         told = crowd.join(texts, "h").join(texts.select(F.col("h").alias("lo"), F.col("line").alias("hub")), "lo")
-        apart = _apart(told.select("h", "key", "line", "hub")).distinct().join(texts.select("h", "odd"), "h")
+        apart = _apart(told.select("h", "key", "line", "hub")).distinct().join(texts.select("h", "odd", "t"), "h")
         candidates = candidates.union(_pairs(apart, "token")).distinct()
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

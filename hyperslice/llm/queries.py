@@ -26,7 +26,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.repeated(table(spark, sf_dir, "documents"))
+    return linededup.repeated(table(spark, sf_dir, "documents"), min_chars=1)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -307,6 +307,29 @@ def test_line_dedup_equals_brute_force(spark, limit):
     assert got == {(i, j) for j, b in enumerate(lines) for i, a in enumerate(lines[:j]) if levenshtein(a, b) <= linededup.edits_for(min(len(a), len(b)))}
 
 
+@pytest.mark.parametrize("limit", [40, 2])
+def test_line_dedup_of_long_lines(spark, limit):
+    """Edits grow with the length; all pairs within them are found, also across the lengths where the keys change."""
+    r = random.Random(6)
+    base = ["".join(r.choice("abcd ") for _ in range(n)).strip() + "x" for n in (25, 158, 162, 330, 650)] + ["ab" * 85 + "x"]
+    lines = list(dict.fromkeys(" ".join(edited(r, b, n).split()) for b in base for n in (0, 1, 1, 2, 3, 4, 5)))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    h = {xxhash.xxh64_intdigest(x.encode(), 42): i for i, x in enumerate(lines)}
+    got = {tuple(sorted((h[x["a"] % 2**64], h[x["b"] % 2**64]))) for x in linededup.similar_lines(docs, min_chars=1, pair_limit=limit).collect()}
+    want = {(i, j) for j, b in enumerate(lines) for i, a in enumerate(lines[:j]) if linededup.within(a, b, linededup.edits_for(min(len(a), len(b))))}
+    assert got == want and max(levenshtein(lines[i], lines[j]) for i, j in want) > 3
+
+
+def test_line_dedup_of_short_lines(spark, tmp_path):
+    """Equal lines of any length repeat; short ones that differ by a letter don't."""
+    docs = spark.createDataFrame([(1, "And therhean is.\nno\n\nrest one"), (2, "And  therhean is.\nso\n\nrest two"), (3, "no\nAnd therhean it.")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(x) for x in queries.op4_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {(2, 0, 1, 0), (3, 0, 1, 1)}
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, docs, str(tmp_path)).collect()}
+    assert left == {1: "And therhean is.\nno\n\nrest one", 2: "so\n\nrest two", 3: "And therhean it."}
+
+
 def test_line_dedup_keeps_first_and_odd_rows(spark):
     line = "This line is long enough to be looked at, and it comes twice."
     docs = spark.createDataFrame([(2, f"own words here\n{line}", 5), (1, f"{line}\n{line}\nend", 9), (3, line + "!", 1), (4, "", 0), (None, line, 2)], "doc_id long, text string, n_chars long")
