@@ -9,14 +9,15 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-#: The id that ends each document, as bytes.
-LAST = (2).to_bytes(4, "little")
+#: The id that ends each document.
+LAST = np.array([2], "<u4")
 
 
 def default_tokenizer() -> str:
@@ -25,52 +26,89 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet's letters of each character below U+0180 that doesn't stand for itself (fixed by the
+    tokenizer's format: printable bytes stand for themselves, the others in order for the letters from U+0100 on)."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in own]
+    letter = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(other)}
+    whole = {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0x180) if c != 32}
+    return {c: x for c, x in whole.items() if x != chr(c)}
+
+
 class WordTokens:
     """Token ids of texts by a tokenizer that drops white space, treats each pre-token apart and ends it with '</w>'.
 
-    Plain texts (below U+0180, where NFC changes nothing) are split at white space; chunks and pre-tokens seen before are
-    looked up, and only new ones are encoded. Other texts go to the tokenizer whole. `kept` bounds the look-up tables,
-    which only save time.
+    Plain texts (below U+0180, where NFC changes nothing) are cut into pre-tokens here; the ids of those seen before lie
+    in one array and are gathered from there, and only new ones are encoded. Other texts go to the tokenizer whole.
+    `kept` (entries), LONGEST (characters of an entry) and HELD (ids) bound what is remembered, which only saves time.
     """
 
-    def __init__(self, path: str, kept: int = 500_000):
+    LONGEST, HELD = 48, 2_000_000
+
+    def __init__(self, path: str, kept: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tok = Tokenizer.from_file(path)
+        self.tok, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.bare.normalizer, self.bare.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
         vocab = self.tok.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.kept, self.chunks, self.known = kept, {}, {}  # ids as little-endian uint32 bytes
+        self.kept, self.letters = kept, _byte_letters()
+        self.forget()
         span = lambda kind: "".join(re.escape(chr(c)) for c in range(0x180) if unicodedata.category(chr(c))[0] == kind)
         letter, number, space = span("L"), span("N"), r"\t\n\x0b\x0c\r \x85\xa0"
         self.plain = re.compile("[\x00-\x1b\x20-\u012f\u0131-\u017f]*").fullmatch
-        self.pieces = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{space}{letter}{number}]+").findall
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian uint32 bytes."""
-        split = [t.split() if self.plain(t) and "<|" not in t else None for t in texts]
-        if len(self.known) > self.kept:
-            self.known.clear()
-        if len(self.chunks) > self.kept:
-            self.chunks.clear()
-        chunks, known = self.chunks, self.known
-        fresh = {c: self.pieces(c.lower()) for c in {c for s in split if s for c in s}.difference(chunks)}
-        new = list({w for s in fresh.values() for w in s}.difference(known))
-        parts = [new[at : at + 50] for at in range(0, len(new), 50)]
-        for part, code in zip(parts, self.tok.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
-            got = np.array(code.ids, "<u4")
-            cut = [0, *(4 * np.flatnonzero(self.ends[got]) + 4).tolist()]
-            if len(cut) == len(part) + 1:
-                raw = got.tobytes()
-                known.update((w, raw[a:b]) for w, a, b in zip(part, cut[:-1], cut[1:], strict=True))
-            else:  # the pieces did not stay apart; one by one
-                known.update((w, self.whole(w)) for w in part)
-        chunks.update((c, b"".join([known[w] for w in s])) for c, s in fresh.items())
-        return [self.whole(t) if s is None else b"".join([chunks[c] for c in s]) for t, s in zip(texts, split, strict=True)]
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.pieces = re.compile(f"[{letter}]+|'s|'t|'re|'ve|'m|'ll|'d|[{number}]|[^{space}{letter}{number}]+").findall
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}  # pre-token: its row in start and size, which point into flat
+        self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Each text's ids."""
+        split = [self.pieces(t.lower()) if self.plain(t) and "<|" not in t else None for t in texts]
+        if len(self.place) > self.kept or len(self.flat) > self.HELD:
+            self.forget()
+        pieces = list(chain.from_iterable(s for s in split if s))
+        at = np.fromiter(map(self.place.get, pieces, repeat(-1)), np.int64, len(pieces))
+        absent = np.flatnonzero(at < 0).tolist()
+        if absent:
+            missed = [pieces[i] for i in absent]
+            fresh = list(set(missed))
+            rows = dict(zip(fresh, range(len(self.start), len(self.start) + len(fresh)), strict=True))
+            at[absent] = list(map(rows.__getitem__, missed))
+            size, flat = self.encode(fresh)
+            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+            self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, flat])
+            if max(map(len, fresh)) > self.LONGEST:
+                rows = {w: r for w, r in rows.items() if len(w) <= self.LONGEST}
+            self.place.update(rows)
+        size = self.size[at]
+        ends = np.cumsum(size)
+        found = self.flat[np.repeat(self.start[at] - ends + size, size) + np.arange(size.sum())]
+        cut = np.concatenate(([0], ends))[np.cumsum([0, *(len(s or ()) for s in split)])].tolist()
+        return [self.whole(t) if s is None else found[a:b] for t, s, a, b in zip(texts, split, cut[:-1], cut[1:], strict=True)]
+
+    def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each piece, all ids)."""
+        sizes, flat = [], []
+        parts = [pieces[at : at + 100] for at in range(0, len(pieces), 100)]
+        joined = [" ".join(p) for p in parts]
+        joined = [j if j.isascii() and j.isprintable() else " ".join([w if w.isascii() and w.isprintable() else w.translate(self.letters) for w in p]) for j, p in zip(joined, parts, strict=True)]
+        for part, code in zip(parts, self.bare.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            ids = np.array(code.ids, "<u4")
+            size = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+            if len(size) != len(part):  # the pieces did not stay apart; one by one
+                alone = [self.whole(w) for w in part]
+                ids, size = np.concatenate(alone), np.array([len(x) for x in alone])
+            sizes.append(size)
+            flat.append(ids)
+        return np.concatenate(sizes), np.concatenate(flat)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
 
 
 @lru_cache(maxsize=2)
@@ -137,34 +175,34 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 4096, fi
         def flush() -> pa.RecordBatch:
             nonlocal next_id, held
             rows, found = [], []
-            whole = [i for i, h in enumerate(held) if len(h[3]) == 4 * capacity]
-            part = [i for i, h in enumerate(held) if len(h[3]) < 4 * capacity]
-            for members in [[i] for i in whole] + [[part[j] for j in w] for w in windows([len(held[i][3]) // 4 for i in part], capacity)]:
+            whole = [i for i, h in enumerate(held) if len(h[3]) == capacity]
+            part = [i for i, h in enumerate(held) if len(h[3]) < capacity]
+            for members in [[i] for i in whole] + [[part[j] for j in w] for w in windows([len(held[i][3]) for i in part], capacity)]:
                 offset = 0
                 for i in sorted(members):
                     doc, start, n, piece = held[i]
-                    rows.append((doc, start, len(piece) // 4, zlib.crc32(piece), n, next_id, offset))
+                    rows.append((doc, start, len(piece), zlib.crc32(piece), n, next_id, offset))
                     found.append(piece)
-                    offset += len(piece) // 4
+                    offset += len(piece)
                 next_id += 1
             held = []
             cols = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
             if not ids:
                 return pa.RecordBatch.from_arrays(cols, names=names)
-            lens = np.concatenate(([0], np.cumsum([len(x) // 4 for x in found])))
-            lists = pa.ListArray.from_arrays(pa.array(lens, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4"), pa.int32()))
+            lens = np.concatenate(([0], np.cumsum([len(x) for x in found])))
+            lists = pa.ListArray.from_arrays(pa.array(lens, pa.int32()), pa.array(np.concatenate(found).view("<i4"), pa.int32()))
             return pa.RecordBatch.from_arrays([*cols, lists], names=[*names, "ids"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                docs_, texts = batch.column(0)[at : at + 512].to_pylist(), [t or "" for t in batch.column(1)[at : at + 512].to_pylist()]
+            for at in range(0, batch.num_rows, 256):
+                docs_, texts = batch.column(0)[at : at + 256].to_pylist(), [t or "" for t in batch.column(1)[at : at + 256].to_pylist()]
                 for doc, got in zip(docs_, words.ids(texts), strict=True):
-                    got += LAST
-                    n = len(got) // 4
+                    got = np.concatenate([got, LAST])
+                    n = len(got)
                     cuts = list(range(0, n, capacity))
                     if 4 * fill <= n - cuts[-1] < capacity:
                         cuts.append(n - fill)
-                    held += [(doc, a, n, got[4 * a : 4 * b]) for a, b in zip(cuts, [*cuts[1:], n], strict=True)]
+                    held += [(doc, a, n, got[a:b]) for a, b in zip(cuts, [*cuts[1:], n], strict=True)]
                 if len(held) >= batch_pieces:
                     yield flush()
         if held:
