@@ -9,26 +9,28 @@ verified with a banded bit-parallel edit distance. Lines are compared with white
 characters are left alone (op4_line_dedup and the pipeline take 1: all but empty lines), and those under EDITS_FROM are
 compared for equality only.
 
-Where more than `pair_limit` different lines meet at one key, they are not paired with each other but compared with one
-of them, the hub: each line is reduced to the letter pairs in which it differs from the hub. Lines within t edits of one
-another differ in at most 4 t letter pairs, so their difference lists share one of the first 4 t + 1 entries (prefix
-filter) unless both lists are at most 4 t long; only such lines are paired. That is exact; each line takes the t of its
-own length, which is no less than that of a pair it is in.
+Where more than `pair_limit` different lines meet at one key, they are not paired with each other but compared with hubs
+among them (groups.py). Lines that no hub connects are reduced to the letter pairs in which they differ from the first
+hub. Lines within t edits of one another differ in at most 4 t letter pairs, so their difference lists share one of the
+first 4 t + 1 entries (prefix filter) unless both lists are at most 4 t long; only such lines of different components are
+paired. No link is lost; each line takes the t of its own length, which is no less than that of a pair it is in.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import materialize
+from .common import materialize, slices, unused
 from .components import connected_components
+from .groups import connect
 from .hashing import _mix
 
 
@@ -58,31 +60,32 @@ def _segment(length: int, parts: int) -> list[tuple[int, int]]:
     return out
 
 
-def _runs(line: str) -> np.ndarray:
-    """Sorted hashes of all runs of GRAM letters, each with the number of equal ones before it."""
-    code = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+def _runs(lines: list[str]) -> list[np.ndarray]:
+    """Of each line the sorted hashes of all runs of GRAM letters, each with the number of equal ones before it; computed for all lines together."""
+    code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     n = len(code) - GRAM + 1
     total = np.zeros(n, np.uint64)
     for i in range(GRAM):
-        total = total * np.uint64(0x9E3779B97F4A7C15) + code[i : i + n] + np.uint64(1)
-    total = np.sort(_mix(total))
-    new = np.concatenate(([True], total[1:] != total[:-1]))
-    before = np.arange(n) - np.flatnonzero(new)[np.cumsum(new) - 1]
-    return np.sort(np.where(new, total, _mix(total + before.astype(np.uint64) * np.uint64(0x5851F42D4C957F2D))))
+        total *= np.uint64(0x9E3779B97F4A7C15)
+        total += code[i : i + n] + np.uint64(1)
+    total = _mix(total)
+    out, end = [], 0
+    for line in lines:
+        own = np.sort(total[end : end + len(line) - GRAM + 1])
+        end += len(line)
+        same = own[1:] == own[:-1]
+        if same.any():
+            new = np.concatenate(([True], ~same))
+            before = np.arange(len(own)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+            own = np.sort(np.where(new, own, _mix(own + before.astype(np.uint64) * np.uint64(0x5851F42D4C957F2D))))
+        out.append(own)
+    return out
 
 
-def keys(line: str) -> list[int]:
-    """Signed 64-bit keys of a line; the lowest bit is 1 for index entries, 0 for probes."""
-    length, out = len(line), {}
-    if length < EDITS_FROM:
-        return []
-    if length >= GRAMS_FROM:
-        t = edits_for(length)
-        runs = _runs(line)[: GRAM * t + 1]
-        for bucket in {length // _STEP, (length - t) // _STEP}:
-            own = bucket == length // _STEP
-            for key in (_mix(runs ^ np.uint64(_digest(f"{bucket}"))) >> np.uint64(1) << np.uint64(1)).tolist():
-                out[key] = out.get(key, 0) | own
+@lru_cache(maxsize=1024)
+def _plan(length: int) -> list[tuple[int, int, int, bool]]:
+    """(start, end, seed, whether it is an index entry) of the substrings by which a line of this length is keyed."""
+    out: dict[tuple[int, int, int], bool] = {}
     for shorter in range(length - edits_for(length), min(length + 1, GRAMS_FROM)):
         t, gap = edits_for(shorter), length - shorter
         if shorter < t + 1 or gap > t:
@@ -91,10 +94,38 @@ def keys(line: str) -> list[int]:
             low = max(0, start - i, start + gap - (t - i))
             high = min(length - width, start + i, start + gap + (t - i))
             for at in range(low, high + 1):
-                key = _digest(f"{shorter} {i} {line[at : at + width]}") >> 1 << 1
-                own = gap == 0 and at == start
-                out[key] = out.get(key, 0) | own
-    return [((k | own) ^ (1 << 63)) - (1 << 63) for k, own in out.items()]
+                place = (at, at + width, _digest(f"{shorter} {i}"))
+                out[place] = out.get(place, False) or gap == 0 and at == start
+    return [(*k, own) for k, own in out.items()]
+
+
+def keys_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the line, signed 64-bit key) for the keys of all lines; the lowest bit is 1 for index entries, 0 for probes."""
+    where, found, digest = [], [], xxhash.xxh3_64_intdigest
+    for no, line in enumerate(lines):
+        length = len(line)
+        if length < EDITS_FROM or length > GRAMS_FROM + edits_for(length):
+            continue
+        data = line.encode() if line.isascii() else None
+        new = [
+            (digest(line[a:b].encode("utf-8", "surrogatepass") if data is None else data[a:b], seed) | 1) ^ (not own)
+            for a, b, seed, own in _plan(length)
+        ]
+        found += new
+        where += [no] * len(new)
+    parts = [(np.array(where, np.int64), np.array(found, np.uint64))]
+    long = [no for no, line in enumerate(lines) if len(line) >= GRAMS_FROM]
+    for no, runs in zip(long, _runs([lines[no] for no in long]) if long else (), strict=True):
+        length = len(lines[no])
+        t = edits_for(length)
+        for bucket in {length // _STEP, (length - t) // _STEP}:
+            mixed = _mix(runs[: GRAM * t + 1] ^ np.uint64(_digest(f"{bucket}"))) | np.uint64(1)
+            parts.append((np.full(len(mixed), no), mixed ^ np.uint64(bucket != length // _STEP)))
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).view(np.int64)
+
+
+def keys(line: str) -> list[int]:
+    return keys_of([line])[1].tolist()
 
 
 def within(a: str, b: str, t: int) -> bool:
@@ -134,49 +165,49 @@ def within(a: str, b: str, t: int) -> bool:
     return any(r >> end & 1 for r in rows)
 
 
-def _lines(text: str | None, min_chars: int) -> Iterator[tuple[int, int, str]]:
-    """(line number, hash, line with white space collapsed) of the lines of at least min_chars."""
+def _lines(text: str | None, min_chars: int) -> Iterator[tuple[int, str]]:
+    """(line number, line with white space collapsed) of the lines of at least min_chars."""
     for no, raw in enumerate((text or "").split("\n")):
         line = " ".join(raw.split())
         if len(line) >= min_chars:
-            yield no, xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42), line
+            yield no, line
 
 
-def _signed(value: int) -> int:
-    return (value ^ (1 << 63)) - (1 << 63)
-
-
-def _places(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, line_no, h) of every line."""
+def all_lines(docs: DataFrame, min_chars: int) -> DataFrame:
+    """(doc_id, line_no, h, g, line): every line with the two halves of its 128-bit hash; its text once in each task at least."""
+    out = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("h", pa.int64()), ("g", pa.int64()), ("line", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(d, no, _signed(h)) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for no, h, _ in _lines(t, min_chars)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 3, (pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["doc_id", "line_no", "h"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, line_no int, h long")
-
-
-def _different(docs: DataFrame, min_chars: int, of: Callable[[str], list], kind: pa.DataType, schema: str) -> DataFrame:
-    """(h, one value of `of`) for every different line within each task."""
+        seen: set[bytes] = set()
+        for batch in slices(batches):
+            rows, digests = [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for no, line in _lines(text, min_chars):
+                    digest = xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
+                    rows.append((doc, no, None if digest in seen else line))
+                    seen.add(digest)
+                    digests.append(digest)
+            if len(seen) > 200_000:
+                seen.clear()
+            both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(cols[2], pa.string())], schema=out)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "doc_id long, line_no int, h long, g long, line string")
+
+
+def _keyed(lines: DataFrame) -> DataFrame:
+    """lines(h, line) -> (h, key, own)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                hs, values = [], []
-                for t in batch.column(0)[at : at + 500].to_pylist():
-                    for _, h, line in _lines(t, min_chars):
-                        if h not in seen:
-                            seen.add(h)
-                            got = of(line)
-                            values += got
-                            hs += [_signed(h)] * len(got)
-                if len(seen) > 300_000:
-                    seen.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(values, kind)], names=["h", "value"])
-
-    return docs.select("text").mapInArrow(run, schema)
+        for batch in slices(batches, 1000):
+            h = batch.column(0).to_numpy()
+            no, key = keys_of(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(h[no]), pa.array(key)], names=["h", "value"])
+
+    rows = lines.select("h", "line").mapInArrow(run, "h long, value long")
+    return rows.select("h", F.expr("shiftright(value, 1)").alias("key"), F.col("value").bitwiseAND(1).alias("own"))
 
 
 def parity(line: str) -> int:
@@ -187,7 +218,7 @@ def parity(line: str) -> int:
 
 
 def _apart(rows: DataFrame) -> DataFrame:
-    """rows(h, key, line, hub) -> (h, token): the first differing letter pairs from the hub, and the key itself where there are few."""
+    """rows(h, c, line, group, hub) -> (h, c, token): the first differing letter pairs from the hub, and the group itself where there are few."""
 
     def pairs(s: str) -> Counter:
         return Counter(s[i : i + 2] for i in range(len(s) - 1))
@@ -195,55 +226,60 @@ def _apart(rows: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for h, key, line, hub in frame[["h", "key", "line", "hub"]].itertuples(index=False):
+            for h, c, line, group, hub in frame[["h", "c", "line", "group", "hub"]].itertuples(index=False):
                 a, b, t = pairs(line), pairs(hub), edits_for(len(line))
-                diff = sorted(_digest(f"{key} {sign} {n} {g}") for sign, d in (("+", a - b), ("-", b - a)) for g, c in d.items() for n in range(c))
+                diff = sorted(_digest(f"{group} {sign} {n} {g}") for sign, d in (("+", a - b), ("-", b - a)) for g, k in d.items() for n in range(k))
                 if len(diff) <= 4 * t:
-                    out.append((h, _digest(f"{key}")))
-                out += [(h, d) for d in diff[: 4 * t + 1]]
-            yield pd.DataFrame([(h, (d ^ (1 << 63)) - (1 << 63)) for h, d in out], columns=["h", "token"], dtype="int64")
+                    out.append((h, c, _digest(f"{group}")))
+                out += [(h, c, d) for d in diff[: 4 * t + 1]]
+            yield pd.DataFrame([(h, c, (d ^ (1 << 63)) - (1 << 63)) for h, c, d in out], columns=["h", "c", "token"], dtype="int64")
 
-    return rows.mapInPandas(run, "h long, token long")
+    return rows.mapInPandas(run, "h long, c long, token long")
 
 
-def _pairs(met: DataFrame, by: str) -> DataFrame:
+def _pairs(met: DataFrame, by: str, *more: Column) -> DataFrame:
     """Pairs of lines that meet at a key and whose parities allow the edits of the shorter one."""
     a, b = met.alias("a"), met.alias("b")
-    near = F.bit_count(F.col("a.odd").bitwiseXOR(F.col("b.odd"))) <= 4 * F.least("a.t", "b.t")
-    return a.join(b, (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col("a.h") < F.col("b.h")) & near).select(F.col("a.h").alias("a"), F.col("b.h").alias("b")).distinct()
+    on = (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col("a.h") < F.col("b.h")) & (F.bit_count(F.col("a.odd").bitwiseXOR(F.col("b.odd"))) <= 4 * F.least("a.t", "b.t"))
+    for condition in more:
+        on &= condition
+    return a.join(b, on).select(F.col("a.h").alias("a"), F.col("b.h").alias("b")).distinct()
 
 
-def similar_lines(docs: DataFrame, min_chars: int = 40, pair_limit: int = 40) -> DataFrame:
-    """Links (a, b) between the hashes of different lines of docs(text) within the allowed edits."""
-    keyed = _different(docs, min_chars, keys, pa.int64(), "h long, value long").select("h", F.expr("shiftright(value, 1)").alias("key"), F.col("value").bitwiseAND(1).alias("own"))
+def _odds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, 1000):
+        lines = batch.column(1).to_pylist()
+        odd, t = pa.array([parity(x) for x in lines], pa.int64()), pa.array([edits_for(len(x)) for x in lines], pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), odd, t], names=["h", "line", "odd", "t"])
+
+
+def similar_lines(lines: DataFrame, pair_limit: int = 4) -> DataFrame:
+    """lines(h, line) -> links (a, b) between the hashes of different lines, enough to connect all lines that are linked
+    through pairs within the allowed edits."""
     over = Window.partitionBy("key")
-    met = keyed.select("h", "key", F.min("h").over(over).alias("lo"), F.max("h").over(over).alias("hi"), F.max("own").over(over).alias("own"), F.count("*").over(over).alias("n"))
-    met = materialize(met.filter("lo < hi and own = 1").select("h", "key", "n", "lo").distinct(), "met")
-    lines = _different(docs, min_chars, lambda line: [line], pa.string(), "h long, value string").withColumnRenamed("value", "line")
-
-    def odds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lines = batch.column(1).to_pylist()
-            odd, t = pa.array([parity(x) for x in lines], pa.int64()), pa.array([edits_for(len(x)) for x in lines], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), odd, t], names=["h", "line", "odd", "t"])
-
-    texts = lines.join(met.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
-    texts = materialize(texts.mapInArrow(odds, "h long, line string, odd long, t int"), "texts")
-    few, crowd = met.filter(F.col("n") <= pair_limit), met.filter(F.col("n") > pair_limit)
-    candidates = _pairs(few.select("h", "key").join(texts.select("h", "odd", "t"), "h"), "key")
-    if not crowd.isEmpty():
-        told = crowd.join(texts, "h").join(texts.select(F.col("h").alias("lo"), F.col("line").alias("hub")), "lo")
-        apart = _apart(told.select("h", "key", "line", "hub")).distinct().join(texts.select("h", "odd", "t"), "h")
-        candidates = candidates.union(_pairs(apart, "token")).distinct()
+    met = _keyed(lines).select("h", "key", F.min("h").over(over).alias("lo"), F.max("h").over(over).alias("hi"), F.max("own").over(over).alias("own"), F.count("*").over(over).alias("n"))
+    met = materialize(met.filter("lo < hi and own = 1").select("h", "key", "n").distinct(), "met")
+    texts = lines.join(met.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
+    texts = materialize(texts.mapInArrow(_odds, "h long, line string, odd long, t int"), "texts")
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             ok = [within(x, y, edits_for(min(len(x), len(y)))) for x, y in zip(frame["x"], frame["y"], strict=True)]
             yield frame.loc[ok, ["a", "b"]]
 
-    left = candidates.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a")
-    both = left.join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInPandas(check, "a long, b long")
+    def exact(pairs: DataFrame, name: str) -> DataFrame:
+        left = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a")
+        both = left.join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
+        return materialize(both.select("a", "b", "x", "y").mapInPandas(check, "a long, b long"), name)
+
+    def rest(groups: DataFrame) -> DataFrame:
+        told = groups.withColumnRenamed("node", "h").join(texts, "h").join(texts.select(F.col("h").alias("hub"), F.col("line").alias("hub_line")), "hub")
+        apart = _apart(told.select("h", "c", "line", F.col("hub").alias("group"), F.col("hub_line").alias("hub"))).distinct()
+        return _pairs(apart.join(texts.select("h", "odd", "t"), "h"), "token", F.col("a.c") != F.col("b.c"))
+
+    few, crowd = met.filter(F.col("n") <= pair_limit), met.filter(F.col("n") > pair_limit)
+    found = exact(_pairs(few.select("h", "key").join(texts.select("h", "odd", "t"), "h"), "key"), "links")
+    return found if crowd.isEmpty() else connect(crowd.withColumnRenamed("h", "node"), found, exact, rest)
 
 
 def repeated(docs: DataFrame, min_chars: int = 40) -> DataFrame:
@@ -252,16 +288,17 @@ def repeated(docs: DataFrame, min_chars: int = 40) -> DataFrame:
     Lines are numbered from 0. A class is what links within the allowed edits connect (equal lines are linked); its first
     line is the one of the smallest (doc_id, line_no). Lines under min_chars and rows with a null id are left out.
     """
-    docs = docs.filter("doc_id is not null")
-    places = materialize(_places(docs, min_chars), "places")
-    links = connected_components(similar_lines(docs, min_chars))
+    lines = materialize(all_lines(docs.filter("doc_id is not null"), min_chars), "lines")
+    places = lines.drop("line")
+    links = connected_components(similar_lines(lines.filter("line is not null").select("h", "line")))
     links = links.select(F.col("node").alias("h"), "component")
     roots = links.select(F.col("component").alias("h"), "component").distinct()
-    first = places.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
-    first = first.join(links.union(roots), "h", "left").withColumn("class", F.coalesce("component", "h"))
+    # Lines are equal if all 128 bits are; only links go by the first half.
+    first = places.groupBy("h", "g").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
+    first = first.join(links.union(roots), "h", "left").withColumn("class", F.when(F.col("component").isNull(), F.struct("h", "g")).otherwise(F.struct(F.col("component").alias("h"), F.lit(0).cast("long").alias("g"))))
     heads = first.groupBy("class").agg(F.min("first").alias("head"), F.sum("n").alias("n")).filter("n > 1")
-    known = first.select("h", "class").join(heads, "class").select("h", F.col("head.doc_id").alias("class_doc"), F.col("head.line_no").alias("class_line"))
-    return places.join(known, "h").filter("doc_id <> class_doc or line_no <> class_line").select("doc_id", "line_no", "class_doc", "class_line")
+    known = first.select("h", "g", "class").join(heads, "class").select("h", "g", F.col("head.doc_id").alias("class_doc"), F.col("head.line_no").alias("class_line"))
+    return places.join(known, ["h", "g"]).filter("doc_id <> class_doc or line_no <> class_line").select("doc_id", "line_no", "class_doc", "class_line")
 
 
 def dedup(docs: DataFrame, min_chars: int = 40) -> DataFrame:
@@ -271,12 +308,12 @@ def dedup(docs: DataFrame, min_chars: int = 40) -> DataFrame:
     with null ids or texts. n_chars, where there is one, is that of the new text. Rows that repeat an id share their
     lines' numbers; each loses the lines found repeated under it. An empty table gives an empty table.
     """
-    gone = repeated(docs, min_chars).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
-    rows = docs.join(gone.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left")
-    lines = F.split("text", "\n", -1)
-    left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    rows = rows.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))
-    rows = rows.filter(F.col("_gone").isNull() | (F.length(F.trim("text")) > 0))
+    gone_, id_ = unused(docs, "gone"), unused(docs, "id")
+    gone = repeated(docs, min_chars).groupBy(F.col("doc_id").alias(id_)).agg(F.collect_set("line_no").alias(gone_))
+    rows = docs.join(gone, F.col("doc_id").cast("long") == F.col(id_), "left")
+    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(gone_, i)), "\n")
+    rows = rows.withColumn("text", F.when(F.col(gone_).isNull(), F.col("text")).otherwise(left))
+    rows = rows.filter(F.col(gone_).isNull() | (F.length(F.trim("text")) > 0))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        rows = rows.withColumn("n_chars", F.when(F.col(gone_).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return rows.select(*docs.columns)

@@ -10,9 +10,8 @@ whose first l segments hold at most floor(l * BUDGET / SEGMENTS) differing ones,
 first two, at most one of the first four. So the first two and the third or the fourth agree, which makes the index key;
 pairs that meet at a key must pass the whole chain and are then compared by their whole sets of shingles.
 
-Where over `pair_limit` texts meet at a key, they are compared with one of them, the hub (the one in most crowded keys:
-the original of many copies), then those that aren't in its component with a next hub, for a few rounds. All other pairs
-of different components are met through their differences from the first hub: if x and y hold and D(x), D(y) are their
+Where over `pair_limit` texts meet at a key, they are compared with hubs among them (groups.py). All other pairs of
+different components are met through their differences from the first hub: if x and y hold and D(x), D(y) are their
 shingles that differ from the hub's, |D(x) ^ D(y)| = |x ^ y| is at most (1 - least) / (1 + least) * (|x| + |y|). If D(x)
 and D(y) were disjoint, both would be near copies of the hub; else they share one of their first tokens (prefix filter,
 rare tokens first). That loses no pair that meets at a key.
@@ -29,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import materialize
 from .components import connected_components
+from .groups import connect
 from .hashing import _mix, hashed_words, in_parts
 
 SEGMENTS, BUDGET, HEAVIEST = 24, 11, 32
@@ -167,13 +167,6 @@ def _exact(pairs: DataFrame, sets: DataFrame, least: float, name: str) -> DataFr
     return materialize(_with_sets(pairs.distinct(), sets).select("a", "b", "x", "y").mapInPandas(run, "a long, b long"), name)
 
 
-def _parts(rows: DataFrame, found: DataFrame, name: str) -> DataFrame:
-    """rows(key, node, ...) of the keys that hold several components of the links found so far, with the component c."""
-    rows = rows.join(connected_components(found), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-    several = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-    return materialize(rows.join(several, "key", "left_semi"), name)
-
-
 def _by_differences(groups: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """groups(hub, node, c) -> pairs (a, b) of different c in a group, at least all that hold and aren't both linked to the hub."""
     share, more = (1 - least) / (1 + least), (1 - least) / least
@@ -205,32 +198,7 @@ def _by_differences(groups: DataFrame, sets: DataFrame, least: float) -> DataFra
     return x.join(y, on).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
-def _crowded(crowd: DataFrame, found: DataFrame, sets: DataFrame, least: float, rounds: int) -> DataFrame:
-    """found, with links that make all texts at a key of crowd(key, node, n) one component that links there would."""
-    rank = crowd.groupBy("node").agg(F.struct((-F.sum("n")).alias("n"), "node").alias("rank"))
-    rest = crowds = _parts(crowd.select("key", "node").distinct().join(rank, "node"), found, "crowds")
-    firsts = None
-    for _ in range(rounds):
-        hubs = materialize(rest.groupBy("key").agg(F.min_by(F.struct("node", "c"), "rank").alias("hub")).select("key", F.col("hub.node").alias("hub"), F.col("hub.c").alias("hub_c")), "hubs")
-        firsts = hubs if firsts is None else firsts
-        stars = rest.join(hubs, "key").filter("c <> hub_c").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-        new = _exact(stars, sets, least, "stars")
-        if new.isEmpty():
-            break
-        found = found.union(new)
-        rest = rest.join(hubs.select("key", "hub"), "key").drop("c").join(connected_components(found), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-        home = rest.filter("node = hub").select("key", F.col("c").alias("hub_c"))
-        rest = materialize(rest.join(home, "key").filter("c <> hub_c").select("key", "node", "rank", "c"), "rest")
-        if rest.isEmpty():
-            break
-    crowds = _parts(crowds.select("key", "node"), found, "crowds")
-    if crowds.isEmpty():
-        return found
-    groups = crowds.join(firsts.select("key", "hub"), "key").select("hub", "node", "c").distinct()
-    return found.union(_exact(_by_differences(groups, sets, least), sets, least, "met"))
-
-
-def links(nodes: DataFrame, least: float = 0.8, pair_limit: int = 32, sets: Callable[[DataFrame], DataFrame] | None = None, rounds: int = 4) -> DataFrame:
+def links(nodes: DataFrame, least: float = 0.8, pair_limit: int = 4, sets: Callable[[DataFrame], DataFrame] | None = None, rounds: int = 3) -> DataFrame:
     """nodes(node, segs, sketch) -> links (a, b) that hold, enough to connect all texts that links connect.
 
     sets gives (node, whole) for a table of nodes (default: nodes has the column). Of crowded keys, hubs are tried for
@@ -245,7 +213,9 @@ def links(nodes: DataFrame, least: float = 0.8, pair_limit: int = 32, sets: Call
     wanted = likely.select(F.col("a").alias("node")).union(likely.select("b")).union(crowd.select("node"))
     whole = materialize(sets(wanted.distinct()), "sets")
     found = _exact(likely, whole, least, "links")
-    return found if crowd.isEmpty() else _crowded(crowd, found, whole, least, rounds)
+    if crowd.isEmpty():
+        return found
+    return connect(crowd, found, lambda pairs, name: _exact(pairs, whole, least, name), lambda groups: _by_differences(groups, whole, least), rounds)
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:

@@ -295,29 +295,68 @@ def test_edit_distance_and_keys():
             assert (linededup.parity(a) ^ linededup.parity(b)).bit_count() <= 8
 
 
+def classes(n, pairs):
+    """The smallest number that each of 0 to n - 1 is linked to."""
+    label = list(range(n))
+    for _ in range(n):
+        for i, j in pairs:
+            label[i] = label[j] = min(label[i], label[j])
+    return label
+
+
+def spanning(spark, lines, limit):
+    """(links found, links by brute force)."""
+    whole = linededup.all_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), 1)
+    at = {r["h"]: r["doc_id"] for r in whole.collect()}
+    found = linededup.similar_lines(whole.select("h", "line"), pair_limit=limit).collect()
+    want = {(i, j) for j, b in enumerate(lines) for i, a in enumerate(lines[:j]) if linededup.within(a, b, linededup.edits_for(min(len(a), len(b))))}
+    return {tuple(sorted((at[x["a"]], at[x["b"]]))) for x in found}, want
+
+
 @pytest.mark.parametrize("limit", [40, 3])
 def test_line_dedup_equals_brute_force(spark, limit):
     r = random.Random(5)
     base = ["".join(r.choice("abcd ") for _ in range(n)).strip() + "x" for n in (45, 60, 90, 120)]
     lines = [" ".join(edited(r, r.choice(base), r.randint(0, 5)).split()) for _ in range(60)]
     lines = [x for x in dict.fromkeys(lines) if len(x) >= 40]
-    docs = spark.createDataFrame([(i, "short\n" + x) for i, x in enumerate(lines)], "doc_id long, text string")
-    h = {xxhash.xxh64_intdigest(x.encode(), 42): i for i, x in enumerate(lines)}
-    got = {tuple(sorted((h[x["a"] % 2**64], h[x["b"] % 2**64]))) for x in linededup.similar_lines(docs, pair_limit=limit).collect()}
-    assert got == {(i, j) for j, b in enumerate(lines) for i, a in enumerate(lines[:j]) if levenshtein(a, b) <= linededup.edits_for(min(len(a), len(b)))}
+    got, want = spanning(spark, lines, limit)
+    assert got <= want and classes(len(lines), got) == classes(len(lines), want)
+    docs = spark.createDataFrame([(i // 2, "short one\n" + x + "\n" + x) for i, x in enumerate(lines)], "doc_id long, text string")
+    texts = [y for i, x in enumerate(lines) for y in ((i // 2, 0, "short one"), (i // 2, 1, x), (i // 2, 2, x))]
+    label = classes(len(lines), want)
+    first = {}
+    for doc, no, x in sorted(texts):
+        first.setdefault(label[lines.index(x)] if x in lines else x, (doc, no))
+    rows = {tuple(x) for x in linededup.repeated(docs, 1).collect()}
+    assert rows == {(d, n, *first[k]) for d, n, x in texts for k in [label[lines.index(x)] if x in lines else x] if (d, n) != first[k]}
 
 
 @pytest.mark.parametrize("limit", [40, 2])
 def test_line_dedup_of_long_lines(spark, limit):
-    """Edits grow with the length; all pairs within them are found, also across the lengths where the keys change."""
+    """Edits grow with the length; all classes are found, also across the lengths where the keys change."""
     r = random.Random(6)
     base = ["".join(r.choice("abcd ") for _ in range(n)).strip() + "x" for n in (25, 158, 162, 330, 650)] + ["ab" * 85 + "x"]
     lines = list(dict.fromkeys(" ".join(edited(r, b, n).split()) for b in base for n in (0, 1, 1, 2, 3, 4, 5)))
-    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    h = {xxhash.xxh64_intdigest(x.encode(), 42): i for i, x in enumerate(lines)}
-    got = {tuple(sorted((h[x["a"] % 2**64], h[x["b"] % 2**64]))) for x in linededup.similar_lines(docs, min_chars=1, pair_limit=limit).collect()}
-    want = {(i, j) for j, b in enumerate(lines) for i, a in enumerate(lines[:j]) if linededup.within(a, b, linededup.edits_for(min(len(a), len(b))))}
-    assert got == want and max(levenshtein(lines[i], lines[j]) for i, j in want) > 3
+    got, want = spanning(spark, lines, limit)
+    assert got <= want and classes(len(lines), got) == classes(len(lines), want)
+    assert max(levenshtein(lines[i], lines[j]) for i, j in want) > 3
+
+
+def test_line_groups_are_not_paired(spark):
+    """The links of a large group around one line grow with the group, not with its square; without that line none is lost."""
+    r = random.Random(8)
+    base = " ".join("".join(r.choice("abcdefgh ") for _ in range(110)).split()) + "x"
+    lines = list(dict.fromkeys([base] + [" ".join(edited(r, base, 2).split()) for _ in range(150)]))
+    for some in (lines, lines[1:]):
+        got, want = spanning(spark, some, 4)
+        assert got <= want and classes(len(some), got) == classes(len(some), want)
+        assert len(got) < 3 * len(some)
+
+
+def test_line_dedup_with_names_that_clash(spark):
+    docs = spark.createDataFrame([(1, "one line of text here", "a", 2), (2, "one line of text here\nand more", "b", 3)], "doc_id long, text string, gone string, id int")
+    got = linededup.dedup(docs, 1)
+    assert got.columns == docs.columns and {tuple(x) for x in got.collect()} == {(1, "one line of text here", "a", 2), (2, "and more", "b", 3)}
 
 
 def test_line_dedup_of_short_lines(spark, tmp_path):
