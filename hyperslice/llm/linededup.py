@@ -2,9 +2,10 @@
 
 A line of length L is cut into t + 1 segments; a line within t edits keeps one of them unchanged, at a place at most t
 off, so lines are indexed by (length, segment number, segment) and probe the indexes of lengths L - t to L with the few
-substrings whose place fits (the multi-match-aware windows). From GRAMS_FROM characters on that would take many keys;
-such lines are indexed by their first GRAM * t + 1 runs of GRAM letters (numbered where they repeat) in the order of
-their hashes: t edits take away at most GRAM * t runs, so one of these is shared (prefix filter). Lines that meet are
+substrings whose place fits (the multi-match-aware windows). From LONG characters on, lines share their segments with
+all lines of up to twice a power-of-two scale: t + 1 segments of the first `scale` characters. Take the first segment i
+for which the segments up to it hold at most i edits: it holds none, and the ones before it hold exactly i, so it stands
+at most i places off. Lines that meet are
 verified with a banded bit-parallel edit distance. Lines are compared with white space collapsed; those under `min_chars`
 characters are left alone (op4_line_dedup and the pipeline take 1: all but empty lines), and those under EDITS_FROM are
 compared for equality only.
@@ -31,13 +32,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import materialize, slices, unused
 from .components import connected_components
 from .groups import connect
-from .hashing import _mix
 
 
-#: Lines this long may differ by edits; lines this long are indexed by runs of GRAM letters.
-EDITS_FROM, GRAMS_FROM, GRAM = 20, 160, 12
-#: Runs are keyed with the line's length in steps of so many characters, at least the edits of any line.
-_STEP = 64
+#: Lines this long may differ by edits; lines this long are indexed by scale and not by length.
+EDITS_FROM, LONG = 20, 160
 
 
 def edits_for(length: int) -> int:
@@ -60,33 +58,11 @@ def _segment(length: int, parts: int) -> list[tuple[int, int]]:
     return out
 
 
-def _runs(lines: list[str]) -> list[np.ndarray]:
-    """Of each line the sorted hashes of all runs of GRAM letters, each with the number of equal ones before it; computed for all lines together."""
-    code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    n = len(code) - GRAM + 1
-    total = np.zeros(n, np.uint64)
-    for i in range(GRAM):
-        total *= np.uint64(0x9E3779B97F4A7C15)
-        total += code[i : i + n] + np.uint64(1)
-    total = _mix(total)
-    out, end = [], 0
-    for line in lines:
-        own = np.sort(total[end : end + len(line) - GRAM + 1])
-        end += len(line)
-        same = own[1:] == own[:-1]
-        if same.any():
-            new = np.concatenate(([True], ~same))
-            before = np.arange(len(own)) - np.flatnonzero(new)[np.cumsum(new) - 1]
-            own = np.sort(np.where(new, own, _mix(own + before.astype(np.uint64) * np.uint64(0x5851F42D4C957F2D))))
-        out.append(own)
-    return out
-
-
-@lru_cache(maxsize=1024)
-def _plan(length: int) -> list[tuple[int, int, int, bool]]:
-    """(start, end, seed, whether it is an index entry) of the substrings by which a line of this length is keyed."""
+@lru_cache(maxsize=256)
+def _short_plan(length: int) -> list[tuple[int, int, int, bool]]:
+    """(start, end, seed, whether it is an index entry) of the substrings by which a line of this length meets lines under LONG."""
     out: dict[tuple[int, int, int], bool] = {}
-    for shorter in range(length - edits_for(length), min(length + 1, GRAMS_FROM)):
+    for shorter in range(length - edits_for(length), min(length + 1, LONG)):
         t, gap = edits_for(shorter), length - shorter
         if shorter < t + 1 or gap > t:
             continue
@@ -99,29 +75,34 @@ def _plan(length: int) -> list[tuple[int, int, int, bool]]:
     return [(*k, own) for k, own in out.items()]
 
 
+@lru_cache(maxsize=64)
+def _long_plan(scale: int) -> list[tuple[int, int, int, bool]]:
+    """The same for lines of `scale` to 2 * scale characters."""
+    t = edits_for(scale)
+    parts = enumerate(_segment(scale, t + 1))
+    return [(at, at + width, _digest(f"from {scale} {i}"), at == start) for i, (start, width) in parts for at in range(max(0, start - i), start + i + 1)]
+
+
+def _plan(length: int) -> list[tuple[int, int, int, bool]]:
+    if length < LONG:
+        return _short_plan(length)
+    scale = LONG << (length // LONG).bit_length() - 1
+    shorter = edits_for(scale - 1) > length - scale  # lines of the scale below may be within reach
+    return _long_plan(scale) + ((_short_plan(length) if scale == LONG else _long_plan(scale // 2)) if shorter else [])
+
+
 def keys_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(number of the line, signed 64-bit key) for the keys of all lines; the lowest bit is 1 for index entries, 0 for probes."""
-    where, found, digest = [], [], xxhash.xxh3_64_intdigest
-    for no, line in enumerate(lines):
-        length = len(line)
-        if length < EDITS_FROM or length > GRAMS_FROM + edits_for(length):
-            continue
-        data = line.encode() if line.isascii() else None
-        new = [
-            (digest(line[a:b].encode("utf-8", "surrogatepass") if data is None else data[a:b], seed) | 1) ^ (not own)
-            for a, b, seed, own in _plan(length)
-        ]
-        found += new
-        where += [no] * len(new)
-    parts = [(np.array(where, np.int64), np.array(found, np.uint64))]
-    long = [no for no, line in enumerate(lines) if len(line) >= GRAMS_FROM]
-    for no, runs in zip(long, _runs([lines[no] for no in long]) if long else (), strict=True):
-        length = len(lines[no])
-        t = edits_for(length)
-        for bucket in {length // _STEP, (length - t) // _STEP}:
-            mixed = _mix(runs[: GRAM * t + 1] ^ np.uint64(_digest(f"{bucket}"))) | np.uint64(1)
-            parts.append((np.full(len(mixed), no), mixed ^ np.uint64(bucket != length // _STEP)))
-    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).view(np.int64)
+    count, found, digest = [], [], xxhash.xxh3_64_intdigest
+    for line in lines:
+        plan = _plan(len(line)) if len(line) >= EDITS_FROM else ()
+        if line.isascii():
+            data = line.encode()
+            found += [(digest(data[a:b], seed) | 1) ^ (not own) for a, b, seed, own in plan]
+        else:
+            found += [(digest(line[a:b].encode("utf-8", "surrogatepass"), seed) | 1) ^ (not own) for a, b, seed, own in plan]
+        count.append(len(plan))
+    return np.repeat(np.arange(len(lines)), count), np.array(found, np.uint64).view(np.int64)
 
 
 def keys(line: str) -> list[int]:
