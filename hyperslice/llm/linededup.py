@@ -13,8 +13,8 @@ compared for equality only.
 Where more than `pair_limit` different lines meet at one key, they are not paired with each other but compared with hubs
 among them (groups.py). Lines that no hub connects are reduced to the letter pairs in which they differ from the first
 hub. Lines within t edits of one another differ in at most 4 t letter pairs, so their difference lists share one of the
-first 4 t + 1 entries (prefix filter) unless both lists are at most 4 t long; only such lines of different components are
-paired. No link is lost; each line takes the t of its own length, which is no less than that of a pair it is in.
+4 t + 1 rarest entries (prefix filter) unless both lists have at most 4 t entries together; only such lines of different
+components, whose lengths and parities of letters and letter pairs allow t edits, are paired. No link is lost; each line takes the t of its own length, which is no less than that of a pair it is in.
 """
 
 from __future__ import annotations
@@ -191,47 +191,61 @@ def _keyed(lines: DataFrame) -> DataFrame:
     return rows.select("h", F.expr("shiftright(value, 1)").alias("key"), F.col("value").bitwiseAND(1).alias("own"))
 
 
-def parity(line: str) -> int:
-    """Bit i: whether the letter pairs hashed to i are odd in number. An edit flips at most four bits."""
+def parity(line: str) -> tuple[int, int, int]:
+    """Bit i of the first two: whether the letter pairs hashed to i (of 128) are odd in number; of the last: the letters.
+
+    An edit flips at most four bits of the pairs and two of the letters.
+    """
     code = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
-    odd = np.bincount((code[:-1] * np.uint32(37) + code[1:] * np.uint32(101)) % 64, minlength=64) & 1
-    return int(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)[0])
+    pairs = np.bincount((code[:-1] * np.uint32(37) + code[1:] * np.uint32(101)) % 128, minlength=128)
+    both = np.concatenate([pairs, np.bincount(code % 64, minlength=64)]) & 1
+    return tuple(np.packbits(both.astype(np.uint8), bitorder="little").view(np.int64).tolist())
 
 
 def _apart(rows: DataFrame) -> DataFrame:
-    """rows(h, c, line, group, hub) -> (h, c, token): the first differing letter pairs from the hub, and the group itself where there are few."""
+    """rows(h, c, t, line, group, hub) -> (h, c, d, few, token): the 4 t + 1 rarest letter pairs in which a line differs
+    from its group's hub, d pairs in all; and where d is at most 4 t, the group itself (few)."""
 
     def pairs(s: str) -> Counter:
         return Counter(s[i : i + 2] for i in range(len(s) - 1))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["h", "c", "t", "group", "d", "few", "token"]
         for frame in frames:
             out = []
-            for h, c, line, group, hub in frame[["h", "c", "line", "group", "hub"]].itertuples(index=False):
-                a, b, t = pairs(line), pairs(hub), edits_for(len(line))
-                diff = sorted(_digest(f"{group} {sign} {n} {g}") for sign, d in (("+", a - b), ("-", b - a)) for g, k in d.items() for n in range(k))
-                if len(diff) <= 4 * t:
-                    out.append((h, c, _digest(f"{group}")))
-                out += [(h, c, d) for d in diff[: 4 * t + 1]]
-            yield pd.DataFrame([(h, c, (d ^ (1 << 63)) - (1 << 63)) for h, c, d in out], columns=["h", "c", "token"], dtype="int64")
+            for h, c, t, line, group, hub in frame[["h", "c", "t", "line", "group", "hub"]].itertuples(index=False):
+                a, b = pairs(line), pairs(hub)
+                diff = [_digest(f"{group} {sign} {n} {g}") for sign, d in (("+", a - b), ("-", b - a)) for g, k in d.items() for n in range(k)]
+                own = [(x, 0) for x in diff] + [(_digest(f"{group}"), 1)] * (len(diff) <= 4 * t)
+                out += [(h, c, t, group, len(diff), few, (x ^ (1 << 63)) - (1 << 63)) for x, few in own]
+            yield pd.DataFrame(out, columns=names, dtype="int64")
 
-    return rows.mapInPandas(run, "h long, c long, token long")
+    found = materialize(rows.mapInPandas(run, "h long, c long, t long, group long, d long, few long, token long"), "differences")
+    found = found.join(found.groupBy("token").agg(F.count("*").alias("n")), "token")
+    place = F.row_number().over(Window.partitionBy("h", "group", "few").orderBy("n", "token"))
+    return found.withColumn("at", place).filter((F.col("at") <= 4 * F.col("t") + 1) & (F.col("n") > 1)).select("h", "c", "d", "few", "token")
 
 
 def _pairs(met: DataFrame, by: str, *more: Column) -> DataFrame:
-    """Pairs of lines that meet at a key and whose parities allow the edits of the shorter one."""
+    """Pairs of lines that meet at a key and whose lengths and parities allow the edits of the shorter one."""
     a, b = met.alias("a"), met.alias("b")
-    on = (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col("a.h") < F.col("b.h")) & (F.bit_count(F.col("a.odd").bitwiseXOR(F.col("b.odd"))) <= 4 * F.least("a.t", "b.t"))
+    t = F.least("a.t", "b.t")
+    odd = lambda c: F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}")))
+    on = (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col("a.h") < F.col("b.h")) & (F.abs(F.col("a.n") - F.col("b.n")) <= t)
+    on &= (odd("odd") + odd("odd2") <= 4 * t) & (odd("letters") <= 2 * t)
     for condition in more:
         on &= condition
     return a.join(b, on).select(F.col("a.h").alias("a"), F.col("b.h").alias("b")).distinct()
 
 
+FILTERS = ("n", "t", "odd", "odd2", "letters")
+
+
 def _odds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 1000):
         lines = batch.column(1).to_pylist()
-        odd, t = pa.array([parity(x) for x in lines], pa.int64()), pa.array([edits_for(len(x)) for x in lines], pa.int32())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), odd, t], names=["h", "line", "odd", "t"])
+        rows = np.array([(len(x), edits_for(len(x)), *parity(x)) for x in lines], np.int64).reshape(-1, len(FILTERS))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c) for c in rows.T)], names=["h", "line", *FILTERS])
 
 
 def similar_lines(lines: DataFrame, pair_limit: int = 4) -> DataFrame:
@@ -241,7 +255,7 @@ def similar_lines(lines: DataFrame, pair_limit: int = 4) -> DataFrame:
     met = _keyed(lines).select("h", "key", F.min("h").over(over).alias("lo"), F.max("h").over(over).alias("hi"), F.max("own").over(over).alias("own"), F.count("*").over(over).alias("n"))
     met = materialize(met.filter("lo < hi and own = 1").select("h", "key", "n").distinct(), "met")
     texts = lines.join(met.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
-    texts = materialize(texts.mapInArrow(_odds, "h long, line string, odd long, t int"), "texts")
+    texts = materialize(texts.mapInArrow(_odds, "h long, line string, " + ", ".join(f"{c} long" for c in FILTERS)), "texts")
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -255,11 +269,13 @@ def similar_lines(lines: DataFrame, pair_limit: int = 4) -> DataFrame:
 
     def rest(groups: DataFrame) -> DataFrame:
         told = groups.withColumnRenamed("node", "h").join(texts, "h").join(texts.select(F.col("h").alias("hub"), F.col("line").alias("hub_line")), "hub")
-        apart = _apart(told.select("h", "c", "line", F.col("hub").alias("group"), F.col("hub_line").alias("hub"))).distinct()
-        return _pairs(apart.join(texts.select("h", "odd", "t"), "h"), "token", F.col("a.c") != F.col("b.c"))
+        apart = _apart(told.select("h", "c", "t", "line", F.col("hub").alias("group"), F.col("hub_line").alias("hub")))
+        most = 4 * F.least("a.t", "b.t")
+        fits = (F.abs(F.col("a.d") - F.col("b.d")) <= most) & ((F.col("a.few") == 0) | (F.col("a.d") + F.col("b.d") <= most))
+        return _pairs(apart.join(texts.select("h", *FILTERS), "h"), "token", F.col("a.c") != F.col("b.c"), fits)
 
     few, crowd = met.filter(F.col("n") <= pair_limit), met.filter(F.col("n") > pair_limit)
-    found = exact(_pairs(few.select("h", "key").join(texts.select("h", "odd", "t"), "h"), "key"), "links")
+    found = exact(_pairs(few.select("h", "key").join(texts.select("h", *FILTERS), "h"), "key"), "links")
     return found if crowd.isEmpty() else connect(crowd.withColumnRenamed("h", "node"), found, exact, rest)
 
 
