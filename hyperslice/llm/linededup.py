@@ -36,6 +36,7 @@ from .groups import connect
 
 #: Lines this long may differ by edits; lines this long are indexed by scale and not by length.
 EDITS_FROM, LONG = 20, 160
+STEP = 32
 
 
 def edits_for(length: int) -> int:
@@ -221,7 +222,7 @@ def _apart(rows: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=names, dtype="int64")
 
     found = materialize(rows.mapInPandas(run, "h long, c long, t long, group long, d long, few long, token long"), "differences")
-    found = found.join(found.groupBy("token").agg(F.count("*").alias("n")), "token")
+    found = found.withColumn("n", F.count("*").over(Window.partitionBy("token")))
     place = F.row_number().over(Window.partitionBy("h", "group", "few").orderBy("n", "token"))
     return found.withColumn("at", place).filter((F.col("at") <= 4 * F.col("t") + 1) & (F.col("n") > 1)).select("h", "c", "d", "few", "token")
 
@@ -274,8 +275,14 @@ def similar_lines(lines: DataFrame, pair_limit: int = 4) -> DataFrame:
         fits = (F.abs(F.col("a.d") - F.col("b.d")) <= most) & ((F.col("a.few") == 0) | (F.col("a.d") + F.col("b.d") <= most))
         return _pairs(apart.join(texts.select("h", *FILTERS), "h"), "token", F.col("a.c") != F.col("b.c"), fits)
 
-    few, crowd = met.filter(F.col("n") <= pair_limit), met.filter(F.col("n") > pair_limit)
-    found = exact(_pairs(few.select("h", "key").join(texts.select("h", *FILTERS), "h"), "key"), "links")
+    # Crowded keys are split by length: steps of so many characters, and the step below for lines within reach of it.
+    lengths = F.array_distinct(F.array(F.floor(F.col("len") / STEP), F.floor((F.col("len") - F.col("t")) / STEP)))
+    crowd = met.filter(F.col("n") > pair_limit).select("h", "key").join(texts.select("h", F.col("n").alias("len"), "t"), "h")
+    crowd = crowd.select("h", F.xxhash64("key", F.explode(lengths)).alias("key")).withColumn("n", F.count("*").over(Window.partitionBy("key")))
+    crowd = materialize(crowd.filter("n > 1"), "crowd")
+    few = met.filter(F.col("n") <= pair_limit).select("h", "key").union(crowd.filter(F.col("n") <= pair_limit).select("h", "key"))
+    found = exact(_pairs(few.join(texts.select("h", *FILTERS), "h"), "key"), "links")
+    crowd = crowd.filter(F.col("n") > pair_limit)
     return found if crowd.isEmpty() else connect(crowd.withColumnRenamed("h", "node"), found, exact, rest)
 
 
