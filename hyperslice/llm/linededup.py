@@ -278,7 +278,7 @@ def similar_lines(lines: DataFrame, pair_limit: int = 4) -> DataFrame:
     # Crowded keys are split by length: steps of so many characters, and the step below for lines within reach of it.
     lengths = F.array_distinct(F.array(F.floor(F.col("len") / STEP), F.floor((F.col("len") - F.col("t")) / STEP)))
     crowd = met.filter(F.col("n") > pair_limit).select("h", "key").join(texts.select("h", F.col("n").alias("len"), "t"), "h")
-    crowd = crowd.select("h", F.xxhash64("key", F.explode(lengths)).alias("key")).withColumn("n", F.count("*").over(Window.partitionBy("key")))
+    crowd = crowd.select("h", "key", F.explode(lengths).alias("step")).select("h", F.xxhash64("key", "step").alias("key")).withColumn("n", F.count("*").over(Window.partitionBy("key")))
     crowd = materialize(crowd.filter("n > 1"), "crowd")
     few = met.filter(F.col("n") <= pair_limit).select("h", "key").union(crowd.filter(F.col("n") <= pair_limit).select("h", "key"))
     found = exact(_pairs(few.join(texts.select("h", *FILTERS), "h"), "key"), "links")
