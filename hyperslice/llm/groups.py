@@ -20,18 +20,21 @@ def connect(crowd: DataFrame, found: DataFrame, exact: Callable[[DataFrame, str]
     linked to the hub. So no link is lost; `rounds` only saves work.
     """
     rank = crowd.groupBy("node").agg(F.struct((-F.sum("n")).alias("n"), "node").alias("rank"))
-    left = crowds = materialize(crowd.select("key", "node").distinct().join(rank, "node"), "crowds")
-    firsts = None
-    for _ in range(rounds):
-        hubs = materialize(left.groupBy("key").agg(F.min("rank").alias("hub")).select("key", F.col("hub.node").alias("hub")), "hubs")
-        firsts = hubs if firsts is None else firsts
-        stars = left.join(hubs, "key").filter("node <> hub")
+    met = materialize(crowd.select("key", "node").distinct().join(rank, "node"), "crowds")
+    # From here on a group is all nodes at keys of one first hub.
+    heads = met.groupBy("key").agg(F.min("rank").alias("hub")).select("key", F.col("hub.node").alias("group"))
+    left = groups = materialize(met.join(heads, "key").select("group", "node", "rank").distinct(), "groups")
+    hubs = groups.select("group", F.col("group").alias("hub")).distinct()
+    for number in range(rounds):
+        if number:
+            hubs = materialize(left.groupBy("group").agg(F.min("rank").alias("hub")).select("group", F.col("hub.node").alias("hub")), "hubs")
+        stars = left.join(hubs, "group").filter("node <> hub")
         new = exact(stars.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
         found = found.union(new)
-        left = materialize(stars.join(new.select(F.col("a").alias("hub"), F.col("b").alias("node")), ["hub", "node"], "left_anti").select("key", "node", "rank"), "left")
+        left = materialize(stars.join(new.select(F.col("a").alias("hub"), F.col("b").alias("node")), ["hub", "node"], "left_anti").select("group", "node", "rank"), "left")
         if left.isEmpty():
             return found
-    rows = crowds.select("key", "node").join(connected_components(found), "node", "left").withColumn("c", F.coalesce("component", "node"))
-    several = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-    groups = materialize(rows.join(several, "key", "left_semi").join(firsts, "key").select("hub", "node", "c").distinct(), "groups")
-    return found if groups.isEmpty() else found.union(exact(rest(groups), "met"))
+    rows = groups.select("group", "node").join(connected_components(found), "node", "left").withColumn("c", F.coalesce("component", "node"))
+    several = rows.groupBy("group").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("group")
+    rows = materialize(rows.join(several, "group", "left_semi").select(F.col("group").alias("hub"), "node", "c"), "several")
+    return found if rows.isEmpty() else found.union(exact(rest(rows), "met"))
