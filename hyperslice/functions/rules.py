@@ -5,11 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 #: Technique rules on an object's file name, first match wins.
-NAME_RULES = (("powershell", "T1059.001"), ("cmd", "T1059.003"), ("wmic", "T1047"), ("reg", "T1112"), ("ssh", "T1021.004"), ("scp", "T1105"), ("curl", "T1105"), ("nmap", "T1046"), ("crontab", "T1053.003"), ("passwd", "T1003"))
-#: Service by destination port.
-SERVICES = {53: "DNS", 67: "DHCP", 68: "DHCP", 80: "HTTP", 443: "HTTPS", 8080: "HTTP", 22: "SSH", 445: "SMB", 139: "SMB", 3389: "RDP", 25: "SMTP", 21: "FTP"}
-#: Private, loopback and link-local IPv4 blocks as (first address, prefix length).
-INTERNAL = ((0, 8), (10 << 24, 8), (127 << 24, 8), ((169 << 24) + (254 << 16), 16), ((172 << 24) + (16 << 16), 12), ((192 << 24) + (168 << 16), 16), ((198 << 24) + (18 << 16), 15), ((192 << 24) + (2 << 8), 24), ((198 << 24) + (51 << 16) + (100 << 8), 24), ((203 << 24) + (113 << 8), 24), (240 << 24, 4))
+NAME_RULES = (("firefox", "T1189"), ("drakon", "T1055"), ("verifier", "T1546.012"), ("sysinfo", "T1082"), ("copykatz", "T1003"), ("mimikatz", "T1003"), ("filefilter-elevate", "T1068"), ("ping", "T1016"), ("cmd", "T1059.003"), ("powershell", "T1059.001"))
+#: Technique rules on a host event's paths and command line, first match wins.
+EVENT_RULES = (
+    ("T1003", ("mimikatz", "lsadump")), ("T1047", ("wmic", "invoke-wmi", "winmgmt")), ("T1059.001", ("powershell", "empire")), ("T1112", ("reg add", "reg.exe", "registry")),
+    ("T1046", ("ping", "scan", "nmap")), ("T1113", ("screenshot", "screen", "snipping")), ("T1055", ("psinject", "lsass")),
+)
+#: Service tokens by port.
+SERVICES = {53: "SVC_DNS", 67: "SVC_DHCP", 68: "SVC_DHCP", 80: "SVC_HTTP", 8080: "SVC_HTTP", 8000: "SVC_HTTP", 443: "SVC_HTTPS", 8443: "SVC_HTTPS", 22: "SVC_SSH", 3389: "SVC_RDP", 445: "SVC_SMB", 139: "SVC_SMB", 88: "SVC_KRB", 389: "SVC_LDAP", 636: "SVC_LDAP"}
+#: Transport protocols that have ports, by their number.
+TRANSPORTS = {6: "TCP", 17: "UDP"}
+#: Private, loopback, link-local, test and reserved blocks: IPv4 by their first octets, IPv6 by their beginnings.
+INTERNAL = (r"0", r"10", r"127", r"169\.254", r"172\.(?:1[6-9]|2\d|3[01])", r"192\.168", r"198\.1[89]", r"192\.0\.2", r"198\.51\.100", r"203\.0\.113", r"2[4-5]\d")
+INTERNAL_V6 = (r"::1?$", r"f[cd][0-9a-f]{2}:", r"fe[89ab][0-9a-f]:", r"2001:db8:")
+OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 
 
 def file_name(path: Column) -> Column:
@@ -24,14 +33,52 @@ def technique(path: Column) -> Column:
     return F.coalesce(out.otherwise(""), F.lit(""))
 
 
+def event_technique(properties: Column) -> Column:
+    """Technique of a host event by its image path, module path and command line, '' if none."""
+    text = F.lower(F.concat_ws(" | ", *[F.coalesce(properties[c], F.lit("")) for c in ("image_path", "module_path", "command_line")]))
+    found = [F.when(F.array_contains(F.array(*[text.contains(w) for w in words]), True), F.lit(label)) for label, words in EVENT_RULES]
+    return F.coalesce(*found, F.lit(""))
+
+
 def service(port: Column) -> Column:
-    """P10: service name of a port, OTHER if none."""
+    """P10: service token of a port, SVC_OTHER if none."""
     table = F.create_map(*[F.lit(x) for pair in SERVICES.items() for x in pair])
-    return F.coalesce(table[port.cast("int")], F.lit("OTHER"))
+    return F.coalesce(table[port.cast("int")], F.lit("SVC_OTHER"))
 
 
 def port_bucket(port: Column) -> Column:
-    return F.when(port <= 1023, "SYS").when(port <= 49151, "USER").when(port.isNotNull(), "DYN")
+    """P10: PORT_WELLKNOWN, PORT_REGISTERED or PORT_DYNAMIC; PORT_UNKNOWN for null."""
+    return F.when(port.isNull(), "PORT_UNKNOWN").when(port <= 1023, "PORT_WELLKNOWN").when(port <= 49151, "PORT_REGISTERED").otherwise("PORT_DYNAMIC")
+
+
+def network_event(port: Column) -> Column:
+    """NET_DNS, NET_DHCP, or NET_CONNECT_ and the service of the peer's port."""
+    token = service(port)
+    return F.when(token.isin("SVC_DNS", "SVC_DHCP"), F.replace(token, F.lit("SVC_"), F.lit("NET_"))).otherwise(F.replace(token, F.lit("SVC_"), F.lit("NET_CONNECT_")))
+
+
+def transport(number: Column) -> Column:
+    """TCP, UDP, IP_PROTO_n, or NON_IP for frames without an IP header."""
+    table = F.create_map(*[F.lit(x) for pair in TRANSPORTS.items() for x in pair])
+    return F.when(number.isNull(), "NON_IP").otherwise(F.coalesce(table[number.cast("int")], F.concat(F.lit("IP_PROTO_"), number.cast("string"))))
+
+
+def kept_technique(chain: Column) -> Column:
+    """The first technique of a chain's steps, '' if none."""
+    return F.coalesce(F.get(F.filter(F.transform(chain, lambda x: x["ttp"]), lambda x: x.isNotNull() & (x != "")), F.lit(0)), F.lit(""))
+
+
+def backfill_technique(chain: Column, ttp: Column) -> Column:
+    """The chain with the slice's technique in every step."""
+    return F.transform(chain, lambda x: x.withField("ttp", ttp))
+
+
+def stable_id(columns: list[str], ident: str = "global_id") -> Column:
+    """global_id; else day|slice_id; else the whole row as JSON."""
+    have = {c for c in columns}
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in have else F.lit("")
+    both = F.when((text("day") != "") | (text("slice_id") != ""), F.concat(text("day"), F.lit("|"), text("slice_id")))
+    return F.coalesce(*([F.col(ident).cast("string")] if ident in have else []), both, F.to_json(F.struct(*sorted(have))))
 
 
 def magnitude(value: Column, low: float, high: float) -> Column:
@@ -40,14 +87,9 @@ def magnitude(value: Column, low: float, high: float) -> Column:
 
 
 def is_internal(ip: Column) -> Column:
-    """P4 for IPv4: in a private, loopback or link-local block; false for what isn't an address."""
-    octet = [F.regexp_extract(ip, r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$", i).try_cast("long") for i in range(1, 5)]
-    number = octet[0] * 16777216 + octet[1] * 65536 + octet[2] * 256 + octet[3]
-    valid = (octet[0] < 256) & (octet[1] < 256) & (octet[2] < 256) & (octet[3] < 256)
-    hit = F.lit(False)
-    for first, bits in INTERNAL:
-        hit = hit | number.between(first, first + (1 << (32 - bits)) - 1)
-    return F.coalesce(valid & hit, F.lit(False))
+    """In a private, loopback or link-local block (IPv4; of IPv6 the main prefixes); false for what isn't an address."""
+    v4 = ip.rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$") & ip.rlike(rf"^(?:{'|'.join(INTERNAL)})\.")
+    return F.coalesce(v4 | F.lower(ip).rlike(rf"^(?:{'|'.join(INTERNAL_V6)})"), F.lit(False))
 
 
 def salted_token(value: Column, salt: str, prefix: str, n: int = 8) -> Column:

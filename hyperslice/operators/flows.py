@@ -26,20 +26,42 @@ def biflows(packets: DataFrame, bucket_s: float = 1.0, idle_s: float = 1.0) -> D
     return rows.groupBy(*key, "session").agg(F.min("timestamp").alias("t_start"), F.max("timestamp").alias("t_end"), F.count("*").alias("packets"), F.sum("bytes").alias("bytes"), F.first("anchor").alias("anchor"))
 
 
-#: Ports of lateral movement and of command and control.
+#: Ports of lateral movement, of discovery, and of command and control; and the bounds of the tactic rules.
 LATERAL = (22, 23, 135, 139, 445, 3389, 5985, 5986, 1433, 3306, 5432, 6379, 9200)
+DISCOVERY = (137, 138, 139, 161, 445)
 CONTROL = (53, 80, 443, 8080, 8443)
+BOUNDS = {"peers": 20, "ports": 30, "quick_s": 10, "probed_peers": 5, "lateral_hits": 2, "inside": 3, "bytes": 2_000_000, "few_peers": 2, "lasting_s": 10, "packets": 10}
 
 
-def tactics(flows: DataFrame, many: int = 8) -> DataFrame:
-    """A2 over flows(slice, peer, port, peer_internal, bytes, t_start, t_end): tactic names joined by |."""
+def tactics(flows: DataFrame, bounds: dict[str, float] | None = None) -> DataFrame:
+    """A2 over flows(slice, anchor, peer, port, packets, bytes, t_start, t_end): tactic names joined by |, and what they
+    follow from. peer and port are null for flows that don't touch the anchor; those count for the duration only."""
+    at = BOUNDS | (bounds or {})
+    touches, inside = F.col("peer").isNotNull(), rules.is_internal(F.col("peer"))
+    hits = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    own = lambda c: F.coalesce(F.sum(F.when(touches, F.col(c))), F.lit(0))
+    any_ = lambda ports: F.coalesce(F.max(F.col("port").isin(*ports)), F.lit(False))
     by = flows.groupBy("slice").agg(
-        F.count_distinct("peer").alias("peers"), F.count_distinct("port").alias("ports"), F.sum("bytes").alias("bytes"),
-        F.sum(F.col("peer_internal").cast("long")).alias("inside"), F.sum((~F.col("peer_internal")).cast("long")).alias("outside"),
-        F.sum((F.col("peer_internal") & F.col("port").isin(*LATERAL)).cast("long")).alias("lateral"), F.sum((~F.col("peer_internal") & F.col("port").isin(*CONTROL)).cast("long")).alias("control"),
+        F.count_distinct("peer").alias("peers"), F.count_distinct("port").alias("ports"), own("bytes").alias("bytes"), own("packets").alias("packets"),
+        hits(touches & inside).alias("inside"), hits(touches & ~inside).alias("outside"), hits(touches & inside & rules.is_internal(F.col("anchor")) & F.col("port").isin(*LATERAL)).alias("lateral_hits"),
+        any_(LATERAL).alias("lateral"), any_(DISCOVERY).alias("discovery"), any_(CONTROL).alias("control"), F.greatest(F.lit(1e-6), F.max("t_end") - F.min("t_start")).alias("lasts"),
     )
+    c = F.col
+    many = (c("peers") >= at["peers"]) | (c("ports") >= at["ports"])
     tags = F.array_compact(F.array(
-        F.when((F.col("ports") >= 4) | (F.col("peers") >= many), F.lit("TA0007:Discovery")), F.when(F.col("lateral") > 0, F.lit("TA0008:LateralMovement")),
-        F.when((F.col("outside") > 0) & (F.col("bytes") > 20000), F.lit("TA0010:Exfiltration")), F.when(F.col("control") > 2, F.lit("TA0011:C2")),
+        F.when((many & (c("lasts") <= at["quick_s"])) | (c("discovery") & (c("peers") >= at["probed_peers"])), F.lit("TA0007:Discovery")),
+        F.when((c("lateral_hits") >= at["lateral_hits"]) | ((c("inside") >= at["inside"]) & c("lateral")), F.lit("TA0008:LateralMovement")),
+        F.when((c("outside") >= 1) & (c("bytes") >= at["bytes"]), F.lit("TA0010:Exfiltration")),
+        F.when((c("outside") >= 1) & (c("peers") <= at["few_peers"]) & (c("lasts") >= at["lasting_s"]) & (c("packets") >= at["packets"]) & c("control"), F.lit("TA0011:CommandAndControl")),
     ))
     return by.withColumn("tactic", F.when(F.size(tags) > 0, F.array_join(tags, "|")).otherwise("TA0000:Benign"))
+
+
+def histogram(packets: DataFrame, column: str, bucket_s: float = 1.0) -> DataFrame:
+    """(ep_a, ep_b, proto, bucket, counts, top): how often each value of a column occurs among a flow's packets,
+    and the most frequent one, the first seen on ties. Null values don't count."""
+    key = ["ep_a", "ep_b", "proto", "bucket"]
+    rows = normal_packets(packets).withColumn("bucket", F.floor(F.col("timestamp") / bucket_s)).filter(F.col(column).isNotNull())
+    by = rows.groupBy(*key, F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n"), F.min(F.struct("timestamp", "packet_id")).alias("first"))
+    top = F.min_by("value", F.struct((-F.col("n")).alias("n"), "first"))
+    return by.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "n")))).alias("counts"), top.alias("top"))

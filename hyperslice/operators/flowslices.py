@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import rules
 
@@ -18,8 +18,9 @@ def emission_order(flows: DataFrame, packets: DataFrame, idle_s: float) -> DataF
     """
     ends = flows.select("stream", (F.col("t_end") + idle_s).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("double").alias("packet")).distinct()
     times = packets.select("stream", F.col("timestamp").alias("at"), F.lit(0).alias("kind"), F.col("timestamp").alias("packet")).distinct()
-    after = Window.partitionBy("stream").orderBy("at", "kind").rowsBetween(1, Window.unboundedFollowing)
-    seen = ends.union(times).withColumn("expiry", F.first("packet", ignorenulls=True).over(after)).filter("kind = 1").select("stream", "at", "expiry")
+    # From the latest on, so that the frame only grows: one pass over each stream.
+    after = Window.partitionBy("stream").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
+    seen = ends.union(times).withColumn("expiry", F.last("packet", ignorenulls=True).over(after)).filter("kind = 1").select("stream", "at", "expiry")
     rows = flows.withColumn("at", F.col("t_end") + idle_s).join(seen, ["stream", "at"], "left").drop("at")
     order = Window.partitionBy("stream").orderBy(F.col("expiry").asc_nulls_last(), *FLOW_KEY)
     return rows.withColumn("emitted", F.row_number().over(order))
@@ -97,36 +98,23 @@ def flow_chains(sliced: DataFrame) -> DataFrame:
     return rows.repartition("stream", "slice_id").sortWithinPartitions("stream", "slice_id", "t_start", "emitted").mapInPandas(_walk, STEP)
 
 
-#: Service tokens by port, and event types of flow steps.
-SERVICE_TOKENS = {53: "SVC_DNS", 67: "SVC_DHCP", 68: "SVC_DHCP", 80: "SVC_HTTP", 8080: "SVC_HTTP", 8000: "SVC_HTTP", 443: "SVC_HTTPS", 8443: "SVC_HTTPS", 22: "SVC_SSH", 3389: "SVC_RDP", 445: "SVC_SMB", 139: "SVC_SMB", 88: "SVC_KRB", 389: "SVC_LDAP", 636: "SVC_LDAP"}
-
-
-def service_token(port: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in SERVICE_TOKENS.items() for x in pair])
-    return F.coalesce(table[port], F.lit("SVC_OTHER"))
-
-
-def port_token(port: Column) -> Column:
-    return F.when(port.isNull(), "PORT_UNKNOWN").when(port <= 1023, "PORT_WELLKNOWN").when(port <= 49151, "PORT_REGISTERED").otherwise("PORT_DYNAMIC")
-
-
 def flow_tokens(steps: DataFrame, salt: str) -> DataFrame:
     """C5 over a chain's steps: (stream, slice_id, step, tokens)."""
     last = F.max("step").over(Window.partitionBy("stream", "slice_id"))
     role = F.when(F.col("step") == 1, "ROLE_SUBJ").when(F.col("step") == last, "ROLE_OBJ").otherwise("ROLE_MID")
     host = F.array(role, F.lit("HOST"), rules.salted_token(F.col("entity"), salt, "HOST_"))
     flow = F.array(
-        role, F.lit("FLOW"), F.concat(F.lit("P_"), F.upper("proto")), service_token(F.col("peer_port")), port_token(F.col("peer_port")), F.lit("HAS_PEER"), rules.salted_token(F.col("peer_ip"), salt, "PEER_"),
+        role, F.lit("FLOW"), F.concat(F.lit("P_"), F.upper("proto")), rules.service(F.col("peer_port")), rules.port_bucket(F.col("peer_port")), F.lit("HAS_PEER"), rules.salted_token(F.col("peer_ip"), salt, "PEER_"),
         F.concat(F.lit("BYTES_"), rules.magnitude(F.col("bytes"), 2_000, 200_000)), F.concat(F.lit("PKT_"), rules.magnitude(F.col("packets"), 3, 30)),
     )
     return steps.select("stream", "slice_id", "step", F.when(F.col("etype") == "HOST", host).otherwise(flow).alias("tokens"))
 
 
-def flow_motifs(steps: DataFrame, event_type: Column, salt: str) -> DataFrame:
+def flow_motifs(steps: DataFrame, salt: str) -> DataFrame:
     """A3: (stream, slice_id, motif_id, event_type, n, entities) of the flow steps, numbered by first occurrence."""
     rows = steps.filter("etype = 'FLOW'")
-    entity = F.array(rules.salted_token(F.col("src_host"), salt, "HOST_"), rules.salted_token(F.col("peer_ip"), salt, "PEER_"), service_token(F.col("peer_port")), F.concat(F.lit("P_"), F.upper("proto")), port_token(F.col("peer_port")))
-    rows = rows.select("stream", "slice_id", "step", event_type.alias("event_type"), F.explode(entity).alias("entity"))
+    entity = F.array(rules.salted_token(F.col("src_host"), salt, "HOST_"), rules.salted_token(F.col("peer_ip"), salt, "PEER_"), rules.service(F.col("peer_port")), F.concat(F.lit("P_"), F.upper("proto")), rules.port_bucket(F.col("peer_port")))
+    rows = rows.select("stream", "slice_id", "step", rules.network_event(F.col("peer_port")).alias("event_type"), F.explode(entity).alias("entity"))
     by = rows.groupBy("stream", "slice_id", "event_type").agg(F.count_distinct("step").alias("n"), F.array_sort(F.collect_set("entity")).alias("entities"), F.min("step").alias("first"))
     place = F.row_number().over(Window.partitionBy("stream", "slice_id").orderBy("first"))
     return by.select("stream", "slice_id", F.concat(F.lit("M"), place).alias("motif_id"), "event_type", "n", "entities", "first")

@@ -23,16 +23,21 @@ def sentences(tokens: DataFrame, steps: int = 200) -> DataFrame:
     return by.select("stream", "slice_id", F.flatten(F.transform("t", lambda x: x["tokens"])).alias("tokens"))
 
 
-def train_vectors(tokens: DataFrame, size: int = 64, iterations: int = 1, seed: int = 42, partitions: int = 1) -> Word2VecModel:
-    """Skip-gram vectors, window 5, all tokens kept."""
-    return Word2Vec(vectorSize=size, windowSize=5, minCount=1, maxIter=iterations, seed=seed, numPartitions=partitions, inputCol="tokens", outputCol="vector").fit(sentences(tokens))
+def train_vectors(tokens: DataFrame, size: int = 64, iterations: int = 10, seed: int = 42, per_task: int = 10_000) -> Word2VecModel:
+    """Skip-gram vectors, window 5, all tokens kept; one task for each `per_task` token lists."""
+    lists = sentences(tokens)
+    partitions = max(1, -(-lists.count() // per_task))
+    return Word2Vec(vectorSize=size, windowSize=5, minCount=1, maxIter=iterations, seed=seed, numPartitions=partitions, inputCol="tokens", outputCol="vector").fit(lists)
 
 
 def slice_vectors(tokens: DataFrame, model: Word2VecModel) -> DataFrame:
-    """(stream, slice_id, vec), the mean of the known tokens' vectors; slices without any have no row."""
+    """(stream, slice_id, vec), the mean of the known tokens' vectors, zeros where none is known."""
     long = tokens.select("stream", "slice_id", F.explode("tokens").alias("word")).groupBy("stream", "slice_id", "word").agg(F.count("*").cast("double").alias("n"))
     joined = long.join(model.getVectors(), "word")
-    return joined.groupBy("stream", "slice_id").agg(vector_to_array(Summarizer.mean(F.col("vector"), F.col("n"))).alias("vec"))
+    means = joined.groupBy("stream", "slice_id").agg(vector_to_array(Summarizer.mean(F.col("vector"), F.col("n"))).alias("vec"))
+    every = tokens.select("stream", "slice_id").distinct()
+    zeros = F.array_repeat(F.lit(0.0), model.getVectorSize())
+    return every.join(means, ["stream", "slice_id"], "left").withColumn("vec", F.coalesce("vec", zeros))
 
 
 def seed_prototypes(model: Word2VecModel, seeds: dict[str, tuple[str, ...]]) -> dict[str, list[float]]:

@@ -36,13 +36,13 @@ def process_set(events: DataFrame, least: int = 1) -> DataFrame:
     return subjects.join(events.select(F.col("o").alias("id")).distinct(), "id", "left_semi")
 
 
-def _walk(events: list[tuple], most: int) -> list[int]:
-    """Indexes of the chain's steps in time-ordered (s, o, is_process) events."""
+def _walk(events: list[tuple]) -> list[int]:
+    """Indexes of the events taken in time-ordered (s, o, is_process) events, from the first one's subject on."""
     by_subject: dict[str, list[int]] = {}
     for i, e in enumerate(events):
         by_subject.setdefault(e[0], []).append(i)
     here, seen, out = events[0][0], {events[0][0]}, []
-    while here in by_subject and len(out) < most:
+    while here in by_subject:
         own = by_subject[here]
         step = next((i for i in own if events[i][2] and events[i][1] not in seen), own[0])
         out.append(step)
@@ -54,30 +54,38 @@ def _walk(events: list[tuple], most: int) -> list[int]:
     return out
 
 
-def chains(sliced: DataFrame, processes: DataFrame, min_len: int = 1, most: int = 10_000) -> DataFrame:
-    """One chain per slice, walked from its first subject through objects that are processes.
+def chains(sliced: DataFrame, processes: DataFrame, min_len: int = 3) -> DataFrame:
+    """(stream, slice_id, chain, chain_len) of the chains of at least min_len steps, one per slice.
 
+    The first step is the first event's subject with that event's time and type and no technique; the walk goes on from
+    there through objects that are processes. A step is (t_ns, entity, etype, ttp); ttp is sliced's, if it has that column.
     Only the earliest event of each (slice, subject, object) can be a step, so no more is gathered per slice.
     """
+    if "ttp" not in sliced.columns:
+        sliced = sliced.withColumn("ttp", F.lit(""))
     marked = sliced.join(processes.select(F.col("id").alias("o"), F.lit(True).alias("is_process")), "o", "left").withColumn("is_process", F.coalesce("is_process", F.lit(False)))
-    first = marked.groupBy("stream", "slice_id", "s", "o", "is_process").agg(F.min(F.struct("t_ns", "seq", "etype")).alias("e"))
-    step = F.struct(F.col("e.t_ns").alias("t_ns"), F.col("e.seq").alias("seq"), "s", "o", "is_process", F.col("e.etype").alias("etype"))
-    per = first.groupBy("stream", "slice_id").agg(F.array_sort(F.collect_list(step)).alias("events"))
+    first = marked.groupBy("stream", "slice_id", "s", "o", "is_process").agg(F.min(F.struct("t_ns", "seq", "etype", "ttp")).alias("e"))
+    event = F.struct(F.col("e.t_ns").alias("t_ns"), F.col("e.seq").alias("seq"), "s", "o", "is_process", F.col("e.etype").alias("etype"), F.col("e.ttp").alias("ttp"))
+    per = first.groupBy("stream", "slice_id").agg(F.array_sort(F.collect_list(event)).alias("events"))
 
     @F.pandas_udf("array<int>")
     def walk(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([_walk([(e["s"], e["o"], e["is_process"]) for e in events], most) for events in batch])
+            yield pd.Series([_walk([(e["s"], e["o"], e["is_process"]) for e in events]) for events in batch])
 
-    walked = per.withColumn("steps", walk("events"))
-    entity = F.transform("steps", lambda i: F.get("events", i))
-    return walked.select("stream", "slice_id", entity.alias("chain"), F.size("steps").alias("chain_len")).filter(F.col("chain_len") >= min_len)
+    step = lambda e, entity, ttp: F.struct(e["t_ns"].alias("t_ns"), e[entity].alias("entity"), e["etype"].alias("etype"), ttp.alias("ttp"))
+    head = F.get("events", F.lit(0))
+    chain = F.concat(F.array(step(head, "s", F.lit(""))), F.transform(walk("events"), lambda i: step(F.get("events", i), "o", F.get("events", i)["ttp"])))
+    rows = per.withColumn("chain", chain).select("stream", "slice_id", "chain", F.size("chain").alias("chain_len"))
+    return rows.filter(F.col("chain_len") >= min_len)
 
 
 def run_motifs(steps: DataFrame) -> DataFrame:
-    """Runs of equal names in steps(key, pos, name, entity): key, run, name, n, entities in order."""
+    """Runs of equal names in steps(key, pos, name, entity[, ttp]): key, run, name, n, entities in order, and (with
+    ttp) the different techniques, sorted."""
     order = Window.partitionBy("key").orderBy("pos")
     new = (F.lag("name").over(order).isNull() | (F.lag("name").over(order) != F.col("name"))).cast("long")
     rows = steps.withColumn("_new", new).withColumn("run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    by = rows.groupBy("key", "run", "name").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "entity"))).alias("e"))
-    return by.select("key", "run", "name", "n", F.col("e.entity").alias("entities"))
+    techniques = [F.array_sort(F.collect_set(F.when(F.col("ttp") != "", F.col("ttp")))).alias("techniques")] if "ttp" in steps.columns else []
+    by = rows.groupBy("key", "run", "name").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "entity"))).alias("e"), *techniques)
+    return by.select("key", "run", "name", "n", F.col("e.entity").alias("entities"), *["techniques"] * len(techniques))

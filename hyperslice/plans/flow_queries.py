@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import rules
 from ..operators import flows, flowslices, semantics
 from . import adapters as ad
 
@@ -33,23 +32,28 @@ def flow_slices(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query
-def flow_chains(spark: SparkSession, d: str) -> DataFrame:
-    return flowslices.flow_chains(_sliced(spark, d)).select("stream", "slice_id", "step", "etype", "entity")
+def flow_tactics(spark: SparkSession, d: str) -> DataFrame:
+    """A2 over the flow slices."""
+    f = _sliced(spark, d).withColumn("anchor", F.col("slice_anchor"))
+    a, b = F.col("anchor") == F.col("a_ip"), F.col("anchor") == F.col("b_ip")
+    peer, port = F.when(a, F.col("b_ip")).when(b, F.col("a_ip")), F.when(a, F.col("b_port")).when(b, F.col("a_port"))
+    return flows.tactics(f.select(F.concat_ws(":", "stream", F.col("slice_id").cast("string")).alias("slice"), "anchor", peer.alias("peer"), port.alias("port"), "packets", "bytes", "t_start", "t_end")).select("slice", "tactic")
 
 
-def _event_type() -> object:
-    return F.concat(F.lit("NET_CONNECT_"), rules.service(F.col("peer_port")))
+@query
+def flow_chains(spark: SparkSession, d: str) -> DataFrame:
+    return flowslices.flow_chains(_sliced(spark, d)).select("stream", "slice_id", "step", "etype", "entity")
 
 
 @query
 def net_motifs(spark: SparkSession, d: str) -> DataFrame:
-    found = flowslices.flow_motifs(flowslices.flow_chains(_sliced(spark, d)), _event_type(), SALT)
+    found = flowslices.flow_motifs(flowslices.flow_chains(_sliced(spark, d)), SALT)
     return found.withColumn("entities", F.array_join("entities", ",")).drop("first")
 
 
 @query
 def w2v_labels(spark: SparkSession, d: str) -> DataFrame:
-    tokens = flowslices.flow_tokens(flowslices.flow_chains(_sliced(spark, d)), SALT)
+    tokens = flowslices.flow_tokens(flowslices.flow_chains(_sliced(spark, d)), SALT).persist()  # read by the fit and after it
     model = semantics.train_vectors(tokens)
     vectors = semantics.slice_vectors(tokens, model)
     return semantics.nearest_label(vectors, semantics.seed_prototypes(model, semantics.TRAFFIC_SEEDS), tau=0.2)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import rules
-from ..operators import flows, hypergraph, metrics, scoring, slicing, splits
+from ..operators import flows, hypergraph, metrics, normal, scoring, slicing, splits
 from ..sources import files
 from . import adapters as ad
 
@@ -39,11 +39,18 @@ def process_set(spark: SparkSession, d: str) -> DataFrame:
     return slicing.process_set(ad.events(spark, d), 2)
 
 
-@query()
+@query(f"""WITH RECURSIVE {SLICED}, ps AS (SELECT s AS id FROM ev GROUP BY s INTERSECT SELECT o FROM ev),
+    st AS (SELECT sl.*, ps.id IS NOT NULL AS is_p FROM sl LEFT JOIN ps ON ps.id = sl.o),
+    walk AS (SELECT stream, slice_id, 1 AS n, arg_min(s, (t_ns, seq)) AS cur, [arg_min(s, (t_ns, seq))] AS path, false AS done FROM st GROUP BY stream, slice_id
+        UNION ALL SELECT stream, slice_id, n + 1, x.o, list_append(path, x.o), NOT x.is_p OR list_contains(path, x.o)
+        FROM (SELECT w.stream, w.slice_id, n, path, arg_min({{'o': o, 'is_p': is_p}}, (CASE WHEN is_p AND NOT list_contains(path, o) THEN 0 ELSE 1 END, t_ns, seq)) AS x
+              FROM walk w JOIN st ON st.stream = w.stream AND st.slice_id = w.slice_id AND st.s = w.cur WHERE NOT done GROUP BY ALL))
+    SELECT stream, slice_id, CAST(n AS INTEGER) AS chain_len, array_to_string(path, '>') AS path FROM walk
+    WHERE n >= 3 QUALIFY row_number() OVER (PARTITION BY stream, slice_id ORDER BY n DESC) = 1""")
 def slice_chains(spark: SparkSession, d: str) -> DataFrame:
     sliced = slicing.slice_events(ad.events(spark, d), ad.GAP_NS)
-    found = slicing.chains(sliced, slicing.process_set(sliced), min_len=1)
-    return found.select("stream", "slice_id", "chain_len", F.array_join(F.transform("chain", lambda x: x["o"]), ">").alias("path"))
+    found = slicing.chains(sliced, slicing.process_set(sliced))
+    return found.select("stream", "slice_id", "chain_len", F.array_join(F.transform("chain", lambda x: x["entity"]), ">").alias("path"))
 
 
 @query("""WITH r AS (SELECT user_id AS key, event_type AS name, ts, event_id, CASE WHEN lag(event_type) OVER w IS DISTINCT FROM event_type THEN 1 ELSE 0 END AS n
@@ -56,14 +63,36 @@ def rle_motifs(spark: SparkSession, d: str) -> DataFrame:
     return slicing.run_motifs(steps).withColumn("entities", F.array_join("entities", ","))
 
 
-RULE_CASE = "CASE " + " ".join(f"WHEN contains(f, '{p}') THEN '{t}'" for p, t in rules.NAME_RULES) + " ELSE '' END"
-
-
-@query(f"SELECT page_id, f AS file_name, {RULE_CASE} AS ttp FROM (SELECT page_id, regexp_extract(lower(url), '[^/\\\\]*$') AS f FROM pages)")
+@query("""SELECT page_id, f AS file_name, CASE WHEN f LIKE '%firefox%' THEN 'T1189' WHEN f LIKE '%drakon%' THEN 'T1055' WHEN f LIKE '%verifier%' THEN 'T1546.012' WHEN f LIKE '%sysinfo%' THEN 'T1082'
+    WHEN f LIKE '%copykatz%' OR f LIKE '%mimikatz%' THEN 'T1003' WHEN f LIKE '%filefilter-elevate%' THEN 'T1068' WHEN f LIKE '%ping%' THEN 'T1016' WHEN f LIKE '%cmd%' THEN 'T1059.003'
+    WHEN f LIKE '%powershell%' THEN 'T1059.001' ELSE '' END AS ttp FROM (SELECT page_id, regexp_extract(lower(url), '[^/\\\\]*$') AS f FROM pages)""")
 def ttp_rules(spark: SparkSession, d: str) -> DataFrame:
     return ad.table(spark, d, "pages").select("page_id", rules.file_name(F.col("url")).alias("file_name"), rules.technique(F.col("url")).alias("ttp"))
 
 
+@query("""SELECT doc_id, CASE WHEN t LIKE '%mimikatz%' OR t LIKE '%lsadump%' THEN 'T1003' WHEN t LIKE '%wmic%' OR t LIKE '%invoke-wmi%' OR t LIKE '%winmgmt%' THEN 'T1047' WHEN t LIKE '%powershell%' OR t LIKE '%empire%' THEN 'T1059.001'
+    WHEN t LIKE '%reg add%' OR t LIKE '%reg.exe%' OR t LIKE '%registry%' THEN 'T1112' WHEN t LIKE '%ping%' OR t LIKE '%scan%' OR t LIKE '%nmap%' THEN 'T1046'
+    WHEN t LIKE '%screenshot%' OR t LIKE '%screen%' OR t LIKE '%snipping%' THEN 'T1113' WHEN t LIKE '%psinject%' OR t LIKE '%lsass%' THEN 'T1055' ELSE '' END AS ttp
+    FROM (SELECT doc_id, lower(coalesce(source, '') || ' | ' || coalesce(lang, '') || ' | ' || coalesce(text, '')) AS t FROM documents)""")
+def host_event_rules(spark: SparkSession, d: str) -> DataFrame:
+    """P8 with the documents' columns in the place of a host event's paths and command line."""
+    docs = ad.table(spark, d, "documents").select("doc_id", F.struct(F.col("source").alias("image_path"), F.col("lang").alias("module_path"), F.col("text").alias("command_line")).alias("p"))
+    return docs.select("doc_id", rules.event_technique(F.col("p")).alias("ttp"))
+
+
+@query("""SELECT event_id, epoch_us(ts) * 1000 AS t_ns, 'u' || user_id AS s, 'o' || regexp_extract(props, '(\\d+)', 1) AS o, 'EVENT_' || upper(event_type) || '_FILE' AS etype, '' AS ttp
+    FROM events WHERE event_type <> ''""")
+def host_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events written as a host event's fields, with ISO times, and normalised."""
+    e = ad.table(spark, d, "events")
+    raw = e.select(
+        "event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("iso"), F.concat(F.lit("u"), "user_id").alias("actorID"), F.concat(F.lit("o"), F.regexp_extract("props", r"(\d+)", 1)).alias("objectID"),
+        F.col("event_type").alias("action"), F.lit("file").alias("object"), F.lit("h").alias("hostname"), F.struct(F.lit("").alias("image_path"), F.lit(None).cast("string").alias("module_path"), F.lit("").alias("command_line")).alias("properties"),
+    )
+    found = normal.host_events(raw.withColumn("timestamp", F.concat("iso", F.lit("Z"))))
+    return found.select("event_id", "t_ns", "s", "o", "etype", "ttp")
+
+
 @query("SELECT c_custkey, 'H_' || sha1('salt|' || c_name)[1:8] AS salted, c_name[1:8] AS raw FROM customer")
 def entity_tokens(spark: SparkSession, d: str) -> DataFrame:
     return ad.table(spark, d, "customer").select("c_custkey", rules.salted_token(F.col("c_name"), "salt", "H_").alias("salted"), F.substring("c_name", 1, 8).alias("raw"))
@@ -93,31 +122,58 @@ def biflow_dedup(spark: SparkSession, d: str) -> DataFrame:
     return _flows(spark, d).withColumns({"t_start": F.round("t_start", 4), "t_end": F.round("t_end", 4)})
 
 
-@query(f"""WITH {FLOWS}, x AS (SELECT anchor || '@' || (bucket // 60) AS slice, CASE WHEN anchor = a_ip THEN b_ip ELSE a_ip END AS peer, CASE WHEN anchor = a_ip THEN b_port ELSE a_port END AS port, bytes FROM fl WHERE anchor IS NOT NULL),
-    y AS (SELECT slice, count(DISTINCT peer) AS peers, count(DISTINCT port) AS ports, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) FILTER (peer LIKE '10.%') AS inside, count(*) FILTER (peer NOT LIKE '10.%') AS outside,
-    count(*) FILTER (peer LIKE '10.%' AND port IN {flows.LATERAL}) AS "lateral", count(*) FILTER (peer NOT LIKE '10.%' AND port IN {flows.CONTROL}) AS control FROM x GROUP BY slice)
-    SELECT *, coalesce(nullif(concat_ws('|', CASE WHEN ports >= 4 OR peers >= 8 THEN 'TA0007:Discovery' END, CASE WHEN "lateral" > 0 THEN 'TA0008:LateralMovement' END, CASE WHEN outside > 0 AND bytes > 20000 THEN 'TA0010:Exfiltration' END, CASE WHEN control > 2 THEN 'TA0011:C2' END), ''), 'TA0000:Benign') AS tactic FROM y""")
+@query(f"""WITH {FLOWS}, x AS (SELECT anchor || '@' || (bucket // 60) AS slice, CASE WHEN anchor = a_ip THEN b_ip ELSE a_ip END AS peer, CASE WHEN anchor = a_ip THEN b_port ELSE a_port END AS port, packets, bytes, t_start, t_end FROM fl WHERE anchor IS NOT NULL),
+    y AS (SELECT slice, count(DISTINCT peer) AS peers, count(DISTINCT port) AS ports, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(packets) AS BIGINT) AS packets, count(*) FILTER (peer LIKE '10.%') AS inside, count(*) FILTER (peer NOT LIKE '10.%') AS outside,
+    count(*) FILTER (peer LIKE '10.%' AND port IN (22, 23, 135, 139, 445, 3389, 5985, 5986, 1433, 3306, 5432, 6379, 9200)) AS lateral_hits, bool_or(port IN (22, 23, 135, 139, 445, 3389, 5985, 5986, 1433, 3306, 5432, 6379, 9200)) AS "lateral",
+    bool_or(port IN (137, 138, 139, 161, 445)) AS discovery, bool_or(port IN (53, 80, 443, 8080, 8443)) AS control, greatest(1e-6, max(t_end) - min(t_start)) AS lasts FROM x GROUP BY slice)
+    SELECT slice, peers, ports, bytes, packets, inside, outside, lateral_hits, coalesce(nullif(concat_ws('|', CASE WHEN ((peers >= 20 OR ports >= 30) AND lasts <= 10) OR (discovery AND peers >= 5) THEN 'TA0007:Discovery' END,
+    CASE WHEN lateral_hits >= 2 OR (inside >= 3 AND "lateral") THEN 'TA0008:LateralMovement' END, CASE WHEN outside >= 1 AND bytes >= 2000000 THEN 'TA0010:Exfiltration' END,
+    CASE WHEN outside >= 1 AND peers <= 2 AND lasts >= 10 AND packets >= 10 AND control THEN 'TA0011:CommandAndControl' END), ''), 'TA0000:Benign') AS tactic FROM y""")
 def slice_tactics(spark: SparkSession, d: str) -> DataFrame:
+    """A2 over a minute of each anchor's flows."""
     f = _flows(spark, d).filter("anchor is not null")
-    peer = F.when(F.col("anchor") == F.col("a_ip"), F.col("b_ip")).otherwise(F.col("a_ip"))
-    x = f.select(F.concat_ws("@", "anchor", F.floor(F.col("bucket") / 60).cast("string")).alias("slice"), peer.alias("peer"), F.when(F.col("anchor") == F.col("a_ip"), F.col("b_port")).otherwise(F.col("a_port")).alias("port"), "bytes", "t_start", "t_end")
-    return flows.tactics(x.withColumn("peer_internal", rules.is_internal(F.col("peer"))))
-
-
-SERVICE_CASE = "CASE dst_port " + " ".join(f"WHEN {p} THEN '{s}'" for p, s in rules.SERVICES.items()) + " ELSE 'OTHER' END"
+    own = F.col("anchor") == F.col("a_ip")
+    x = f.select(F.concat_ws("@", "anchor", F.floor(F.col("bucket") / 60).cast("string")).alias("slice"), "anchor", F.when(own, F.col("b_ip")).otherwise(F.col("a_ip")).alias("peer"), F.when(own, F.col("b_port")).otherwise(F.col("a_port")).alias("port"), "packets", "bytes", "t_start", "t_end")
+    return flows.tactics(x).drop("lateral", "discovery", "control", "lasts")
 
 
-@query(f"""WITH {ad.PACKETS} SELECT 'NET_CONNECT_' || {SERVICE_CASE} AS event_type, CASE WHEN bytes < 2000 THEN 'L' WHEN bytes < 200000 THEN 'M' ELSE 'H' END AS size,
-    CASE WHEN dst_port <= 1023 THEN 'SYS' ELSE 'USER' END AS bucket, count(*) AS n FROM pk GROUP BY ALL""")
+@query(f"""WITH {ad.PACKETS} SELECT CASE WHEN dst_port = 53 THEN 'NET_DNS' WHEN dst_port IN (67, 68) THEN 'NET_DHCP' WHEN dst_port IN (80, 8080, 8000) THEN 'NET_CONNECT_HTTP' WHEN dst_port IN (443, 8443) THEN 'NET_CONNECT_HTTPS'
+    WHEN dst_port = 22 THEN 'NET_CONNECT_SSH' WHEN dst_port = 3389 THEN 'NET_CONNECT_RDP' WHEN dst_port IN (445, 139) THEN 'NET_CONNECT_SMB' WHEN dst_port = 88 THEN 'NET_CONNECT_KRB' WHEN dst_port IN (389, 636) THEN 'NET_CONNECT_LDAP'
+    ELSE 'NET_CONNECT_OTHER' END AS event_type, CASE WHEN bytes < 2000 THEN 'L' WHEN bytes < 200000 THEN 'M' ELSE 'H' END AS size,
+    CASE WHEN dst_port <= 1023 THEN 'PORT_WELLKNOWN' WHEN dst_port <= 49151 THEN 'PORT_REGISTERED' ELSE 'PORT_DYNAMIC' END AS bucket, count(*) AS n FROM pk GROUP BY ALL""")
 def network_event_types(spark: SparkSession, d: str) -> DataFrame:
     p = ad.packets(spark, d)
-    return p.groupBy(F.concat(F.lit("NET_CONNECT_"), rules.service(F.col("dst_port"))).alias("event_type"), rules.magnitude(F.col("packet_len"), 2000, 200000).alias("size"), rules.port_bucket(F.col("dst_port")).alias("bucket")).agg(F.count("*").alias("n"))
+    return p.groupBy(rules.network_event(F.col("dst_port")).alias("event_type"), rules.magnitude(F.col("packet_len"), 2000, 200000).alias("size"), rules.port_bucket(F.col("dst_port")).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {ad.PACKETS}, e AS (SELECT pk.*, event_type AS flag FROM pk JOIN events ON event_id = packet_id), pa AS (SELECT *, floor(timestamp) AS bucket, least((src_ip, src_port), (dst_ip, dst_port)) AS a, greatest((src_ip, src_port), (dst_ip, dst_port)) AS b FROM e),
+    g AS (SELECT a, b, proto, bucket, flag, count(*) AS n, min((timestamp, packet_id)) AS first FROM pa GROUP BY ALL)
+    SELECT a[1] AS a_ip, a[2] AS a_port, b[1] AS b_ip, b[2] AS b_port, proto, CAST(bucket AS BIGINT) AS bucket, string_agg(flag || '=' || n, ',' ORDER BY flag) AS counts, arg_min(flag, (-n, first)) AS top FROM g GROUP BY a, b, proto, bucket""")
+def flow_histograms(spark: SparkSession, d: str) -> DataFrame:
+    """A1's histogram and W6, of the packets' event types."""
+    packets = ad.packets(spark, d).join(ad.table(spark, d, "events").select(F.col("event_id").alias("packet_id"), F.col("event_type").alias("flag")), "packet_id")
+    h = flows.histogram(packets, "flag")
+    counts = F.array_join(F.transform(F.array_sort(F.map_entries("counts")), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",")
+    return h.select(F.col("ep_a.ip").alias("a_ip"), F.col("ep_a.port").alias("a_port"), F.col("ep_b.ip").alias("b_ip"), F.col("ep_b.port").alias("b_port"), "proto", "bucket", counts.alias("counts"), "top")
+
 
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN n = 0 THEN 'NON_IP' WHEN n = 6 THEN 'TCP' WHEN n = 17 THEN 'UDP' ELSE 'IP_PROTO_' || n END AS protocol, CASE WHEN n IN (6, 17) THEN l_suppkey END AS src_port, CASE WHEN n = 6 THEN l_returnflag END AS flags
+    FROM (SELECT *, CAST(l_quantity AS INTEGER) % 20 AS n FROM lineitem)""")
+def packet_records(spark: SparkSession, d: str) -> DataFrame:
+    """S7 over decoded header columns, here made from lineitem."""
+    n = F.col("l_quantity").cast("int") % 20
+    li = ad.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(n != 0, n).alias("ip_proto"), F.col("l_suppkey").alias("src_port"), F.col("l_suppkey").alias("dst_port"), F.col("l_returnflag").alias("flags"))
+    return normal.packet_records(li).select("l_orderkey", "l_linenumber", "protocol", "src_port", "flags")
 
-@query("SELECT regexp_extract(c_name, '(\\d{4})$', 1) AS host_id, count(*) AS n FROM customer WHERE c_custkey % 3 = 0 GROUP BY ALL")
+
+@query("""SELECT coalesce(h, '') AS host_id, CASE WHEN h = '' THEN 'bad' WHEN h IN ('0201', '0402', '0501') THEN 'kept' ELSE 'other' END AS status, count(*) AS n
+    FROM (SELECT lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS h FROM customer WHERE c_custkey % 10 <> 0 UNION ALL SELECT '' FROM customer WHERE c_custkey % 10 = 0) GROUP BY ALL""")
 def host_fanout(spark: SparkSession, d: str) -> DataFrame:
-    c = ad.table(spark, d, "customer").filter("c_custkey % 3 = 0")
-    return c.groupBy(files.host_number(F.col("c_name"), r"(\d{4})$").alias("host_id")).agg(F.count("*").alias("n"))
+    """Every customer as a host name (each tenth of another form), its number, and whether it is a target."""
+    k = F.col("c_custkey")
+    name = F.when(k % 10 == 0, F.concat(F.lit("other-"), k)).otherwise(F.concat(F.lit("sysclient"), F.lpad((k % 10000).cast("string"), 4, "0"), F.lit(".systemia.com")))
+    hosts = files.host_status(ad.table(spark, d, "customer").select(name.alias("hostname")), "hostname", ["0201", "0402", "0501"])
+    return hosts.groupBy("host_id", "status").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT event_id, day, CASE day WHEN 'monday' THEN 0 WHEN 'tuesday' THEN 1 WHEN 'wednesday' THEN 2 WHEN 'thursday' THEN 3 WHEN 'friday' THEN 4 ELSE 999 END AS day_idx, coalesce(day, 'unknown') || ':' || event_id AS global_id
@@ -137,11 +193,23 @@ def split_targets(spark: SparkSession, d: str) -> DataFrame:
     return splits.quota_targets(ad.table(spark, d, "documents"), "lang")
 
 
-@query(f"""WITH {TARGETS}, u AS (SELECT doc_id, coalesce(nullif(lang, ''), 'UNK') AS stratum, CAST(('0x' || sha1('42||' || doc_id)[1:16])::UBIGINT % 1000000000000 AS DOUBLE) / 1e12 AS u FROM documents),
-    p AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY u, doc_id) AS place FROM u)
-    SELECT doc_id, stratum, u, CASE WHEN place <= n_train THEN 'train' WHEN place <= n_train + n_val THEN 'val' ELSE 'test' END AS split FROM p JOIN tg USING (stratum)""")
+QUOTA_SPLIT = f"""{TARGETS}, u AS (SELECT doc_id, coalesce(nullif(lang, ''), 'UNK') AS stratum, CAST(('0x' || sha1('42||' || doc_id)[1:16])::UBIGINT % 1000000000000 AS DOUBLE) / 1e12 AS u FROM documents),
+    o AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY doc_id) AS rn FROM u),
+    g AS (SELECT stratum, 0::BIGINT AS rn, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS c, NULL::BIGINT AS doc_id, NULL::DOUBLE AS u, -1 AS x FROM tg
+        UNION ALL SELECT stratum, rn, a + (x = 0)::BIGINT, b + (x = 1)::BIGINT, c + (x = 2)::BIGINT, doc_id, u, x FROM (SELECT o.stratum, o.rn, a, b, c, o.doc_id, o.u,
+        CASE WHEN o.u < 1.0 / 3 THEN CASE WHEN a < n_train THEN 0 WHEN b < n_val THEN 1 ELSE 2 END WHEN o.u < 2.0 / 3 THEN CASE WHEN b < n_val THEN 1 WHEN a < n_train THEN 0 ELSE 2 END
+        ELSE CASE WHEN c < n - n_train - n_val THEN 2 WHEN a < n_train THEN 0 ELSE 1 END END AS x FROM g JOIN o ON o.stratum = g.stratum AND o.rn = g.rn + 1 JOIN tg ON tg.stratum = o.stratum)),
+    sp AS (SELECT doc_id, stratum, u, CASE x WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split FROM g WHERE x >= 0)"""
+
+
+def _split(spark: SparkSession, d: str) -> DataFrame:
+    docs = ad.table(spark, d, "documents").select("doc_id", "lang", "source")
+    return splits.quota_split(docs, "lang", "doc_id", F.floor(F.col("doc_id") / 4096), ["doc_id"])
+
+
+@query(f"WITH RECURSIVE {QUOTA_SPLIT} SELECT doc_id, stratum, u, split FROM sp")
 def split_stratified(spark: SparkSession, d: str) -> DataFrame:
-    return splits.quota_split(ad.table(spark, d, "documents").select("doc_id", "lang"), "lang", "doc_id").select("doc_id", "stratum", "u", "split")
+    return _split(spark, d).select("doc_id", "stratum", "u", "split")
 
 
 @query("""WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS place, count(*) OVER () AS n FROM orders)
@@ -150,11 +218,21 @@ def split_time(spark: SparkSession, d: str) -> DataFrame:
     return splits.time_split(ad.table(spark, d, "orders"), F.to_date("o_orderdate"), ["o_orderdate", "o_orderkey"]).select("o_orderkey", "split")
 
 
-@query("""WITH u AS (SELECT lang, ('0x' || sha1('42||' || doc_id)[1:16])::UBIGINT % 1000000000000 / 1e12 AS u FROM documents)
-    SELECT lang, count(*) FILTER (u < 0.7) AS train, count(*) FILTER (u >= 0.7 AND u < 0.8) AS val, count(*) FILTER (u >= 0.8) AS test FROM u GROUP BY lang""")
+@query(f"""WITH RECURSIVE {QUOTA_SPLIT}, l AS (SELECT split, source AS label FROM sp JOIN documents USING (doc_id))
+    SELECT label, s.split, count(l.split) AS n FROM (SELECT DISTINCT label FROM l) CROSS JOIN (VALUES ('train'), ('val'), ('test')) s(split) LEFT JOIN l USING (label, split) GROUP BY ALL""")
 def split_report(spark: SparkSession, d: str) -> DataFrame:
-    u = ad.table(spark, d, "documents").select("lang", rules.stable_unit(F.col("doc_id").cast("string"), 42).alias("u"))
-    return u.groupBy("lang").agg(F.count_if(F.col("u") < 0.7).alias("train"), F.count_if(F.col("u").between(0.7, 0.8) & (F.col("u") < 0.8)).alias("val"), F.count_if(F.col("u") >= 0.8).alias("test"))
+    return splits.split_report(_split(spark, d), "source")
+
+
+@query(f"""WITH RECURSIVE {QUOTA_SPLIT}, l AS (SELECT split, text AS label, sp.doc_id FROM sp JOIN documents USING (doc_id)), k AS (SELECT label, bool_or(split = 'train') AS a, bool_or(split = 'val') AS b, bool_or(split = 'test') AS c FROM l WHERE label IS NOT NULL GROUP BY label)
+    SELECT count(*) FILTER (NOT a) AS unknown, count(*) FILTER (a AND b) AS train_val, count(*) FILTER (a AND c) AS train_test, count(*) FILTER (b AND c) AS val_test FROM k""")
+def split_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Of the documents' different texts, those that train doesn't have, and those that two splits share."""
+    rows = _split(spark, d).select("doc_id", "split").join(ad.table(spark, d, "documents").select("doc_id", "text").filter("text is not null"), "doc_id").select("split", F.sha2("text", 256).alias("label"))
+    unknown = splits.unknown_labels(rows, "label").agg(F.count("*").alias("unknown"))
+    n = lambda a, b: F.max(F.when((F.col("a") == a) & (F.col("b") == b), F.col("n"))).alias(f"{a}_{b}")
+    shared = splits.split_overlap(rows, "label").agg(n("train", "val"), n("train", "test"), n("val", "test"))
+    return unknown.crossJoin(shared)  # one row each
 
 
 @query(f"WITH {ad.MEMBERS} SELECT * FROM nn")
@@ -290,17 +368,3 @@ def quota_sample(spark: SparkSession, d: str) -> DataFrame:
 def hashed_bags(spark: SparkSession, d: str) -> DataFrame:
     docs = ad.table(spark, d, "documents").select(F.col("doc_id").alias("node_id"), F.col("text").alias("token"))
     return hypergraph.token_features(docs).withColumnRenamed("node_id", "doc_id")
-
-
-@query("SELECT lang, source, count(*) AS n, min(n_chars) AS least, max(n_chars) AS most FROM documents GROUP BY ALL")
-def split_label_counts(spark: SparkSession, d: str) -> DataFrame:
-    return ad.table(spark, d, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"))
-
-
-@query("SELECT user_id, count(*) AS n, round(max(value), 6) AS top_value, arg_max(event_type, count_) AS dominant FROM (SELECT *, count(*) OVER (PARTITION BY user_id, event_type) * 1000000 - dense_rank() OVER (ORDER BY event_type) AS count_ FROM events) GROUP BY user_id")
-def dominant_event(spark: SparkSession, d: str) -> DataFrame:
-    e = ad.table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("c"), F.max("value").alias("v"))
-    first = F.min_by("event_type", F.struct((-F.col("c")).alias("c"), "event_type"))
-    return e.groupBy("user_id").agg(F.sum("c").alias("n"), F.round(F.max("v"), 6).alias("top_value"), first.alias("dominant"))
-
-

@@ -16,6 +16,14 @@ def read_json_lines(spark: SparkSession, path: str | list[str], schema: str) ->
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
+def read_json_counted(spark: SparkSession, path: str | list[str], schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, counts), the same rows, and (source_file, good, bad) for every file that has lines."""
+    marked = spark.read.schema(f"{schema}, _bad STRING").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path).withColumn("source_file", F.col("_metadata.file_path"))
+    marked = marked.persist()  # Spark doesn't count corrupt records straight from a file
+    counts = marked.groupBy("source_file").agg(F.count_if(F.col("_bad").isNull()).alias("good"), F.count_if(F.col("_bad").isNotNull()).alias("bad"))
+    return marked.filter(F.col("_bad").isNull()).drop("_bad", "source_file"), counts
+
+
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """S3: a top-level JSON array per file."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
@@ -39,10 +47,10 @@ def day_of(file_name: Column) -> Column:
 
 
 def merge_days(packs: DataFrame, file_name: str = "source_file", slice_id: str = "slice_id") -> DataFrame:
-    """Day, its order (999 if unknown) and the global id day:slice."""
+    """Day, its order (999 if unknown) and the global id day:slice, or day:NA and a number of its own."""
     day = day_of(F.col(file_name))
     index = F.array_position(F.array(*[F.lit(d) for d in DAYS]), day)
-    return packs.withColumns({"day": day, "day_idx": F.coalesce(index.cast("int") - 1, F.lit(999)), "global_id": F.concat_ws(":", F.coalesce(day, F.lit("unknown")), F.coalesce(F.col(slice_id).cast("string"), F.lit("NA")))})
+    return packs.withColumns({"day": day, "day_idx": F.coalesce(index.cast("int") - 1, F.lit(999)), "global_id": F.concat_ws(":", F.coalesce(day, F.lit("unknown")), F.coalesce(F.col(slice_id).cast("string"), F.concat(F.lit("NA:"), F.monotonically_increasing_id())))})
 
 
 def merge_sensors(edge: DataFrame, private: DataFrame) -> DataFrame:
@@ -56,11 +64,39 @@ def host_number(hostname: Column, pattern: str = r"(?i)SysClient(\d{4})\.systemi
     return F.regexp_extract(hostname, pattern, 1)
 
 
+def host_status(events: DataFrame, hostname: str, targets: list[str]) -> DataFrame:
+    """Events with host_id and status: kept (a target), other (another host), missing (no name), bad (another form)."""
+    rows = events.withColumn("host_id", host_number(F.coalesce(F.col(hostname), F.lit(""))))
+    status = F.when(F.coalesce(F.col(hostname), F.lit("")) == "", "missing").when(F.col("host_id") == "", "bad").when(F.col("host_id").isin(*targets), "kept").otherwise("other")
+    return rows.withColumn("status", status)
+
+
 def write_by(df: DataFrame, path: str, *columns: str, kind: str = "json") -> None:
     """One folder per value of the columns."""
     df.write.partitionBy(*columns).format(kind).save(path)
 
 
+def write_hypergraph(nodes: DataFrame, edges: DataFrame, incidence: DataFrame, labels: DataFrame, path: str) -> None:
+    """The three tables, the label dictionary and a meta row (counts, label number) below path."""
+    for name, table in (("nodes", nodes), ("hyperedges", edges), ("incidence", incidence), ("labels", labels)):
+        table.write.parquet(f"{path}/{name}")
+    spark = nodes.sparkSession
+    n = [spark.read.parquet(f"{path}/{name}").count() for name in ("nodes", "hyperedges", "incidence", "labels")]
+    spark.createDataFrame([tuple(n)], "num_nodes long, num_hyperedges long, nnz long, num_labels long").write.json(f"{path}/meta")
+
+
+def write_confusion(counts: DataFrame, labels: list[str], path: str) -> None:
+    """counts(y, pred, n) as a CSV of true rows by predicted columns, in label order, zeros where nothing was counted."""
+    confusion_matrix(counts, labels).write.option("header", True).csv(path)
+
+
+def confusion_matrix(counts: DataFrame, labels: list) -> DataFrame:
+    """(true, one column for each label). Labels are few: one column each."""
+    every = counts.sparkSession.createDataFrame([(x,) for x in labels], counts.select(F.col("y").alias("true")).schema)
+    wide = counts.groupBy(F.col("y").alias("true")).pivot("pred", labels).agg(F.sum("n"))
+    return every.join(wide, "true", "left").na.fill(0).orderBy("true")
+
+
 def write_evidence(packs: DataFrame, path: str) -> None:
     """A line '[Slice id] sentence' per pack."""
     packs.select(F.format_string("[Slice %s] %s", F.col("slice_id").cast("string"), "evidence_sentence")).write.text(path)

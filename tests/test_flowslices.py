@@ -2,6 +2,9 @@
 
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
+from hyperslice.functions import rules
 from hyperslice.operators import flowslices, semantics
 from hyperslice.plans import flow_queries
 
@@ -73,7 +76,7 @@ def test_emission_order(spark):
 
 def test_net_motifs(spark):
     steps = flowslices.flow_chains(flow_queries._sliced(spark, SF)).filter("etype = 'FLOW'")
-    want = Counter((r["stream"], r["slice_id"], r["e"]) for r in steps.select("stream", "slice_id", flow_queries._event_type().alias("e")).collect())
+    want = Counter((r["stream"], r["slice_id"], r["e"]) for r in steps.select("stream", "slice_id", rules.network_event(F.col("peer_port")).alias("e")).collect())
     got = flow_queries.net_motifs(spark, SF).collect()
     assert {(r["stream"], r["slice_id"], r["event_type"]): r["n"] for r in got} == dict(want)
     assert all(r["entities"].split(",") == sorted(set(r["entities"].split(","))) for r in got)

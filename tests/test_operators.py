@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hyperslice import catalog
 from hyperslice.functions import rules
-from hyperslice.operators import flows, hypergraph, metrics, scoring, slicing, splits
+from hyperslice.operators import flows, hypergraph, metrics, normal, scoring, slicing, splits
 from hyperslice.sources import files
 from hyperslice.streaming import streams
 
@@ -68,7 +68,51 @@ def test_stream_biflows_close_with_the_watermark(spark, tmp_path):
 
 def test_chain_walk():
     events = [("a", "f", False), ("a", "b", True), ("b", "a", True), ("b", "c", True), ("c", "g", False)]
-    assert slicing._walk(events, 100) == [1, 3, 4]
+    assert slicing._walk(events) == [1, 3, 4]
+
+
+def test_chain_starts_with_the_first_subject(spark):
+    """a>b, b>a is a, b, a; the first step has no technique, the others their event's."""
+    rows = [("x", 0, 1, 1, "a", "b", "E1", "T1"), ("x", 0, 2, 2, "b", "a", "E2", "T2")]
+    sliced = spark.createDataFrame(rows, "stream string, slice_id long, t_ns long, seq long, s string, o string, etype string, ttp string")
+    found = slicing.chains(sliced, slicing.process_set(sliced)).first()
+    assert [tuple(x) for x in found["chain"]] == [(1, "a", "E1", ""), (1, "b", "E1", "T1"), (2, "a", "E2", "T2")] and found["chain_len"] == 3
+    assert slicing.chains(sliced.filter("seq = 1"), slicing.process_set(sliced)).count() == 0
+
+
+def test_name_and_event_rules(spark):
+    want = {"/usr/firefox": "T1189", "/x/sysinfo": "T1082", "C:\\x\\mimikatz.exe": "T1003", "/x/ping": "T1016", "/cmd/other": "", "/x/PowerShell.exe": "T1059.001", "/x/filefilter-elevate": "T1068", None: ""}
+    got = spark.createDataFrame([(k,) for k in want], "p string").select("p", rules.technique(F.col("p")).alias("t")).collect()
+    assert {r["p"]: r["t"] for r in got} == want
+    raw = [("2019-09-23T15:47:42.941-04:00", "a", "b", "start", "process", "h", ("C:\\x", None, "reg add HKLM")), ("bad", "a", "b", "x", "y", "h", None), ("2019-09-23T15:47:42Z", "", "b", "x", "y", "h", None), ("2019-09-23T15:47:42Z", "a", "b", "x", "y", None, None)]
+    events = normal.host_events(spark.createDataFrame(raw, files.HOST_EVENT.replace(": ", " ").replace("STRUCT<image_path STRING, module_path STRING, command_line STRING>", "STRUCT<image_path: STRING, module_path: STRING, command_line: STRING>")))
+    assert [(r["t_ns"], r["etype"], r["host"], r["ttp"]) for r in events.collect()] == [(1569268062941000000, "EVENT_START_PROCESS", "h", "T1112"), (1569253662000000000, "EVENT_X_Y", "", "")]
+    prov = spark.createDataFrame([(5, "s", "o", "/x/cmd.exe", ["E", "F"]), (5, "s", None, "", ["E"]), (5, "s", "o", None, [])], files.PROVENANCE)
+    assert [tuple(r) for r in normal.provenance_events(prov).collect()] == [(5, "s", "o", "E", "T1059.003")]
+
+
+def test_services_and_network_events(spark):
+    want = {53: ("SVC_DNS", "NET_DNS"), 67: ("SVC_DHCP", "NET_DHCP"), 8443: ("SVC_HTTPS", "NET_CONNECT_HTTPS"), 25: ("SVC_OTHER", "NET_CONNECT_OTHER"), 88: ("SVC_KRB", "NET_CONNECT_KRB"), None: ("SVC_OTHER", "NET_CONNECT_OTHER")}
+    got = spark.createDataFrame([(k,) for k in want], "p int").select("p", rules.service(F.col("p")).alias("s"), rules.network_event(F.col("p")).alias("e")).collect()
+    assert {r["p"]: (r["s"], r["e"]) for r in got} == want
+
+
+def test_tactics(spark):
+    flow = lambda s, peer, port, packets, n, t: (s, "10.0.0.1", peer, port, packets, n, t, t + 1.0)
+    rows = [flow("scan", f"8.8.8.{i}", 1000, 1, 10, 0.1 * i) for i in range(20)] + [flow("slow", f"8.8.8.{i}", 1000, 1, 10, 2.0 * i) for i in range(20)]
+    rows += [flow("lateral", "10.0.0.2", 22, 1, 10, 0.0), flow("lateral", "10.0.0.3", 445, 1, 10, 0.0), flow("out", "8.8.8.8", 999, 1, 2_000_000, 0.0)]
+    rows += [flow("c2", "8.8.8.8", 443, 5, 10, t) for t in (0.0, 9.5)] + [("skip", "10.0.0.1", None, None, 99, 9_000_000, 0.0, 50.0)]
+    rows = spark.createDataFrame(rows, "slice string, anchor string, peer string, port int, packets long, bytes long, t_start double, t_end double")
+    got = {r["slice"]: r["tactic"] for r in flows.tactics(rows).collect()}
+    assert got == {"scan": "TA0007:Discovery", "slow": "TA0000:Benign", "lateral": "TA0008:LateralMovement", "out": "TA0010:Exfiltration", "c2": "TA0011:CommandAndControl", "skip": "TA0000:Benign"}
+
+
+def test_kept_technique_and_ids(spark):
+    df = spark.sql("SELECT array(named_struct('e', 1, 'ttp', ''), named_struct('e', 2, 'ttp', 'T1')) AS chain")
+    assert df.select(rules.kept_technique(F.col("chain"))).first()[0] == "T1"
+    assert [x["ttp"] for x in df.select(rules.backfill_technique(F.col("chain"), F.lit("T9"))).first()[0]] == ["T9", "T9"]
+    packs = spark.createDataFrame([("g", "monday", 1), (None, "monday", 2), (None, None, None)], "global_id string, day string, slice_id int")
+    assert [r[0] for r in packs.select(rules.stable_id(packs.columns)).collect()] == ["g", "monday|2", "{}"]
 
 
 def test_keyed_token_is_hmac(spark):
@@ -77,7 +121,7 @@ def test_keyed_token_is_hmac(spark):
 
 
 def test_internal_addresses(spark):
-    ips = {"10.1.2.3": True, "8.8.8.8": False, "172.31.0.1": True, "172.32.0.1": False, "256.1.1.1": False, "x": False, "169.254.9.9": True}
+    ips = {"10.1.2.3": True, "8.8.8.8": False, "172.31.0.1": True, "172.32.0.1": False, "256.1.1.1": False, "x": False, "169.254.9.9": True, "::1": True, "fd00::1": True, "2a00::1": False, "010.1.1.1": False}
     got = spark.createDataFrame([(k,) for k in ips], "ip string").select("ip", rules.is_internal(F.col("ip")).alias("v")).collect()
     assert {r["ip"]: r["v"] for r in got} == ips
 
@@ -91,10 +135,19 @@ def test_biflows_split_at_gaps(spark):
 
 def test_splits(spark):
     df = spark.range(1000).withColumn("lang", F.when(F.col("id") % 10 == 0, "x").when(F.col("id") < 2, None).otherwise("y"))
-    n = {(r["stratum"], r["split"]): r["count"] for r in splits.quota_split(df, "lang", "id").groupBy("stratum", "split").count().collect()}
+    n = {(r["stratum"], r["split"]): r["count"] for r in splits.quota_split(df, "lang", "id", F.floor(F.col("id") / 64), ["id"]).groupBy("stratum", "split").count().collect()}
     t = {r["stratum"]: r for r in splits.quota_targets(df, "lang").collect()}
     for s, r in t.items():
         assert [n.get((s, k), 0) for k in ("train", "val", "test")] == [r["n_train"], r["n_val"], r["n_test"]]
+    for small in (1, 2, 3, 7, 400):
+        rows = splits.quota_split(spark.range(small).withColumn("lang", F.lit("x")), "lang", "id", F.floor(F.col("id") / 16), ["id"]).orderBy("id").collect()
+        quota = splits.quota_targets(spark.range(small).withColumn("lang", F.lit("x")), "lang").first()
+        room = {k: quota[f"n_{k}"] for k in splits.NAMES}
+        for r in rows:  # one after another
+            order = ("train", "val", "test") if r["u"] < 1 / 3 else ("val", "train", "test") if r["u"] < 2 / 3 else ("test", "train", "val")
+            want = next(k for k in order if room[k])
+            room[want] -= 1
+            assert r["split"] == want
     got = [r["split"] for r in splits.time_split(df, F.floor(F.col("id") / 100), ["id"]).orderBy("id").collect()]
     assert got == ["train"] * 700 + ["val"] * 100 + ["test"] * 200
 
@@ -126,7 +179,11 @@ def test_readers(spark, tmp_path):
     (tmp_path / "y.json").write_text('[{"subject": "a"}, {"subject": "b"}]')
     assert files.read_json_array(spark, str(tmp_path / "y.json"), files.PROVENANCE).count() == 2
     packs = spark.createDataFrame([("/in/Friday-packs.jsonl", 3), ("/in/other.jsonl", None)], "source_file string, slice_id int")
-    assert sorted(r["global_id"] for r in files.merge_days(packs).collect()) == ["friday:3", "unknown:NA"]
+    assert [r["global_id"].split(":")[:2] for r in files.merge_days(packs).orderBy("day_idx").collect()] == [["friday", "3"], ["unknown", "NA"]]
+    rows, counts = files.read_json_counted(spark, str(tmp_path / "x.json"), files.PACKET)
+    assert sorted(r["packet_id"] for r in rows.collect()) == [1, 2] and [(r["good"], r["bad"]) for r in counts.collect()] == [(2, 1)]
+    matrix = files.confusion_matrix(spark.createDataFrame([("a", "b", 2)], "y string, pred string, n long"), ["a", "b"])
+    assert [tuple(r) for r in matrix.collect()] == [("a", 0, 2), ("b", 0, 0)]
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - {"khop_edges"}))
