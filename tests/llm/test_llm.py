@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -426,6 +427,30 @@ def test_op9_articles():
     assert htmltext.main_text(None) == htmltext.main_text("") == htmltext.main_text("<nav>x</nav>") == ""
 
 
+def test_main_text_keeps_all_of_the_article():
+    first, second = "First part, of an article. It is long enough, is it not?", "Second part, of an article. It goes on, as you see."
+    assert htmltext.main_text(f"<body><div><p>{first}</p></div><div><p>{second}</p></div></body>") == f"{first}\n{second}"
+    page = f'<article><h2>Head</h2><div class="warning-signs-of-flood"><p>Water, rising.</p></div><p>{first}</p><p>Press <button>Go</button>, <math><mi>x</mi></math>.</p><div class="comments"><p>I say, this is great. Really, it is.</p></div></article>'
+    assert htmltext.main_text(page) == f"Head\nWater, rising.\n{first}\nPress , x."
+    assert htmltext.main_text(f'<div class="ad">{second}</div><article><p>Short.</p></article>') == "Short."
+
+
+def test_main_text_is_linear():
+    """A megabyte of unclosed tags, and of depth, takes seconds at most."""
+    for page in ("<p>a, b.</p>" + "<button>" * 120_000, "<div>x" * 150_000, "<svg>" * 200_000, "<noscript>" * 100_000 + "</p>" * 10_000):
+        began = time.process_time()
+        htmltext.main_text(page)
+        assert time.process_time() - began < 20
+
+
+def test_main_text_of_odd_tables(spark):
+    rows = [(1, None, None, "x"), (2, "", "", "x"), (3, "u", "<p>a, b.</p>", "x"), (3, "u", "<p>a, b.</p>", "x"), (None, "u", "plain", "x"), (4, "u", "<p>" + "word " * 300_000, "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, main_text string")
+    got = sorted((r["page_id"] or 0, len(r["main_text"])) for r in htmltext.extract(pages).collect())
+    assert got == [(0, 5), (1, 0), (2, 0), (3, 5), (3, 5), (4, 1_499_999)] and htmltext.extract(pages).columns == pages.columns
+    assert htmltext.extract(pages.limit(0)).count() == 0
+
+
 def test_op9_equals_articles_of_the_table(spark):
     for r in queries.op9_main_text(spark, SF).collect():
         html = table(spark, SF, "pages").filter(F.col("page_id") == r["page_id"]).first()["html"]
