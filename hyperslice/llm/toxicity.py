@@ -44,21 +44,43 @@ class Model:
         return float(1 / (1 + np.exp(-min(max(z, -30.0), 30.0))))
 
 
-def fit_sample(rows: list[np.ndarray], toxic: np.ndarray, prior: float, used: int = 2048, least: float = 20.0, factors: int = 8, epochs: int = 30, seed: int = 7) -> Model:
-    """Fit by Adam on the logistic loss. used, least: at most how many terms are
-    kept, by how strong an association with the label (G-test), so that chance terms don't let the rows be learned by heart."""
+def _g(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
+    """G-test of an occurrence in pos of n_pos and neg of n_neg rows against the label."""
+    total, every = pos + neg, n_pos + n_neg
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return 2 * sum(np.where(c > 0, c * np.log(c * every / (np.maximum(total, 1) * n)), 0) for c, n in ((pos, n_pos), (neg, n_neg)))
+
+
+def _together(rows: list[np.ndarray], toxic: np.ndarray, terms: np.ndarray) -> list[np.ndarray]:
+    """In how many toxic rows, and in how many others, each pair of terms occurs together."""
+    order = np.argsort(terms)
+    x = np.zeros((len(rows), len(terms)), np.float32)
+    for i, r in enumerate(rows):
+        x[i, order[np.isin(terms[order], r, assume_unique=True)]] = 1
+    return [(x[toxic == y].T @ x[toxic == y]).astype(np.float64) for y in (1, 0)]
+
+
+def fit_sample(rows: list[np.ndarray], toxic: np.ndarray, prior: float, used: int = 2048, least: float = 20.0, factors: int = 8, epochs: int = 30, seed: int = 7, common: int = 1024, pairs: int = 256, least_pair: float = 40.0) -> Model:
+    """Fit by Adam on the logistic loss. used, least: at most how many terms are kept, by how strong an association with
+    the label (G-test), so that chance terms don't let the rows be learned by heart. common, pairs, least_pair: of the
+    terms in most rows, those of at most so many pairs are kept too whose joint occurrence tells by so much more (G-test)
+    of the label than each alone, so that terms which only tell together are seen by the interactions."""
     n_pos, n_neg = int(toxic.sum()), int(len(toxic) - toxic.sum())
     if not n_pos or not n_neg:
         return Model(np.zeros(0, np.int64), -3.0 if not n_pos else 3.0, np.zeros(0), np.zeros((0, factors)))
     held, side = np.concatenate(rows), np.repeat(toxic == 1, [len(r) for r in rows])
     known, place = np.unique(held, return_inverse=True)  # only terms that occur: the driver holds no table of all slots
     count = [np.bincount(place[side == s], minlength=len(known)) for s in (True, False)]
-    seen = count[0] + count[1]  # G-test of each term's occurrence against the label
-    with np.errstate(divide="ignore", invalid="ignore"):
-        parts = [np.where(c > 0, c * np.log(c * len(toxic) / (seen * n)), 0) for c, n in ((count[0], n_pos), (count[1], n_neg))]
-    gain = np.where(2 * sum(parts) >= least, 2 * sum(parts), 0)
+    seen = count[0] + count[1]
+    gain = _g(count[0], count[1], n_pos, n_neg)
     best = np.argsort(-gain, kind="stable")[:used]
-    slots = np.sort(known[best[gain[best] > 0]])
+    often = np.argsort(-seen, kind="stable")[:common]
+    both = _together(rows, toxic, known[often])
+    more = _g(both[0], both[1], n_pos, n_neg) - np.maximum(gain[often][:, None], gain[often][None, :])
+    a, b = np.triu_indices(len(often), 1)
+    top = np.argsort(-more[a, b], kind="stable")[:pairs]
+    top = top[more[a, b][top] >= least_pair]
+    slots = np.unique(known[np.concatenate([best[gain[best] >= least], often[a[top]], often[b[top]]])])
     x = np.zeros((len(rows), len(slots)), np.float32)
     for i, r in enumerate(rows):
         x[i, np.flatnonzero(np.isin(slots, r, assume_unique=True))] = 1
@@ -93,14 +115,15 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, max_
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")).filter("toxic in (0, 1)")
     size = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / F.lit(1_000_003)
-    chosen = known.filter(share < F.when(F.col("toxic") == 1, min(1.0, max_rows / max(1, size.get(1, 0)))).otherwise(min(1.0, max_rows / max(1, size.get(0, 0)))) + 1e-9).limit(3 * max_rows)
+    chosen = known.filter(share < F.when(F.col("toxic") == 1, min(1.0, max_rows / max(1, size.get(1, 0)))).otherwise(min(1.0, max_rows / max(1, size.get(0, 0)))) + 1e-9)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "toxic": frame["toxic"], "terms": [text_terms(t) for t in frame["text"]]})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    got = texts.join(F.broadcast(chosen), "doc_id").mapInPandas(run, "doc_id long, toxic int, terms array<long>").limit(4 * max_rows).toPandas().sort_values("doc_id", kind="stable")
+    one = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # of rows that share an id, one
+    got = one.mapInPandas(run, "doc_id long, toxic int, terms array<long>").toPandas().sort_values("doc_id", kind="stable")
     n = sum(size.values())
     return fit_sample([np.asarray(t, np.int64) for t in got["terms"]], got["toxic"].to_numpy(np.float64), size.get(1, 0) / max(1, n))
 
@@ -119,9 +142,11 @@ def score(model: Model) -> object:
                 for w in set(WORD((text or "").lower())):
                     found = seen.get(w)
                     if found is None:
-                        if len(seen) > 400_000:
-                            seen.clear()
-                        found = seen[w] = tuple(place[t] for t in terms(w) if t in place)
+                        found = tuple(place[t] for t in terms(w) if t in place)
+                        if len(w) <= 48:
+                            if len(seen) > 100_000:
+                                seen.clear()
+                            seen[w] = found
                     if found:
                         hit.update(found)
                 out.append(model.score(sorted(hit)))

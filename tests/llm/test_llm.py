@@ -510,3 +510,48 @@ def test_pipeline_stages(spark):
         assert out.columns == docs.columns and out.schema == docs.schema, name
     got = corpus_pipeline.run(spark, SF)
     assert got.select("doc_id").distinct().count() <= docs.count() and got.count() > 0
+
+
+def test_toxicity_learns_terms_that_only_tell_together():
+    """The label is the exclusive-or of two terms, neither of which tells anything alone."""
+    r = np.random.default_rng(4)
+    a, b = r.random(3000) < 0.5, r.random(3000) < 0.5
+    rows = [np.unique(np.concatenate([r.integers(10, 400, 20), [1] * int(x), [2] * int(y)]).astype(np.int64)) for x, y in zip(a, b, strict=True)]
+    model = toxicity.fit_sample(rows[:2500], (a ^ b)[:2500].astype(float), 0.5)
+    assert {1, 2} <= set(model.slots.tolist())
+    place = {int(s): i for i, s in enumerate(model.slots)}
+    got = [model.score(sorted(place[int(t)] for t in row if int(t) in place)) >= 0.5 for row in rows[2500:]]
+    assert np.mean(np.array(got) == (a ^ b)[2500:]) > 0.9
+
+
+def test_toxicity_of_repeated_ids(spark):
+    docs = spark.createDataFrame([(i % 40, f"good day {i}" if i % 2 else f"nasty day {i}") for i in range(80)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(40)] + [(1, None), (None, 1)], "doc_id long, toxic int")
+    assert docs.select(toxicity.score(toxicity.fit(docs, labels))("text").alias("s")).filter("s between 0 and 1").count() == 81
+
+
+def brute_labels(index, words, slack=2, least=0.5):
+    """Licences by trying every template at every place."""
+    found = set()
+    for t in index.templates:
+        reach = max(slack, len(t.words) // 20)
+        for s in range(-len(t.words), len(words) + 1):
+            if t.base:
+                hit = s >= 0 and words[s : s + len(t.words)] == t.words
+            else:
+                hit = all(any(words[p : p + len(k)] == k for p in range(max(0, s + q - reach), max(0, s + q + reach + 1))) for q, k in t.keys)
+                hit = hit and sum(index.idf[w] for p, w in enumerate(t.words) if w in words[max(0, s + p - reach) : max(0, s + p + reach + 1)]) >= least * sum(index.idf[w] for w in t.words)
+            if hit:
+                found.add(t.label)
+                break
+    return found
+
+
+def test_licence_labels_against_brute_force(spark):
+    texts = [t for _, _, t in license.TEXTS] + [f"This file is under the {n}, see there." for _, n in license.NAMES]
+    texts += ["mit license", "the mit", "All rights reserved", "permission is hereby granted free of charge to nobody", ""] + [" ".join(t.split()[5:40]) for _, _, t in license.TEXTS] + [t.replace(" the ", " our ") for _, _, t in license.TEXTS]
+    texts += [r["text"] for r in table(spark, SF, "documents").collect()]
+    words = [license.words_of(t) for t in texts]
+    index = license.Index(collections.Counter(w for ws in words for w in set(ws)), len(words))
+    assert [index.scan(ws)[2] for ws in words] == [brute_labels(index, ws) for ws in words]
+    assert all(label in index.scan(license.words_of(text))[2] for label, _, text in license.TEXTS)
