@@ -555,3 +555,40 @@ def test_licence_labels_against_brute_force(spark):
     index = license.Index(collections.Counter(w for ws in words for w in set(ws)), len(words))
     assert [index.scan(ws)[2] for ws in words] == [brute_labels(index, ws) for ws in words]
     assert all(label in index.scan(license.words_of(text))[2] for label, _, text in license.TEXTS)
+
+
+def test_decontamination_at_every_length(spark):
+    """Verbatim items of 3 to 2,000 words are found, and no text of other words is held for one."""
+    r = random.Random(12)
+    docs = table(spark, SF, "documents")
+    pool = [w for row in docs.limit(120).collect() for w in decontam.split(row["text"] or "")]
+    items = [[r.choice(pool) for _ in range(n)] for n in (3, 4, 6, 7, 12, 13, 24, 25, 48, 49, 100, 400, 1000, 2000) for _ in range(2)]
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)] + [(None, "x y z"), (900, None), (901, " ")], "item_id long, text string")
+    filler = lambda: " ".join(r.choice(pool) for _ in range(r.randint(0, 80)))
+    planted = [(i, f"{filler()}, {' '.join(w).upper() if i % 2 else ' '.join(w)}; {filler()}", "clash") for i, w in enumerate(items)] + [(i, None, None) for i in (500, 501)] + [(None, "", None)]
+    rows = spark.createDataFrame(planted * 2, "doc_id long, text string, item_id string")
+    found = collections.Counter((x["doc_id"], x["item_id"]) for x in decontam.contaminated(rows, benchmark).collect() if x["doc_id"] == x["item_id"])
+    assert found == {(i, i): 2 for i in range(len(items))}
+    assert decontam.contaminated(empty(spark), benchmark).count() == 0 and decontam.contaminated(rows, benchmark.limit(0)).count() == 0
+
+
+def test_decontamination_against_brute_force(spark):
+    """Reworded items: at least nine in ten of those that a full comparison accepts are found."""
+    r = random.Random(13)
+    docs = table(spark, SF, "documents")
+    space = decontam.latent_space(docs, *decontam.word_weights(docs), 256, 20_000)
+    pool = [w for row in docs.limit(120).collect() for w in decontam.split(row["text"] or "")]
+    hits = total = 0
+    for n in (8, 16, 30, 45, 59, 150):
+        items = [[r.choice(pool) for _ in range(n)] for _ in range(20)]
+        scanner = decontam.Scanner(space, list(range(20)), items)
+        for i, item in enumerate(items):
+            host = [r.choice(pool) for _ in range(200)]
+            at = r.randint(0, 200)
+            text = host[:at] + [w if r.random() < 0.68 else r.choice(pool) for w in item] + host[at:]
+            hit = decontam.lcs(item, text[max(0, at - n) : at + 2 * n])
+            tail = max(1, n // 3)
+            if hit.bit_count() >= 0.6 * n and (hit >> (n - tail)).bit_count() >= 0.5 * tail:
+                total += 1
+                hits += i in scanner.scan([" ".join(text)])[0]
+    assert total > 40 and hits >= 0.9 * total
