@@ -13,7 +13,7 @@ compared for equality only.
 Where more than `pair_limit` different lines meet at one key, they are not paired with each other but compared with hubs
 among them (groups.py). Lines that no hub connects are reduced to the letter pairs in which they differ from the first
 hub. Lines within t edits of one another differ in at most 4 t letter pairs, so their difference lists share one of the
-4 t + 1 rarest entries (prefix filter) unless both lists have at most 4 t entries together; only such lines of different
+first 4 t + 1 entries (prefix filter, rare pairs first) unless both lists have at most 4 t entries together; only such lines of different
 components, whose lengths and parities of letters and letter pairs allow t edits, are paired. No link is lost; each line takes the t of its own length, which is no less than that of a pair it is in.
 """
 
@@ -37,6 +37,7 @@ from .groups import connect
 #: Lines this long may differ by edits; lines this long are indexed by scale and not by length.
 EDITS_FROM, LONG = 20, 160
 STEP = 32
+BUCKETS = 4096
 
 
 def edits_for(length: int) -> int:
@@ -203,28 +204,44 @@ def parity(line: str) -> tuple[int, int, int]:
     return tuple(np.packbits(both.astype(np.uint8), bitorder="little").view(np.int64).tolist())
 
 
-def _apart(rows: DataFrame) -> DataFrame:
-    """rows(h, c, t, line, group, hub) -> (h, c, d, few, token): the 4 t + 1 rarest letter pairs in which a line differs
-    from its group's hub, d pairs in all; and where d is at most 4 t, the group itself (few)."""
+def _letter_pairs(s: str) -> Counter:
+    return Counter(s[i : i + 2] for i in range(len(s) - 1))
 
-    def pairs(s: str) -> Counter:
-        return Counter(s[i : i + 2] for i in range(len(s) - 1))
+
+def _common(lines: DataFrame) -> np.ndarray:
+    """In how many lines(line) the letter pairs hashed to each of BUCKETS occur."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count: Counter = Counter()
+        for frame in frames:
+            for line in frame["line"]:
+                count.update({_digest(g) % BUCKETS for g in _letter_pairs(line)})
+        yield pd.DataFrame(list(count.items()), columns=["bucket", "n"], dtype="int64")
+
+    found = lines.select("line").mapInPandas(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(BUCKETS, np.int64)
+    out[found["bucket"].to_numpy(np.int64)] = found["n"]
+    return out
+
+
+def _apart(rows: DataFrame, common: np.ndarray) -> DataFrame:
+    """rows(h, c, t, line, group, hub) -> (h, c, d, at, few, token): the first 4 t + 1 letter pairs, rare ones first, in which a
+    line differs from its group's hub, d pairs in all; and where d is at most 4 t, the group itself (few)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["h", "c", "t", "group", "d", "few", "token"]
+        names = ["h", "c", "d", "at", "few", "token"]
         for frame in frames:
             out = []
             for h, c, t, line, group, hub in frame[["h", "c", "t", "line", "group", "hub"]].itertuples(index=False):
-                a, b = pairs(line), pairs(hub)
-                diff = [_digest(f"{group} {sign} {n} {g}") for sign, d in (("+", a - b), ("-", b - a)) for g, k in d.items() for n in range(k)]
-                own = [(x, 0) for x in diff] + [(_digest(f"{group}"), 1)] * (len(diff) <= 4 * t)
-                out += [(h, c, t, group, len(diff), few, (x ^ (1 << 63)) - (1 << 63)) for x, few in own]
+                a, b = _letter_pairs(line), _letter_pairs(hub)
+                diff = sorted((common[_digest(g) % BUCKETS], g, sign, n) for sign, d in ((1, a - b), (0, b - a)) for g, k in d.items() for n in range(k))
+                own = [(i + 1, 0, _digest(f"{group} {sign} {n} {g}")) for i, (_, g, sign, n) in enumerate(diff[: 4 * t + 1])]
+                own += [(1, 1, _digest(f"{group}"))] * (len(diff) <= 4 * t)
+                out += [(h, c, len(diff), at, few, (x ^ (1 << 63)) - (1 << 63)) for at, few, x in own]
             yield pd.DataFrame(out, columns=names, dtype="int64")
 
-    found = materialize(rows.mapInPandas(run, "h long, c long, t long, group long, d long, few long, token long"), "differences")
-    found = found.withColumn("n", F.count("*").over(Window.partitionBy("token")))
-    place = F.row_number().over(Window.partitionBy("h", "group", "few").orderBy("n", "token"))
-    return found.withColumn("at", place).filter((F.col("at") <= 4 * F.col("t") + 1) & (F.col("n") > 1)).select("h", "c", "d", "few", "token")
+    found = rows.mapInPandas(run, "h long, c long, d long, at long, few long, token long")
+    return materialize(found.withColumn("n", F.count("*").over(Window.partitionBy("token"))).filter("n > 1").drop("n"), "differences")
 
 
 def _pairs(met: DataFrame, by: str, *more: Column) -> DataFrame:
@@ -253,8 +270,8 @@ def similar_lines(lines: DataFrame, pair_limit: int = 4) -> DataFrame:
     """lines(h, line) -> links (a, b) between the hashes of different lines, enough to connect all lines that are linked
     through pairs within the allowed edits."""
     over = Window.partitionBy("key")
-    met = _keyed(lines).select("h", "key", F.min("h").over(over).alias("lo"), F.max("h").over(over).alias("hi"), F.max("own").over(over).alias("own"), F.count("*").over(over).alias("n"))
-    met = materialize(met.filter("lo < hi and own = 1").select("h", "key", "n").distinct(), "met")
+    met = _keyed(lines).select("h", "key", F.col("own").alias("mine"), F.min("h").over(over).alias("lo"), F.max("h").over(over).alias("hi"), F.max("own").over(over).alias("own"), F.count("*").over(over).alias("n"))
+    met = materialize(met.filter("lo < hi and own = 1").groupBy("h", "key", "n").agg(F.max("mine").alias("mine")), "met")
     texts = lines.join(met.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
     texts = materialize(texts.mapInArrow(_odds, "h long, line string, " + ", ".join(f"{c} long" for c in FILTERS)), "texts")
 
@@ -270,20 +287,25 @@ def similar_lines(lines: DataFrame, pair_limit: int = 4) -> DataFrame:
 
     def rest(groups: DataFrame) -> DataFrame:
         told = groups.withColumnRenamed("node", "h").join(texts, "h").join(texts.select(F.col("h").alias("hub"), F.col("line").alias("hub_line")), "hub")
-        apart = _apart(told.select("h", "c", "t", "line", F.col("hub").alias("group"), F.col("hub_line").alias("hub")))
+        apart = _apart(told.select("h", "c", "t", "line", F.col("hub").alias("group"), F.col("hub_line").alias("hub")), _common(texts))
+        # Lists of a and b entries share (a + b - 4 t) / 2 at least: one of them is among the first 2 t + 1 of the shorter list.
         most = 4 * F.least("a.t", "b.t")
-        fits = (F.abs(F.col("a.d") - F.col("b.d")) <= most) & ((F.col("a.few") == 0) | (F.col("a.d") + F.col("b.d") <= most))
+        short, long = (F.struct(f"{x}.d", f"{x}.h") for x in "ab")
+        # What is shared stands before, at or behind the token met, in both lists.
+        room = F.least("a.at", "b.at") + F.least(F.col("a.d") - F.col("a.at"), F.col("b.d") - F.col("b.at")) >= (F.col("a.d") + F.col("b.d") - most) / 2
+        first = room & (F.when(short < long, F.col("a.at")).otherwise(F.col("b.at")) <= most / 2 + 1)
+        fits = (F.abs(F.col("a.d") - F.col("b.d")) <= most) & F.when(F.col("a.few") == 0, first).otherwise(F.col("a.d") + F.col("b.d") <= most)
         return _pairs(apart.join(texts.select("h", *FILTERS), "h"), "token", F.col("a.c") != F.col("b.c"), fits)
 
     # Crowded keys are split by length: steps of so many characters, and the step below for lines within reach of it.
     lengths = F.array_distinct(F.array(F.floor(F.col("len") / STEP), F.floor((F.col("len") - F.col("t")) / STEP)))
-    crowd = met.filter(F.col("n") > pair_limit).select("h", "key").join(texts.select("h", F.col("n").alias("len"), "t"), "h")
-    crowd = crowd.select("h", "key", F.explode(lengths).alias("step")).select("h", F.xxhash64("key", "step").alias("key")).withColumn("n", F.count("*").over(Window.partitionBy("key")))
+    crowd = met.filter(F.col("n") > pair_limit).select("h", "key", "mine").join(texts.select("h", F.col("n").alias("len"), "t"), "h")
+    crowd = crowd.select("h", "key", "mine", F.explode(lengths).alias("step")).select("h", "mine", F.xxhash64("key", "step").alias("key")).withColumn("n", F.count("*").over(Window.partitionBy("key")))
     crowd = materialize(crowd.filter("n > 1"), "crowd")
     few = met.filter(F.col("n") <= pair_limit).select("h", "key").union(crowd.filter(F.col("n") <= pair_limit).select("h", "key"))
     found = exact(_pairs(few.join(texts.select("h", *FILTERS), "h"), "key"), "links")
     crowd = crowd.filter(F.col("n") > pair_limit)
-    return found if crowd.isEmpty() else connect(crowd.withColumnRenamed("h", "node"), found, exact, rest)
+    return found if crowd.isEmpty() else connect(crowd.select(F.col("h").alias("node"), "key", (F.col("n") * F.col("mine")).alias("n")), found, exact, rest, rounds=1)
 
 
 def repeated(docs: DataFrame, min_chars: int = 40) -> DataFrame:
