@@ -22,19 +22,101 @@ def prototypes(vectors: DataFrame) -> DataFrame:
     return mean.select("label", "pos", F.when(norm > 0, F.col("m") / norm).otherwise(F.lit(0.0)).alias("val"))
 
 
-def prototype_scores(vectors: DataFrame, protos: DataFrame, tau: float = 0.1) -> DataFrame:
+def boosted(weights: DataFrame, weight: str, boosts: dict) -> DataFrame:
+    """weights(label, ...) with the column `weight` multiplied for the labels in boosts, of mean 1 again."""
+    factor = F.coalesce(*[F.when(F.col("label") == k, F.lit(float(v))) for k, v in boosts.items()], F.lit(1.0))
+    return weights.withColumn(weight, F.col(weight) * factor).withColumn(weight, F.col(weight) / F.avg(weight).over(Window.partitionBy()))
+
+
+def prototype_scores(vectors: DataFrame, protos: DataFrame, tau: float = 0.1, reduce: str = "max", most: int = 1_000_000) -> DataFrame:
     """(id, y, label, logit, p): cosine to each prototype over tau, and the softmax of it.
 
-    Prototypes are joined by position, so each vector meets one row per class and component.
+    protos(label, pos, val) or, with several of a class, (label, centre, pos, val): reduce joins these by max or logsumexp.
+    The prototypes are gathered to one row and sent to all tasks; their numbers are counted first, at most `most`.
     """
-    long = vectors.select("id", F.col("label").alias("y"), F.posexplode("vec").alias("pos", "x")).withColumn("x", F.col("x").cast("double"))
-    dot = long.join(protos, "pos").groupBy("id", "y", "label").agg(F.sum(F.col("x") * F.col("val")).alias("dot"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    logit = dot.withColumn("logit", F.when(F.col("norm") > 0, F.col("dot") / F.col("norm")).otherwise(F.lit(0.0)) / tau)
+    key = ["label", "centre"] if "centre" in protos.columns else ["label"]
+    if protos.count() > most:
+        raise ValueError(f"the prototypes hold more than {most} numbers")
+    per = protos.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "val"))), lambda x: x["val"]).alias("proto"))
+    rows = vectors.select("id", F.col("label").alias("y"), F.transform("vec", lambda x: x.cast("double")).alias("vec"), F.lit(1).alias("one"))
+    sent = per.agg(F.collect_list(F.struct("label", "proto")).alias("protos"), F.lit(1).alias("one"))
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
+    dot = F.aggregate(F.zip_with("vec", "x.proto", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    met = rows.join(F.broadcast(sent), "one").withColumn("norm", norm).select("id", "y", "vec", "norm", F.explode("protos").alias("x"))
+    logit = met.select("id", "y", "x.label", (F.when(F.col("norm") > 0, dot / F.col("norm")).otherwise(0.0) / tau).alias("logit"))
     own = Window.partitionBy("id")
+    if len(key) > 1:
+        top = F.max("logit").over(Window.partitionBy("id", "y", "label"))
+        joined = F.max("logit") if reduce == "max" else F.max("top") + F.log(F.sum(F.exp(F.col("logit") - F.col("top"))))
+        logit = logit.withColumn("top", top).groupBy("id", "y", "label").agg(joined.alias("logit"))
     e = F.exp(F.col("logit") - F.max("logit").over(own))
     return logit.withColumn("_e", e).select("id", "y", "label", "logit", (F.col("_e") / F.sum("_e").over(own)).alias("p"))
 
 
+def adjusted(scores: DataFrame, priors: DataFrame, strength: float) -> DataFrame:
+    """scores(id, y, label, logit) with strength times the label's log prior added to the logit, and p again."""
+    own = Window.partitionBy("id")
+    rows = scores.join(F.broadcast(priors.select("label", "log_prior")), "label").withColumn("logit", F.col("logit") + strength * F.col("log_prior"))
+    e = F.exp(F.col("logit") - F.max("logit").over(own))
+    return rows.withColumn("_e", e).select("id", "y", "label", "logit", (F.col("_e") / F.sum("_e").over(own)).alias("p"))
+
+
+def moved_prototypes(old: DataFrame, new: DataFrame, keep: float = 0.9) -> DataFrame:
+    """(label, pos, val): keep * old + (1 - keep) * new, of length 1; a label of one table only stays as it is there."""
+    both = old.withColumnRenamed("val", "a").join(new.withColumnRenamed("val", "b"), ["label", "pos"], "full")
+    val = F.when(F.col("a").isNull(), F.col("b")).when(F.col("b").isNull(), F.col("a")).otherwise(keep * F.col("a") + (1 - keep) * F.col("b"))
+    both = both.withColumn("val", val)
+    norm = F.sqrt(F.sum(F.col("val") * F.col("val")).over(Window.partitionBy("label")))
+    return both.select("label", "pos", F.when(norm > 0, F.col("val") / norm).otherwise(0.0).alias("val"))
+
+
+def quota_alloc(weights: DataFrame, weight: str, total: int, floors: dict | None = None) -> DataFrame:
+    """(label, quota): floor(share * total), at least the label's floor; what is missing goes to the largest remainders,
+    what is too much is taken from the largest quotas above their floors. Ties: the smaller label. One row a label."""
+    floor = F.coalesce(*[F.when(F.col("label") == k, F.lit(int(v))) for k, v in (floors or {}).items()], F.lit(0))
+    every = Window.partitionBy()
+    rows = weights.withColumn("x", F.col(weight) / F.sum(weight).over(every) * total).withColumn("low", floor)
+    rows = rows.withColumn("q", F.greatest(F.floor("x"), F.col("low")).cast("long")).withColumn("need", F.lit(total) - F.sum("q").over(every))
+    n = F.count("*").over(every)
+    rank = F.row_number().over(Window.orderBy(F.desc(F.col("x") - F.floor("x")), "label"))
+    rows = rows.withColumns({"rank": rank, "classes": n})
+    more = F.floor(F.col("need") / F.col("classes")) + (F.col("rank") <= F.col("need") % F.col("classes")).cast("long")
+    # Taking back unit by unit from the largest quota leaves the excess levelled: quotas ranked by what stands above the floor.
+    rows = rows.withColumn("unit", F.explode(F.when(F.col("need") >= 0, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("q") - F.col("low"), F.lit(0))))))
+    taken = F.row_number().over(Window.orderBy(F.desc(F.when(F.col("unit") > 0, F.col("low") + F.col("unit"))), "label"))
+    rows = rows.withColumn("gone", (F.col("unit") > 0) & (taken <= -F.col("need")))
+    by = rows.groupBy("label").agg(F.first("q").alias("q"), F.first("need").alias("need"), F.first(more).alias("more"), F.count_if("gone").alias("gone"))
+    return by.select("label", F.when(F.col("need") >= 0, F.col("q") + F.col("more")).otherwise(F.col("q") - F.col("gone")).alias("quota"))
+
+
+def draw(rows: DataFrame, label: str, ident: str, quotas: DataFrame, seed: int) -> DataFrame:
+    """Rows with `draw`, quota rows of each label by the hash of seed and id; where the quota is larger than the class,
+    its rows come again in the same order (with replacement)."""
+    place = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), ident), ident)) - 1
+    pool = rows.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_n")).join(quotas.withColumnRenamed("label", "_label"), "_label")
+    told = rows.withColumn("_place", place).join(F.broadcast(pool), F.col(label) == F.col("_label")).filter(F.col("_place") < F.col("quota"))
+    times = F.floor((F.col("quota") - 1 - F.col("_place")) / F.col("_n"))
+    return told.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), times))).drop("_label", "_n", "quota", "_place")
+
+
+def anomaly_export(preds: DataFrame, tau: float, benign: int = 0) -> DataFrame:
+    """Predictions with is_anomaly (the score is at least tau)."""
+    return preds.withColumn("is_anomaly", F.col("anomaly") >= tau)
+
+
+def anomaly_metrics(export: DataFrame, benign: int = 0) -> DataFrame:
+    """Precision, recall and F1 of is_anomaly against y not benign, 0 where undefined."""
+    hit, real = F.col("is_anomaly"), F.col("y") != benign
+    n = export.agg(F.count_if(hit & real).alias("tp"), F.count_if(hit).alias("said"), F.count_if(real).alias("pos"))
+    ratio = lambda a, b: F.coalesce(F.col(a) / F.expr(f"nullif({b}, 0)"), F.lit(0.0))
+    return n.select(ratio("tp", "said").alias("precision"), ratio("tp", "pos").alias("recall"), F.coalesce(2 * F.col("tp") / F.expr("nullif(said + pos, 0)"), F.lit(0.0)).alias("f1"))
+
+
+def best_epoch(log: DataFrame, metric: str = "macro_f1") -> DataFrame:
+    """The row of the metric log with the largest value, the earliest epoch on ties."""
+    return log.orderBy(F.desc(metric), "epoch").limit(1)
+
+
 def predictions(scores: DataFrame, k: int = 3, benign: int = 0) -> DataFrame:
     """Prediction, top-k labels (ties: smaller label), anomaly score and type of every id."""
     pairs = F.array_sort(F.collect_list(F.struct((-F.col("logit")).alias("l"), "label", "p")))

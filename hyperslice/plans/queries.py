@@ -368,3 +368,87 @@ def quota_sample(spark: SparkSession, d: str) -> DataFrame:
 def hashed_bags(spark: SparkSession, d: str) -> DataFrame:
     docs = ad.table(spark, d, "documents").select(F.col("doc_id").alias("node_id"), F.col("text").alias("token"))
     return hypergraph.token_features(docs).withColumnRenamed("node_id", "doc_id")
+
+
+PACKS = f"""{SLICED}, r AS (SELECT stream, slice_id, t_ns, seq, etype, o, CASE WHEN lag(etype) OVER w IS DISTINCT FROM etype THEN 1 ELSE 0 END AS new FROM sl WINDOW w AS (PARTITION BY stream, slice_id ORDER BY t_ns, seq)),
+    m AS (SELECT *, sum(new) OVER (PARTITION BY stream, slice_id ORDER BY t_ns, seq) AS run FROM r),
+    he AS (SELECT stream, slice_id, min(t_ns) AS t_start, count(*) AS total_count, count(DISTINCT o) AS num_entities, count(DISTINCT etype) AS num_events, count(DISTINCT run) AS motifs FROM m GROUP BY ALL),
+    hn AS (SELECT *, row_number() OVER (ORDER BY t_start, stream, slice_id) - 1 AS hid, dense_rank() OVER (ORDER BY stream) - 1 AS y FROM he),
+    pm AS (SELECT DISTINCT hid, token, type FROM (SELECT hid, o AS token, 'entity' AS type FROM m JOIN hn USING (stream, slice_id) UNION ALL SELECT hid, 'EVT:' || etype, 'event' FROM m JOIN hn USING (stream, slice_id))),
+    pf AS (SELECT token, min(hid * 2 + CASE WHEN type = 'entity' THEN 0 ELSE 1 END) AS f FROM pm GROUP BY token),
+    pn AS (SELECT row_number() OVER (ORDER BY f, token) - 1 AS node_id, token, CASE WHEN f % 2 = 0 THEN 'entity' ELSE 'event' END AS type FROM pf),
+    pi AS (SELECT pn.node_id, pm.hid FROM pm JOIN pn USING (token))"""
+
+
+def _packs(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The event slices as packs (motifs are runs of equal events, the label is the stream), and their hypergraph."""
+    sliced = slicing.slice_events(ad.events(spark, d), ad.GAP_NS)
+    key = F.struct("stream", "slice_id")
+    steps = sliced.select(key.alias("key"), F.struct("t_ns", "seq").alias("pos"), F.col("etype").alias("name"), F.col("o").alias("entity"), F.lit("").alias("ttp"))
+    motif = F.struct("run", F.col("name").alias("event_type"), F.col("n").alias("count"), "entities", "techniques")
+    packs = slicing.run_motifs(steps).groupBy("key").agg(F.array_sort(F.collect_list(motif)).alias("motifs"))
+    times = sliced.groupBy(key.alias("key")).agg(F.min("t_ns").alias("t_start"))
+    packs = packs.join(times, "key").select("key.*", "motifs", "t_start", F.col("key.stream").alias("semantic_label"), F.lit(0.5).alias("semantic_score"))
+    return hypergraph.from_packs(packs, F.floor(F.col("t_start") / 10**13), ["t_start", "stream", "slice_id"])
+
+
+@query(f"WITH {PACKS} SELECT hid, y, total_count, num_entities, num_events FROM hn")
+def pack_hyperedges(spark: SparkSession, d: str) -> DataFrame:
+    return _packs(spark, d)["hyperedges"].select("hid", "y", "total_count", "num_entities", "num_events")
+
+
+@query(f"WITH {PACKS} SELECT hid, node_id, token, type FROM pi JOIN pn USING (node_id)")
+def pack_incidence(spark: SparkSession, d: str) -> DataFrame:
+    """From events to the incidence table."""
+    t = _packs(spark, d)
+    return t["incidence"].join(t["nodes"], "node_id").select("hid", "node_id", "token", "type")
+
+
+@query(f"""WITH {PACKS}, dg AS (SELECT node_id, count(*) AS n FROM pi GROUP BY node_id) SELECT node_id, CAST(69 AS INTEGER) AS dims, round(ln(1 + n), 6) AS log_degree, round(n / (SELECT count(DISTINCT hid) FROM pi), 8) AS share,
+    CASE WHEN type = 'event' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS is_event, CAST(len(list_filter(regexp_split_to_array(lower(token), '[^\\p{{L}}\\p{{N}}._:-]+'), lambda x: x <> '')) AS DOUBLE) AS words FROM pn JOIN dg USING (node_id)""")
+def node_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """G3's whole vectors, told by their length, head and sum."""
+    t = _packs(spark, d)
+    v = hypergraph.node_vectors(t["nodes"], t["incidence"])
+    words = F.aggregate(F.slice("vec", 6, 64), F.lit(0.0), lambda a, x: a + x)
+    return v.select("node_id", F.size("vec").alias("dims"), F.round(F.get("vec", F.lit(2)), 6).alias("log_degree"), F.round(F.get("vec", F.lit(3)), 8).alias("share"), F.get("vec", F.lit(1)).alias("is_event"), words.alias("words"))
+
+
+@query(f"""WITH {PACKS} SELECT hid, CAST(260 AS INTEGER) AS dims, 0.5::DOUBLE AS score, CAST(num_entities + num_events AS DOUBLE) AS members, CAST(num_events AS DOUBLE) AS event_types, CAST(total_count AS DOUBLE) AS events FROM hn""")
+def edge_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """G4's whole vectors, told by their length, head and sum."""
+    t = _packs(spark, d)
+    v = hypergraph.edge_vectors(t["hyperedges"], t["incidence"])
+    at = lambda i: F.get("vec", F.lit(i))
+    events = F.aggregate(F.slice("vec", 5, 128), F.lit(0.0), lambda a, x: a + x)
+    return v.select("hid", F.size("vec").alias("dims"), at(0).alias("score"), at(1).alias("members"), at(2).alias("event_types"), events.alias("events"))
+
+
+@query()
+def khop_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Samples of two hops with all caps, as (target, edges, nodes, links)."""
+    m = ad.members(spark, d)
+    inc = hypergraph.incidence(m, hypergraph.nodes(m))
+    t = hypergraph.sample_tables(hypergraph.neighbourhood(inc, 2, 0, 48, per_node=8), inc)
+    count = lambda name, out: t[name].groupBy("target").agg(F.count("*").alias(out))
+    return count("sub_edges", "edges").join(count("sub_nodes", "nodes"), "target").join(count("sub_incidence", "links"), "target")
+
+
+@query(f"""WITH {ad.SCORES}, a AS (SELECT y, anomaly >= 0.5 AS hit, y <> 0 AS real FROM pr) SELECT round(coalesce(count(*) FILTER (hit AND real) / nullif(count(*) FILTER (hit), 0), 0), 8) AS "precision",
+    round(coalesce(count(*) FILTER (hit AND real) / nullif(count(*) FILTER (real), 0), 0), 8) AS recall, round(coalesce(2 * count(*) FILTER (hit AND real) / nullif(count(*) FILTER (hit) + count(*) FILTER (real), 0), 0), 8) AS f1 FROM a""")
+def anomaly_metrics(spark: SparkSession, d: str) -> DataFrame:
+    m = scoring.anomaly_metrics(scoring.anomaly_export(scoring.predictions(_scores(spark, d)), 0.5))
+    return m.select(*[F.round(c, 8).alias(c) for c in m.columns])
+
+
+@query(f"""WITH {ad.SCORES}, pl AS (SELECT y AS label, ln(count(*) / sum(count(*)) OVER ()) AS lp FROM vx WHERE pos = 1 GROUP BY y), al AS (SELECT id, sc.label, logit + 0.5 * lp AS logit FROM sc JOIN pl USING (label))
+    SELECT id, label, round(logit, 5) AS logit, round(exp(logit - max(logit) OVER w) / sum(exp(logit - mx)) OVER w, 5) AS p FROM (SELECT *, max(logit) OVER (PARTITION BY id) AS mx FROM al) WINDOW w AS (PARTITION BY id)""")
+def adjusted_scores(spark: SparkSession, d: str) -> DataFrame:
+    a = scoring.adjusted(_scores(spark, d), scoring.class_weights(ad.vectors(spark, d), "label"), 0.5)
+    return a.select("id", "label", F.round("logit", 5).alias("logit"), F.round("p", 5).alias("p"))
+
+
+@query("""WITH n AS (SELECT o_orderpriority AS label, count(*) AS n FROM orders GROUP BY ALL), x AS (SELECT label, n, n / sum(n) OVER () * 1003 AS x FROM n),
+    q AS (SELECT *, 1003 - sum(floor(x)) OVER () AS need, row_number() OVER (ORDER BY x - floor(x) DESC, label) AS rank FROM x) SELECT label, CAST(floor(x) + CASE WHEN rank <= need THEN 1 ELSE 0 END AS BIGINT) AS quota FROM q""")
+def quota_alloc(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.quota_alloc(scoring.class_weights(ad.table(spark, d, "orders"), "o_orderpriority"), "n", 1003)

@@ -2,6 +2,7 @@
 
 import hashlib
 import hmac
+import math
 import random
 
 import pytest
@@ -190,3 +191,39 @@ def test_readers(spark, tmp_path):
 def test_query_runs(spark, name):
     df = catalog.queries()[name](spark, SF)
     assert df.limit(5).count() > 0 and len(set(df.columns)) == len(df.columns)
+
+
+def test_quota_allocation_and_draws(spark):
+    weights = spark.createDataFrame([("a", 5.0), ("b", 3.0), ("c", 2.0)], "label string, w double")
+    alloc = lambda total, floors=None: {r["label"]: r["quota"] for r in scoring.quota_alloc(weights, "w", total, floors).collect()}
+    assert alloc(10) == {"a": 5, "b": 3, "c": 2} and alloc(11) == {"a": 6, "b": 3, "c": 2}
+    assert alloc(10, {"c": 4}) == {"a": 3, "b": 3, "c": 4} and sum(alloc(7, {"c": 3}).values()) == 7
+    rows = spark.createDataFrame([(i, "a" if i < 2 else "b") for i in range(5)], "id long, label string")
+    quotas = spark.createDataFrame([("a", 5), ("b", 2)], "label string, quota long")
+    got = scoring.draw(rows, "label", "id", quotas, 7).groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")).collect()
+    assert {r["label"]: (r["n"], r["ids"]) for r in got} == {"a": (5, 2), "b": (2, 2)}
+
+
+def test_prototype_variants(spark):
+    v = spark.createDataFrame([(1, 0, [1.0, 0.0])], "id long, label int, vec array<double>")
+    protos = spark.createDataFrame([(0, 0, 0, 1.0), (0, 0, 1, 0.0), (0, 1, 0, 0.0), (0, 1, 1, 1.0), (1, 0, 0, 0.0), (1, 0, 1, 1.0)], "label int, centre int, pos int, val double")
+    logit = lambda how: {r["label"]: r["logit"] for r in scoring.prototype_scores(v, protos, 1.0, how).collect()}
+    assert logit("max") == {0: 1.0, 1: 0.0} and logit("logsumexp")[0] == pytest.approx(1 + math.log(1 + math.exp(-1)))
+    moved = scoring.moved_prototypes(spark.createDataFrame([(0, 0, 1.0), (0, 1, 0.0)], "label int, pos int, val double"), spark.createDataFrame([(0, 0, 0.0), (0, 1, 1.0), (1, 0, 1.0)], "label int, pos int, val double"), 0.5)
+    assert {(r["label"], r["pos"]): round(r["val"], 4) for r in moved.collect()} == {(0, 0): 0.7071, (0, 1): 0.7071, (1, 0): 1.0}
+    log = spark.createDataFrame([(1, 0.5), (2, 0.7), (3, 0.7)], "epoch int, macro_f1 double")
+    assert scoring.best_epoch(log).first()["epoch"] == 2
+
+
+def test_neighbourhoods_and_samples(spark):
+    """Chain 1-2-3 by nodes 10 and 20, hub 99 in all."""
+    inc = spark.createDataFrame([(10, 1), (10, 2), (20, 2), (20, 3), (99, 1), (99, 2), (99, 3), (99, 4)], "node_id long, hid long")
+    found = {(r["target"], r["hid"]): r["depth"] for r in hypergraph.neighbourhood(inc, 2, 3).collect()}
+    assert found == {(1, 1): 0, (1, 2): 1, (1, 3): 2, (2, 2): 0, (2, 1): 1, (2, 3): 1, (3, 3): 0, (3, 2): 1, (3, 1): 2, (4, 4): 0}
+    assert all(r["n"] <= 2 for r in hypergraph.neighbourhood(inc, 2, 0, 2).groupBy("target").agg(F.count("*").alias("n")).collect())
+    t = hypergraph.sample_tables(hypergraph.neighbourhood(inc, 1, 3), inc, most_nodes=2)
+    edges = {(r["target"], r["epos"]): r["hid"] for r in t["sub_edges"].collect()}
+    assert all(edges[x, 0] == x for x in (1, 2, 3, 4))
+    nodes = {(r["target"], r["npos"]): r["node_id"] for r in t["sub_nodes"].collect()}
+    links = {(r["target"], edges[r["target"], r["epos"]], nodes[r["target"], r["npos"]]) for r in t["sub_incidence"].collect()}
+    assert links <= {(x, h, n) for x in (1, 2, 3, 4) for n, h in [(10, 1), (10, 2), (20, 2), (20, 3), (99, 1), (99, 2), (99, 3), (99, 4)]} and {p for _, p in nodes} == {0, 1}
