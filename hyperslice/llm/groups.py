@@ -21,9 +21,11 @@ def connect(crowd: DataFrame, found: DataFrame, exact: Callable[[DataFrame, str]
     """
     rank = crowd.groupBy("node").agg(F.struct((-F.sum("n")).alias("n"), "node").alias("rank"))
     met = materialize(crowd.select("key", "node").distinct().join(rank, "node"), "crowds")
-    # From here on a group is all nodes at keys of one first hub.
-    heads = met.groupBy("key").agg(F.min("rank").alias("hub")).select("key", F.col("hub.node").alias("group"))
-    left = groups = materialize(met.join(heads, "key").select("group", "node", "rank").distinct(), "groups")
+    # From here on a group is all nodes at keys of one first hub, and of hubs that first stand in one of its keys.
+    heads = met.groupBy("key").agg(F.min("rank").alias("hub"))
+    parts = materialize(met.join(heads, "key").select("hub", "node", "rank").distinct(), "parts")
+    into = parts.groupBy("node").agg(F.min("hub").alias("to")).select(F.col("node").alias("of"), F.col("to.node").alias("group"))
+    left = groups = materialize(parts.join(into, F.col("hub.node") == F.col("of")).select("group", "node", "rank").distinct(), "groups")
     hubs = groups.select("group", F.col("group").alias("hub")).distinct()
     for number in range(rounds):
         if number:

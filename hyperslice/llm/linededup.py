@@ -253,17 +253,22 @@ def _pairs(met: DataFrame, by: str, *more: Column) -> DataFrame:
     on &= (odd("odd") + odd("odd2") <= 4 * t) & (odd("letters") <= 2 * t)
     for condition in more:
         on &= condition
+    # An edit brings one letter at most and takes one away at most.
+    gained = lambda x, y: F.aggregate(F.zip_with(f"{x}.counts", f"{y}.counts", lambda i, j: F.greatest(i - j, F.lit(0))), F.lit(0), lambda k, i: k + i)
+    on &= (gained("a", "b") <= t) & (gained("b", "a") <= t)
     return a.join(b, on).select(F.col("a.h").alias("a"), F.col("b.h").alias("b")).distinct()
 
 
-FILTERS = ("n", "t", "odd", "odd2", "letters")
+FILTERS = ("n", "t", "odd", "odd2", "letters", "counts")
 
 
 def _odds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 1000):
         lines = batch.column(1).to_pylist()
-        rows = np.array([(len(x), edits_for(len(x)), *parity(x)) for x in lines], np.int64).reshape(-1, len(FILTERS))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c) for c in rows.T)], names=["h", "line", *FILTERS])
+        rows = np.array([(len(x), edits_for(len(x)), *parity(x)) for x in lines], np.int64).reshape(-1, len(FILTERS) - 1)
+        counts = [np.bincount(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) % 32, minlength=32) for x in lines]
+        counts = pa.array(counts, pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c) for c in rows.T), counts], names=["h", "line", *FILTERS])
 
 
 def similar_lines(lines: DataFrame, pair_limit: int = 4) -> DataFrame:
@@ -273,7 +278,7 @@ def similar_lines(lines: DataFrame, pair_limit: int = 4) -> DataFrame:
     met = _keyed(lines).select("h", "key", F.col("own").alias("mine"), F.min("h").over(over).alias("lo"), F.max("h").over(over).alias("hi"), F.max("own").over(over).alias("own"), F.count("*").over(over).alias("n"))
     met = materialize(met.filter("lo < hi and own = 1").groupBy("h", "key", "n").agg(F.max("mine").alias("mine")), "met")
     texts = lines.join(met.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
-    texts = materialize(texts.mapInArrow(_odds, "h long, line string, " + ", ".join(f"{c} long" for c in FILTERS)), "texts")
+    texts = materialize(texts.mapInArrow(_odds, "h long, line string, " + ", ".join(f"{c} {'array<int>' if c == 'counts' else 'long'}" for c in FILTERS)), "texts")
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
