@@ -93,18 +93,60 @@ def _plan(length: int) -> list[tuple[int, int, int, bool]]:
     return _long_plan(scale) + ((_short_plan(length) if scale == LONG else _long_plan(scale // 2)) if shorter else [])
 
 
+BASE = 0x5851F42D4C957F2D
+PART = 1 << 20
+
+
+@lru_cache(maxsize=4096)
+def _plan_arrays(length: int) -> tuple[np.ndarray, ...]:
+    """_plan as columns: start, end, seed, and 1 for index entries; places beyond the line hold no whole segment."""
+    plan = [p for p in _plan(length) if p[1] <= length]
+    return tuple(np.array([p[i] for p in plan], kind) for i, kind in enumerate((np.int64, np.int64, np.uint64, np.uint64)))
+
+
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """BASE ** i and its inverse modulo 2 ** 64, for the places of one part."""
+    both = [np.full(PART + 1, b, np.uint64) for b in (BASE, pow(BASE, -1, 1 << 64))]
+    for p in both:
+        p[0] = 1
+        np.cumprod(p, out=p)
+    return both[0], both[1]
+
+
+def _part_keys(lines: list[str], lengths: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys of lines(at): differences of one running sum over all letters, shifted to place 0, are the substrings' hashes."""
+    ends = np.cumsum(lengths[at])
+    code = np.frombuffer("".join([lines[i] for i in at]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    power, inverse = _powers()
+    if len(code) > PART:  # a single line
+        power, inverse = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(code), b, np.uint64)))) for b in (power[1], inverse[1]))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((code + np.uint64(1)) * power[: len(code)])))
+    for length in np.unique(lengths[at]):
+        some = np.flatnonzero(lengths[at] == length)
+        start, end, seed, own = _plan_arrays(int(length))
+        place = (ends[some] - length)[:, None]
+        x = ((total[place + end] - total[place + start]) * inverse[place + start] ^ seed) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+        x = (x ^ x >> np.uint64(32)) & ~np.uint64(1) | own
+        yield np.repeat(at[some], len(start)), x.ravel()
+
+
 def keys_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(number of the line, signed 64-bit key) for the keys of all lines; the lowest bit is 1 for index entries, 0 for probes."""
-    count, found, digest = [], [], xxhash.xxh3_64_intdigest
-    for line in lines:
-        plan = _plan(len(line)) if len(line) >= EDITS_FROM else ()
-        if line.isascii():
-            data = line.encode()
-            found += [(digest(data[a:b], seed) | 1) ^ (not own) for a, b, seed, own in plan]
-        else:
-            found += [(digest(line[a:b].encode("utf-8", "surrogatepass"), seed) | 1) ^ (not own) for a, b, seed, own in plan]
-        count.append(len(plan))
-    return np.repeat(np.arange(len(lines)), count), np.array(found, np.uint64).view(np.int64)
+    lengths = np.array([len(x) for x in lines], np.int64)
+    at = np.flatnonzero(lengths >= EDITS_FROM)
+    part = (np.cumsum(lengths[at]) - 1) // (PART // 2) if len(at) else at
+    out = []
+    for group in np.split(at, np.flatnonzero(np.diff(part)) + 1) if len(at) else []:
+        # Lines longer than half a part stand alone, so the others stay within one.
+        long = lengths[group] > PART // 2
+        for some in [group[~long], *(group[i : i + 1] for i in np.flatnonzero(long))]:
+            if len(some):
+                out += _part_keys(lines, lengths, some)
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([n for n, _ in out]), np.concatenate([x for _, x in out]).view(np.int64)
 
 
 def keys(line: str) -> list[int]:
