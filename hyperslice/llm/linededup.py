@@ -14,7 +14,7 @@ Where more than `pair_limit` different lines meet at one key, they are not paire
 among them (groups.py). Lines that no hub connects are reduced to the letter pairs in which they differ from the first
 hub. Lines within t edits of one another differ in at most 4 t letter pairs, so their difference lists share one of the
 first 4 t + 1 entries (prefix filter, rare pairs first) unless both lists have at most 4 t entries together; only such lines of different
-components, whose lengths and parities of letters and letter pairs allow t edits, are paired. No link is lost; each line takes the t of its own length, which is no less than that of a pair it is in.
+components, whose lengths, parities and counts of letters and letter pairs allow t edits, are paired. No link is lost; each line takes the t of its own length, which is no less than that of a pair it is in.
 """
 
 from __future__ import annotations
@@ -235,15 +235,22 @@ def _keyed(lines: DataFrame) -> DataFrame:
     return rows.select("h", F.expr("shiftright(value, 1)").alias("key"), F.col("value").bitwiseAND(1).alias("own"))
 
 
-def parity(line: str) -> tuple[int, int, int]:
-    """Bit i of the first two: whether the letter pairs hashed to i (of 128) are odd in number; of the last: the letters.
+def counted(line: str) -> tuple[np.ndarray, np.ndarray]:
+    """How often letter pairs hashed to each of 128 buckets and letters hashed to each of 64 occur.
 
-    An edit flips at most four bits of the pairs and two of the letters.
+    An edit takes away and brings at most two pairs, and one letter at most.
     """
     code = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
-    pairs = np.bincount((code[:-1] * np.uint32(37) + code[1:] * np.uint32(101)) % 128, minlength=128)
-    both = np.concatenate([pairs, np.bincount(code % 64, minlength=64)]) & 1
-    return tuple(np.packbits(both.astype(np.uint8), bitorder="little").view(np.int64).tolist())
+    return np.bincount((code[:-1] * np.uint32(37) + code[1:] * np.uint32(101)) % 128, minlength=128), np.bincount(code % 64, minlength=64)
+
+
+def parity(pairs: np.ndarray, letters: np.ndarray) -> list[int]:
+    """Bit i of the first two: whether the letter pairs of bucket i are odd in number; of the last: the letters.
+
+    An edit flips at most four bits of the pairs and two of the letters.
+    """
+    both = np.concatenate([pairs, letters]) & 1
+    return np.packbits(both.astype(np.uint8), bitorder="little").view(np.int64).tolist()
 
 
 def _letter_pairs(s: str) -> Counter:
@@ -287,7 +294,7 @@ def _apart(rows: DataFrame, common: np.ndarray) -> DataFrame:
 
 
 def _pairs(met: DataFrame, by: str, *more: Column) -> DataFrame:
-    """Pairs of lines that meet at a key and whose lengths and parities allow the edits of the shorter one."""
+    """Pairs of lines that meet at a key and whose lengths, parities and counts allow the edits of the shorter one."""
     a, b = met.alias("a"), met.alias("b")
     t = F.least("a.t", "b.t")
     odd = lambda c: F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}")))
@@ -295,22 +302,23 @@ def _pairs(met: DataFrame, by: str, *more: Column) -> DataFrame:
     on &= (odd("odd") + odd("odd2") <= 4 * t) & (odd("letters") <= 2 * t)
     for condition in more:
         on &= condition
-    # An edit brings one letter at most and takes one away at most.
-    gained = lambda x, y: F.aggregate(F.zip_with(f"{x}.counts", f"{y}.counts", lambda i, j: F.greatest(i - j, F.lit(0))), F.lit(0), lambda k, i: k + i)
-    on &= (gained("a", "b") <= t) & (gained("b", "a") <= t)
+    gained = lambda x, y, c: F.aggregate(F.zip_with(f"{x}.{c}", f"{y}.{c}", lambda i, j: F.greatest((i - j).cast("int"), F.lit(0))), F.lit(0), lambda k, i: k + i)
+    for c, each in (("counts", 1), ("pairs", 2)):
+        on &= (gained("a", "b", c) <= each * t) & (gained("b", "a", c) <= each * t)
     return a.join(b, on).select(F.col("a.h").alias("a"), F.col("b.h").alias("b")).distinct()
 
 
-FILTERS = ("n", "t", "odd", "odd2", "letters", "counts")
+FILTERS = ("n", "t", "odd", "odd2", "letters", "counts", "pairs")
 
 
 def _odds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 1000):
         lines = batch.column(1).to_pylist()
-        rows = np.array([(len(x), edits_for(len(x)), *parity(x)) for x in lines], np.int64).reshape(-1, len(FILTERS) - 1)
-        counts = [np.bincount(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) % 32, minlength=32) for x in lines]
-        counts = pa.array(counts, pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c) for c in rows.T), counts], names=["h", "line", *FILTERS])
+        tallies = [counted(x) for x in lines]
+        rows = np.array([(len(x), edits_for(len(x)), *parity(*both)) for x, both in zip(lines, tallies, strict=True)], np.int64).reshape(-1, len(FILTERS) - 2)
+        # Counts above 127 are cut to it: their differences can only shrink.
+        letters, pairs = (pa.array([np.minimum(x, 127).astype(np.int8) for x in side], pa.list_(pa.int8())) for side in (([y[:32] + y[32:] for _, y in tallies]), [x for x, _ in tallies]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c) for c in rows.T), letters, pairs], names=["h", "line", *FILTERS])
 
 
 def similar_lines(lines: DataFrame, pair_limit: int = 4) -> DataFrame:
@@ -320,7 +328,7 @@ def similar_lines(lines: DataFrame, pair_limit: int = 4) -> DataFrame:
     met = _keyed(lines).select("h", "key", F.col("own").alias("mine"), F.min("h").over(over).alias("lo"), F.max("h").over(over).alias("hi"), F.max("own").over(over).alias("own"), F.count("*").over(over).alias("n"))
     met = materialize(met.filter("lo < hi and own = 1").groupBy("h", "key", "n").agg(F.max("mine").alias("mine")), "met")
     texts = lines.join(met.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
-    texts = materialize(texts.mapInArrow(_odds, "h long, line string, " + ", ".join(f"{c} {'array<int>' if c == 'counts' else 'long'}" for c in FILTERS)), "texts")
+    texts = materialize(texts.mapInArrow(_odds, "h long, line string, " + ", ".join(f"{c} {'array<tinyint>' if c in ('counts', 'pairs') else 'long'}" for c in FILTERS)), "texts")
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -293,7 +293,7 @@ def test_edit_distance_and_keys():
         b = edited(r, a, r.randint(1, 2))
         if a != b and levenshtein(a, b) <= linededup.edits_for(min(len(a), len(b))):
             assert {k >> 1 for k in linededup.keys(a)} & {k >> 1 for k in linededup.keys(b)}
-            x, y, z = ((i ^ j).bit_count() for i, j in zip(linededup.parity(a), linededup.parity(b), strict=True))
+            x, y, z = ((i ^ j).bit_count() for i, j in zip(linededup.parity(*linededup.counted(a)), linededup.parity(*linededup.counted(b)), strict=True))
             assert x + y <= 8 and z <= 4
 
 
