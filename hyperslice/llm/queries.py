@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, htmltext, license, linededup, lm, packing, simhash, topk, toxicity, warc
+from . import decontam, htmltext, license, linededup, lm, packing, simhash, spotsigs, topk, toxicity, warc
 from .common import id_bucket, new_path, table
 
 
@@ -67,8 +67,12 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compare_edits(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_decontamination, op2_packing, op3_warc, op4_line_dedup, op5_simhash, op6_licenses, op7_top_k, op8_toxicity, op9_main_text, op10_language_model]
+    own = [op1_decontamination, op2_packing, op3_warc, op4_line_dedup, op5_simhash, op6_licenses, op7_top_k, op8_toxicity, op9_main_text, op10_language_model, op11_fingerprints]
     return {f.__name__: f for f in own}
 
 
