@@ -16,8 +16,13 @@ def spots(text):
     """Signatures as tuples of words."""
     words = [w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for w in re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)]
     common = set(spotsigs.COMMON)
-    content = lambda i: tuple([w for w in words[i:] if w not in common][: spotsigs.CHAIN])
-    found = {("^", *content(0))} | {(w, *content(i)) for i, w in enumerate(words) if w in common}
+    found, ahead = set(), ()
+    for w in reversed(words):
+        if w in common:
+            found.add((w, *ahead))
+        else:
+            ahead = (w, *ahead)[: spotsigs.CHAIN]
+    found.add(("^", *ahead))
     return {s for s in found if len(s) > 1} or ({tuple(words)} if words else {text} if text else set())
 
 
