@@ -20,7 +20,11 @@ def restated(rows, least=3, top=200):
     out = set()
     for lang, sources in groups.items():
         kept = [t for t, n in held[lang].items() if n >= least]
-        shares = lambda c: {t: 1 + 10**9 * (c[t] + 1) // (sum(c[x] for x in kept) + len(kept)) for t in kept} if kept else {}
+
+        def shares(c, kept=kept):
+            size = sum(c[x] for x in kept) + len(kept)
+            return {t: 1 + 10**9 * (c[t] + 1) // size for t in kept}
+
         whole = shares(sum((count[lang, s] for s in sources), Counter()))
         own = {s: shares(count[lang, s]) for s in sources}
         for s in sources:
