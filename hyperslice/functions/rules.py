@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import ipaddress
+
 from pyspark.sql import Column, functions as F
 
 #: Technique rules on an object's file name, first match wins.
@@ -15,10 +18,13 @@ EVENT_RULES = (
 SERVICES = {53: "SVC_DNS", 67: "SVC_DHCP", 68: "SVC_DHCP", 80: "SVC_HTTP", 8080: "SVC_HTTP", 8000: "SVC_HTTP", 443: "SVC_HTTPS", 8443: "SVC_HTTPS", 22: "SVC_SSH", 3389: "SVC_RDP", 445: "SVC_SMB", 139: "SVC_SMB", 88: "SVC_KRB", 389: "SVC_LDAP", 636: "SVC_LDAP"}
 #: Transport protocols that have ports, by their number.
 TRANSPORTS = {6: "TCP", 17: "UDP"}
-#: Private, loopback, link-local, test and reserved blocks: IPv4 by their first octets, IPv6 by their beginnings.
-INTERNAL = (r"0", r"10", r"127", r"169\.254", r"172\.(?:1[6-9]|2\d|3[01])", r"192\.168", r"198\.1[89]", r"192\.0\.2", r"198\.51\.100", r"203\.0\.113", r"2[4-5]\d")
-INTERNAL_V6 = (r"::1?$", r"f[cd][0-9a-f]{2}:", r"fe[89ab][0-9a-f]:", r"2001:db8:")
+#: Private, loopback, link-local, test and reserved blocks, and what is public within them.
+INTERNAL = ("0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4")
+PUBLIC = ("192.0.0.9/32", "192.0.0.10/32")
+INTERNAL_V6 = ("::/128", "::1/128", "64:ff9b:1::/48", "100::/64", "2001::/23", "2001:db8::/32", "2002::/16", "3fff::/20", "fc00::/7", "fe80::/10")
+PUBLIC_V6 = ("2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28")
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+QUAD = rf"{OCTET}(?:\.{OCTET}){{3}}"
 
 
 def file_name(path: Column) -> Column:
@@ -86,10 +92,49 @@ def magnitude(value: Column, low: float, high: float) -> Column:
     return F.when(value < low, "L").when(value < high, "M").otherwise("H")
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), with value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def ipv4_number(ip: Column) -> Column:
+    """The number of a dotted quad, null if it isn't one (octets over 255, leading zeros, blanks)."""
+    octets = lambda p: F.aggregate(F.transform(p, lambda x: x.cast("long")), F.lit(0).cast("long"), lambda a, x: a * 256 + x)
+    return F.when(ip.rlike(rf"\A{QUAD}\z"), octets(F.split(ip, r"\.")))
+
+
+def ipv6_digits(ip: Column) -> Column:
+    """The 32 hexadecimal digits of an IPv6 address (with ::, an embedded dotted quad, a zone behind %), null if it isn't one."""
+    plain = F.regexp_replace(F.lower(ip), r"%[^%]+\z", "")
+    quad = F.nullif(F.regexp_extract(plain, rf":({QUAD})\z", 1), F.lit(""))
+    tail = F.lower(F.lpad(F.hex(ipv4_number(quad)), 8, "0"))
+    hexed = F.when(quad.isNull(), plain).otherwise(F.concat(F.regexp_replace(plain, r"[0-9.]+\z", ""), F.substring(tail, 1, 4), F.lit(":"), F.substring(tail, 5, 4)))
+    groups = lambda text: F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ":", -1))
+
+    def expanded(sides: Column) -> Column:
+        left, right = groups(F.get(sides, F.lit(0))), groups(F.coalesce(F.get(sides, F.lit(1)), F.lit("")))
+        zeros = 8 - F.size(left) - F.size(right)
+        whole = ((F.size(sides) == 1) & (zeros == 0)) | ((F.size(sides) == 2) & (zeros >= 1))
+        every = F.concat(left, F.array_repeat(F.lit("0"), zeros), right)
+        return F.when(whole & F.forall(every, lambda g: g.rlike(r"\A[0-9a-f]{1,4}\z")), F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ""))
+
+    return F.when(ip.contains(":"), _let(F.split(hexed, "::", -1), expanded))
+
+
+def _within(value: Column, blocks: tuple[str, ...], bound) -> Column:
+    """Whether value lies in one of the blocks; bound(address) is its form of an address."""
+    networks = [ipaddress.ip_network(b) for b in blocks]
+    tests = [value.between(F.lit(bound(n.network_address)), F.lit(bound(n.broadcast_address))) for n in networks]
+    return functools.reduce(lambda a, b: a | b, tests)
+
+
 def is_internal(ip: Column) -> Column:
-    """In a private, loopback or link-local block (IPv4; of IPv6 the main prefixes); false for what isn't an address."""
-    v4 = ip.rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$") & ip.rlike(rf"^(?:{'|'.join(INTERNAL)})\.")
-    return F.coalesce(v4 | F.lower(ip).rlike(rf"^(?:{'|'.join(INTERNAL_V6)})"), F.lit(False))
+    """In a private, loopback or link-local block, IPv4 or IPv6 (mapped IPv4 counts as IPv4); false for what isn't an address."""
+    v4 = lambda n: _within(n, INTERNAL, int) & ~_within(n, PUBLIC, int)
+    digits = lambda a: f"{int(a):032x}"
+    mapped = lambda d: F.conv(F.substring(d, 25, 8), 16, 10).cast("long")
+    v6 = lambda d: F.when(d.startswith("0" * 20 + "ffff"), v4(mapped(d))).otherwise(_within(d, INTERNAL_V6, digits) & ~_within(d, PUBLIC_V6, digits))
+    return F.coalesce(F.when(ip.contains(":"), _let(ipv6_digits(ip), v6)).otherwise(_let(ipv4_number(ip), v4)), F.lit(False))
 
 
 def salted_token(value: Column, salt: str, prefix: str, n: int = 8) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def class_weights(rows: DataFrame, label: str, beta: float = 0.999) -> DataFrame:
@@ -70,23 +70,29 @@ def moved_prototypes(old: DataFrame, new: DataFrame, keep: float = 0.9) -> DataF
     return both.select("label", "pos", F.when(norm > 0, F.col("val") / norm).otherwise(0.0).alias("val"))
 
 
-def quota_alloc(weights: DataFrame, weight: str, total: int, floors: dict | None = None) -> DataFrame:
-    """(label, quota): floor(share * total), at least the label's floor; what is missing goes to the largest remainders,
-    what is too much is taken from the largest quotas above their floors. Ties: the smaller label. One row a label."""
-    floor = F.coalesce(*[F.when(F.col("label") == k, F.lit(int(v))) for k, v in (floors or {}).items()], F.lit(0))
+def quota_alloc(weights: DataFrame, weight: str, total: int, floors: dict | None = None, per_class: int = 0, size: str | None = None) -> DataFrame:
+    """(label, quota), by floor(share * total) and at least the class's floor; what is missing goes to the largest
+    remainders, one each and round again; what is too much is taken from the largest quota down to its floor, then from the
+    next. Ties: the smaller label. One row a label.
+
+    per_class is every class's floor if total allows that for all classes; floors has floors of single labels, of which one
+    over total lifts no quota. size names the column with a class's rows: a class without any has no share, floor or quota.
+    Null and negative weights count as 0; if all are 0, classes share alike. Floors that exceed total together stay.
+    """
     every = Window.partitionBy()
-    rows = weights.withColumn("x", F.col(weight) / F.sum(weight).over(every) * total).withColumn("low", floor)
-    rows = rows.withColumn("q", F.greatest(F.floor("x"), F.col("low")).cast("long")).withColumn("need", F.lit(total) - F.sum("q").over(every))
-    n = F.count("*").over(every)
+    own = F.coalesce(*[F.when(F.col("label") == k, F.lit(int(v))) for k, v in (floors or {}).items()], F.lit(0)).cast("long")
+    rows = weights.withColumn("there", F.coalesce(F.col(size) > 0, F.lit(False)) if size else F.lit(True)).filter("there")
+    rows = rows.withColumn("w", F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0))).withColumns({"classes": F.count("*").over(every), "all_w": F.sum("w").over(every)})
+    share = F.when(F.col("all_w") > 0, F.col("w") / F.col("all_w")).otherwise(1 / F.col("classes"))
+    common = F.when(F.col("classes") * per_class <= total, F.lit(per_class)).otherwise(0).cast("long")
+    rows = rows.withColumns({"x": share * total, "low": F.greatest(common, own), "lift": F.greatest(common, F.when(own <= total, own).otherwise(0))})
+    rows = rows.withColumn("q", F.greatest(F.floor("x"), F.col("lift")).cast("long")).withColumn("need", F.lit(total) - F.sum("q").over(every))
     rank = F.row_number().over(Window.orderBy(F.desc(F.col("x") - F.floor("x")), "label"))
-    rows = rows.withColumns({"rank": rank, "classes": n})
-    more = F.floor(F.col("need") / F.col("classes")) + (F.col("rank") <= F.col("need") % F.col("classes")).cast("long")
-    # Taking back unit by unit from the largest quota leaves the excess levelled: quotas ranked by what stands above the floor.
-    rows = rows.withColumn("unit", F.explode(F.when(F.col("need") >= 0, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("q") - F.col("low"), F.lit(0))))))
-    taken = F.row_number().over(Window.orderBy(F.desc(F.when(F.col("unit") > 0, F.col("low") + F.col("unit"))), "label"))
-    rows = rows.withColumn("gone", (F.col("unit") > 0) & (taken <= -F.col("need")))
-    by = rows.groupBy("label").agg(F.first("q").alias("q"), F.first("need").alias("need"), F.first(more).alias("more"), F.count_if("gone").alias("gone"))
-    return by.select("label", F.when(F.col("need") >= 0, F.col("q") + F.col("more")).otherwise(F.col("q") - F.col("gone")).alias("quota"))
+    more = F.floor(F.col("need") / F.col("classes")) + (rank <= F.pmod("need", "classes")).cast("long")
+    room = F.greatest(F.col("q") - F.col("low"), F.lit(0))
+    before = F.coalesce(F.sum(room).over(Window.orderBy(F.desc("q"), "label").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    gone = F.least(room, F.greatest(-F.col("need") - before, F.lit(0)))
+    return rows.select("label", F.when(F.col("need") >= 0, F.col("q") + more).otherwise(F.col("q") - gone).cast("long").alias("quota"))
 
 
 def draw(rows: DataFrame, label: str, ident: str, quotas: DataFrame, seed: int) -> DataFrame:
@@ -126,7 +132,21 @@ def predictions(scores: DataFrame, k: int = 3, benign: int = 0) -> DataFrame:
     return by.select("id", "y", F.get("all", F.lit(0))["label"].alias("pred"), F.slice(F.transform("all", lambda x: x["label"]), 1, k).alias("top"), (1 - p0).alias("anomaly"), kind.alias("anomaly_type"))
 
 
+def sample_key(ident: str, seed: int) -> Column:
+    """The hash of seed and id, by which samples are drawn."""
+    return F.md5(F.concat(F.lit(f"{seed}|"), F.col(ident).cast("string")).cast("binary"))
+
+
 def quota_sample(rows: DataFrame, label: str, ident: str, quota: int, seed: int) -> DataFrame:
-    """G17 without replacement: `quota` rows of each class, by the hash of seed and id."""
-    order = Window.partitionBy(label).orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(ident).cast("string")).cast("binary")), ident)
-    return rows.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= quota).drop("_rank")
+    """G17 without replacement: `quota` rows of each class, by the hash of seed and id.
+
+    Counts by the hash's first digits tell below which of them all rows of a class are taken, so only the rows of that
+    step and below are ranked: about the quota, whatever the class's size.
+    """
+    marked = rows.withColumn("_key", sample_key(ident, seed)).withColumn("_step", F.substring("_key", 1, 4))
+    before = Window.partitionBy(label).orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
+    steps = marked.groupBy(label, "_step").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    last = steps.filter(F.col("_before") < quota).groupBy(F.col(label).alias("_label")).agg(F.max("_step").alias("_last"))
+    near = marked.join(last, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_step") <= F.col("_last")))
+    order = Window.partitionBy(label).orderBy("_key", ident)
+    return near.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= quota).select(*rows.columns)

@@ -7,23 +7,35 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from . import ordered
 
-def slice_events(events: DataFrame, gap_ns: int) -> DataFrame:
+
+def slice_events(events: DataFrame, gap_ns: int, blocks: int | None = None) -> DataFrame:
     """events(stream, t_ns, seq, s, o) with slice_id from 0 in each stream.
 
     An event joins the open slice if it is at most gap_ns after the event before it and its subject is the slice's first
     subject or that event's object, or its object is. As every event that joins without such a link has the slice's
     subject, 'the slice's subject' is the subject of the last event without a link: windows suffice, no fold.
+    The windows run within blocks of time (`blocks`, by default as many as shuffle partitions); what comes before a block
+    is carried in from one row for each block: the last event, the last subject without a link, and the number of slices.
     """
-    order = Window.partitionBy("stream").orderBy("t_ns", "seq")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    rows = events.withColumns({"_t": F.lag("t_ns").over(order), "_o": F.lag("o").over(order)})
+    n = blocks or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = ordered.in_blocks(events, "t_ns", ordered.cuts(events, "t_ns", n), "_block")
+    order = Window.partitionBy("stream", "_block").orderBy("t_ns", "seq")
+    before, whole = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = ["stream", "_block"]
+    ends = ordered.carried(rows, *at, _e=F.max(F.struct("t_ns", "seq", "o")))
+    lag = lambda c: F.coalesce(F.lag(c).over(order), F.col("_e")[c])
+    rows = rows.join(ends, at).withColumns({"_t": lag("t_ns"), "_o": lag("o")})
     rows = rows.withColumn("_hard", F.col("_t").isNull() | (F.col("t_ns") - F.col("_t") > gap_ns))
-    rows = rows.withColumn("_link", ~F.col("_hard") & ((F.col("s") == F.col("_o")) | (F.col("o") == F.col("_o"))))
-    rows = rows.withColumn("_s", F.last(F.when(~F.col("_link"), F.col("s")), ignorenulls=True).over(before))
+    rows = rows.withColumn("_link", ~F.col("_hard") & ((F.col("s") == F.col("_o")) | (F.col("o") == F.col("_o")))).drop("_e", "_t", "_o")
+    subjects = ordered.carried(rows, *at, _c=F.max(F.when(~F.col("_link"), F.struct("t_ns", "seq", "s"))))
+    subject = F.coalesce(F.last(F.when(~F.col("_link"), F.col("s")), ignorenulls=True).over(before), F.col("_c.s"))
     start = F.col("_hard") | (~F.col("_link") & (F.col("s") != F.col("_s")))
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("slice_id", F.sum(start.cast("long")).over(whole) - 1).drop("_t", "_o", "_hard", "_link", "_s")
+    rows = rows.join(subjects, at).withColumn("_s", subject).withColumn("_start", start.cast("long"))
+    base = ordered.summed(rows, *at, F.sum("_start"), "_base")
+    rows = rows.join(base, at).withColumn("slice_id", F.col("_base") + F.sum("_start").over(whole) - 1)
+    return rows.select(*events.columns, "slice_id")
 
 
 def slice_summary(sliced: DataFrame) -> DataFrame:

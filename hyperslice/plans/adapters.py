@@ -59,6 +59,18 @@ MEMBERS = """mm AS (SELECT DISTINCT hid, token, type FROM (SELECT l_orderkey AS
     ic AS (SELECT nn.node_id, mm.hid FROM mm JOIN nn USING (token))"""
 
 
+#: One hop around each hyperedge as hypergraph.subgraphs takes it with 48 hyperedges and 48 of each node: (target, hid, depth).
+_PICK = lambda seed: f"(m{seed} * m{seed} + 12345) % 2147483647"
+_MIX = lambda seed: f"((((({seed}::BIGINT * 7919 + target % 2147483647) % 2147483647) * 7919 + node_id % 2147483647) % 2147483647) * 7919 + j) % 2147483647 * 48271 % 2147483647 AS m{seed}"
+HOP = f"""{MEMBERS}, lp AS (SELECT node_id, hid, row_number() OVER (PARTITION BY node_id ORDER BY hid) - 1 AS pos FROM ic), dg AS (SELECT node_id, count(*) AS degree FROM ic GROUP BY node_id),
+    tn AS (SELECT hid AS target, node_id, row_number() OVER (PARTITION BY hid ORDER BY node_id) AS npos FROM ic),
+    dj AS (SELECT target, node_id, npos, degree, unnest(range(least(degree, 48))) AS j FROM tn JOIN dg USING (node_id) WHERE npos <= 192),
+    dm AS (SELECT *, {_MIX(42)}, {_MIX(43)}, j * degree // 48 AS lo, (j + 1) * degree // 48 AS hi FROM dj),
+    dp AS (SELECT target, node_id, npos, j, CASE WHEN degree > 48 THEN lo + {_PICK(42)} % (hi - lo) ELSE j END AS pos, CASE WHEN degree > 48 THEN {_PICK(43)} ELSE j END AS turn FROM dm),
+    fd AS (SELECT target, hid, min((npos, turn, j)) AS at FROM dp JOIN lp USING (node_id, pos) WHERE hid <> target GROUP BY ALL),
+    sm AS (SELECT target, hid, 1 AS depth FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY at) AS r FROM fd) WHERE r < 48 UNION ALL SELECT DISTINCT hid, hid, 0 FROM ic)"""
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vec"))
 

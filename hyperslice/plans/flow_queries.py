@@ -20,8 +20,8 @@ def _sliced(spark: SparkSession, d: str) -> DataFrame:
     packets = ad.packets(spark, d)
     f = flows.biflows(packets, IDLE_S, IDLE_S)
     flat = f.select(F.col("ep_a.ip").alias("a_ip"), F.col("ep_a.port").alias("a_port"), F.col("ep_b.ip").alias("b_ip"), F.col("ep_b.port").alias("b_port"), "proto", "bucket", "session", "t_start", "t_end", "packets", "bytes", "anchor")
-    stream = lambda t: F.concat(F.lit("f"), F.floor(F.col(t) / 300)).alias("stream")
-    ordered = flowslices.emission_order(flat.select("*", stream("t_start")), packets.select(stream("timestamp"), "timestamp"), IDLE_S)
+    one = F.lit("f").alias("stream")
+    ordered = flowslices.emission_order(flat.select("*", one), packets.select(one, "timestamp"), IDLE_S)
     return flowslices.flow_slices(ordered, GAP_S)
 
 

@@ -269,11 +269,11 @@ def edge_features(spark: SparkSession, d: str) -> DataFrame:
     return hypergraph.event_features(ad.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("hid"), F.col("l_returnflag").alias("event")))
 
 
-@query(f"""WITH {ad.MEMBERS}, dg AS (SELECT node_id FROM ic GROUP BY node_id HAVING count(*) < 40), k AS (SELECT ic.* FROM ic JOIN dg USING (node_id))
-    SELECT a.hid AS target, b.hid, CASE WHEN a.hid = b.hid THEN 0 ELSE 1 END AS depth FROM k a JOIN k b USING (node_id) UNION SELECT hid, hid, 0 FROM ic""")
+@query(f"WITH {ad.HOP} SELECT target, hid, depth FROM sm")
 def khop_edges(spark: SparkSession, d: str) -> DataFrame:
+    """G5, one hop, hubs sampled for each target."""
     m = ad.members(spark, d)
-    return hypergraph.neighbourhood(hypergraph.incidence(m, hypergraph.nodes(m)), 1, 40, 1_000_000)
+    return hypergraph.subgraphs(hypergraph.incidence(m, hypergraph.nodes(m)), 1)["sub_edges"].select("target", "hid", "depth")
 
 
 @query(f"""WITH {ad.MEMBERS}, v AS (SELECT node_id, 0 AS idx, CAST(1 + node_id % 5 AS DOUBLE) AS val FROM nn), e AS (SELECT hid, avg(val) AS m FROM ic JOIN v USING (node_id) GROUP BY hid)
@@ -429,9 +429,9 @@ def khop_samples(spark: SparkSession, d: str) -> DataFrame:
     """Samples of two hops with all caps, as (target, edges, nodes, links)."""
     m = ad.members(spark, d)
     inc = hypergraph.incidence(m, hypergraph.nodes(m))
-    t = hypergraph.sample_tables(hypergraph.neighbourhood(inc, 2, 0, 48, per_node=8), inc)
+    t = hypergraph.subgraphs(inc)
     count = lambda name, out: t[name].groupBy("target").agg(F.count("*").alias(out))
-    return count("sub_edges", "edges").join(count("sub_nodes", "nodes"), "target").join(count("sub_incidence", "links"), "target")
+    return count("sub_edges", "edges").join(count("sub_nodes", "nodes"), "target", "left").join(count("sub_incidence", "links"), "target", "left")
 
 
 @query(f"""WITH {ad.SCORES}, a AS (SELECT y, anomaly >= 0.5 AS hit, y <> 0 AS real FROM pr) SELECT round(coalesce(count(*) FILTER (hit AND real) / nullif(count(*) FILTER (hit), 0), 0), 8) AS "precision",
@@ -452,3 +452,14 @@ def adjusted_scores(spark: SparkSession, d: str) -> DataFrame:
     q AS (SELECT *, 1003 - sum(floor(x)) OVER () AS need, row_number() OVER (ORDER BY x - floor(x) DESC, label) AS rank FROM x) SELECT label, CAST(floor(x) + CASE WHEN rank <= need THEN 1 ELSE 0 END AS BIGINT) AS quota FROM q""")
 def quota_alloc(spark: SparkSession, d: str) -> DataFrame:
     return scoring.quota_alloc(scoring.class_weights(ad.table(spark, d, "orders"), "o_orderpriority"), "n", 1003)
+
+
+@query("""WITH RECURSIVE n AS (SELECT o_orderpriority AS label, count(*) AS n FROM orders GROUP BY ALL), x AS (SELECT label, n / sum(n) OVER () * 1003 AS x, CASE label WHEN '5-LOW' THEN 420 WHEN '1-URGENT' THEN 150 ELSE 0 END AS low FROM n),
+    q AS (SELECT label, low, CAST(greatest(floor(x), low) AS BIGINT) AS q FROM x), o AS (SELECT *, row_number() OVER (ORDER BY q DESC, label) AS i FROM q),
+    t AS (SELECT 0::BIGINT AS i, (SELECT sum(q)::BIGINT - 1003 FROM q) AS extra, NULL::VARCHAR AS label, 0::BIGINT AS quota
+        UNION ALL SELECT o.i, t.extra - least(t.extra, o.q - o.low), o.label, o.q - least(t.extra, o.q - o.low) FROM t JOIN o ON o.i = t.i + 1)
+    SELECT label, quota FROM t WHERE i > 0""")
+def quota_take_back(spark: SparkSession, d: str) -> DataFrame:
+    """G16 where floors ask for more than there is: the largest quotas give way first."""
+    sizes = ad.table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("label")).agg(F.count("*").alias("n"))
+    return scoring.quota_alloc(sizes, "n", 1003, {"5-LOW": 420, "1-URGENT": 150}, size="n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: File schemas of the raw records.
 PACKET = "packet_id BIGINT, timestamp DOUBLE, src_ip STRING, dst_ip STRING, src_port INT, dst_port INT, protocol STRING, packet_len INT, flags STRING, sensor STRING"
@@ -105,3 +105,20 @@ def write_evidence(packs: DataFrame, path: str) -> None:
 def write_csv(df: DataFrame, path: str) -> None:
     """Predictions, confusion tables and metric rows."""
     df.write.mode("append").option("header", True).csv(path)
+
+
+def merge_read_days(rows: DataFrame, slice_id: str = "slice_id") -> DataFrame:
+    """S10 over objects.read_objects' rows: the good ones with day, day_idx and global_id, where a record without a slice id
+    has day:NA: and the number of its line among all lines of all files, taken by day and then by name.
+
+    Only the files' line counts are added up in order: one row a file.
+    """
+    name = F.lower(F.element_at(F.split("source_file", "/"), -1))
+    day = day_of(name)
+    index = F.coalesce(F.array_position(F.array(*[F.lit(d) for d in DAYS]), day).cast("int") - 1, F.lit(999))
+    ends = rows.filter("outcome = 'file'").select("source_file", day.alias("day"), index.alias("day_idx"), F.col("line").alias("_lines"), name.alias("_name"))
+    before = F.sum("_lines").over(Window.orderBy("day_idx", "_name", "source_file").rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.withColumn("_before", F.coalesce(before, F.lit(0))).select("source_file", "day", "day_idx", "_before")
+    told = rows.filter("outcome = 'good'").join(ends, "source_file")
+    number = F.coalesce(F.col(slice_id).cast("string"), F.concat(F.lit("NA:"), F.col("line") + F.col("_before")))
+    return told.withColumn("global_id", F.concat_ws(":", F.coalesce("day", F.lit("unknown")), number)).drop("_before", "record", "outcome")

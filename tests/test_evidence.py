@@ -1,10 +1,12 @@
 """Evidence sentences, host tokens, attention propagation, prototypes and the weighted head."""
 
+import hashlib
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from hyperslice.operators import evidence, models
+from hyperslice.operators import evidence, models, scoring
 from hyperslice.plans import adapters as ad, evidence_queries
 
 SF = "/root/testdata/sf0.001"
@@ -57,3 +59,29 @@ def test_evidence_queries(spark):
     for name in ("flow_evidence", "host_evidence"):
         rows = evidence_queries.QUERIES[name](spark, SF).collect()
         assert rows and all(r["evidence_sentence"].endswith("。") for r in rows)
+
+
+def test_lloyd_of_all_classes(spark):
+    """Each class's centres equal numpy's from the same start; an empty centre stays; jobs don't grow with the classes."""
+    r = np.random.default_rng(3)
+    data = {c: r.normal(c % 3, 1 + c, (r.integers(1, 60), 5)) for c in range(7)}
+    points = spark.createDataFrame([(c, row.tolist()) for c, x in data.items() for row in x], "label int, vec array<double>")
+    starts = {c: np.vstack([x[: min(3, len(x))], np.full((1, 5), 1e6)]) for c, x in data.items()}
+    start = spark.createDataFrame([(c, k, row.tolist()) for c, x in starts.items() for k, row in enumerate(x)], "label int, centre int, vec array<double>")
+    got = {(x["label"], x["centre"]): x["vec"] for x in models.lloyd(points, start, 4).collect()}
+    for c, x in data.items():
+        centres = starts[c].copy()
+        for _ in range(4):
+            near = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+            centres = np.stack([x[near == k].mean(0) if (near == k).any() else centres[k] for k in range(len(centres))])
+        assert np.allclose([got[c, k] for k in range(len(centres))], centres)
+
+
+def test_quota_sample_ranks_few(spark):
+    rows = spark.createDataFrame([(i, None if i % 7 == 0 else "a" if i % 5 else "b") for i in range(4000)], "id long, label string")
+    got = {(x["label"], x["id"]) for x in scoring.quota_sample(rows, "label", "id", 30, 9).collect()}
+    want = set()
+    for label in (None, "a", "b"):
+        own = [i for i in range(4000) if (None if i % 7 == 0 else "a" if i % 5 else "b") == label]
+        want |= {(label, i) for i in sorted(own, key=lambda i: hashlib.md5(f"9|{i}".encode()).hexdigest())[:30]}
+    assert got == want
