@@ -19,7 +19,7 @@ from .common import materialize, slices
 
 SCALE = 1_000_000_000
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-LIMIT = 200_000
+LIMIT, BITS = 1_000_000, 32
 GROUP_LIMIT = 1_000_000
 COUNTS = "lang string, source string, term string, n long, docs long"
 
@@ -30,13 +30,13 @@ def terms(text: str) -> list[bytes]:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in COUNTS.split(", ")]
-    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    held: dict[tuple[str, str], dict[bytes, int]] = {}  # occurrences << BITS | documents
 
     def emit() -> Iterator[pa.RecordBatch]:
-        for (lang, source), (n, docs) in held.items():
-            words = list(n)
+        for (lang, source), found in held.items():
+            both = found.values()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(words), pa.string()), pa.array([source] * len(words), pa.string()), pa.array(words, pa.binary()).cast(pa.string()), pa.array([n[w] for w in words], pa.int64()), pa.array([docs[w] for w in words], pa.int64())],
+                [pa.array([lang] * len(found), pa.string()), pa.array([source] * len(found), pa.string()), pa.array(list(found), pa.binary()).cast(pa.string()), pa.array([x >> BITS for x in both], pa.int64()), pa.array([x & (1 << BITS) - 1 for x in both], pa.int64())],
                 names,
             )
         held.clear()
@@ -45,15 +45,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices([batch]):
             for lang, source, text in zip(part["lang"].to_pylist(), part["source"].to_pylist(), part["text"].to_pylist()):
-                if (lang, source) not in held:
-                    held[lang, source] = (Counter(), Counter())
-                    size += 1
-                n, docs = held[lang, source]
-                own = Counter(terms(text))
-                before = len(n)
-                n.update(own)
-                docs.update(own.keys())
-                size += len(n) - before
+                found = held.setdefault((lang, source), {})
+                before = len(found)
+                get = found.get
+                for word, n in Counter(terms(text)).items():
+                    found[word] = get(word, 0) + (n << BITS) + 1
+                size += len(found) - before + (not before)
                 if size >= LIMIT:
                     yield from emit()
                     size = 0
@@ -128,19 +125,26 @@ def _pairs(shares: DataFrame, floors: DataFrame) -> DataFrame:
         f = lambda p, q: (p - q) ** 2 // q
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in slices([batch]):
-                for lang, held in zip(part["lang"].to_pylist(), part["held"].to_pylist()):
+            for part in slices([batch], 2048):
+                langs = np.array(part["lang"].to_pylist(), object)
+                for lang in dict.fromkeys(langs):
                     names, p0 = known[lang]
-                    if lang not in sums:
-                        sums[lang] = np.zeros((len(p0), len(p0)), np.int64)
-                    at = np.array([names[h["source"]] for h in held])
-                    every = p0.copy()
-                    every[at] = [h["p"] for h in held]
-                    rest = np.ones(len(p0), bool)
-                    rest[at] = False
-                    sums[lang][at] += f(every[at, None], every) - f(p0[at, None], p0)
-                    rest = np.flatnonzero(rest)
-                    sums[lang][np.ix_(rest, at)] += f(p0[rest, None], every[at]) - f(p0[rest, None], p0[at])
+                    table = sums.setdefault(lang, np.zeros((len(p0), len(p0)), np.int64))
+                    held = part["held"].filter(pa.array(langs == lang))
+                    row = np.repeat(np.arange(len(held)), np.diff(held.offsets.to_numpy()))
+                    source = held.flatten().field("source").dictionary_encode()
+                    at = np.array([names[x] for x in source.dictionary.to_pylist()], np.int64)[source.indices.to_numpy()]
+                    p = held.flatten().field("p").to_numpy()
+                    every = np.tile(p0, (len(held), 1))
+                    every[row, at] = p
+                    for s in range(len(p0)):
+                        own = at == s
+                        mine = row[own]
+                        table[s] += f(p[own, None], every[mine]).sum(axis=0) - len(mine) * f(p0[s], p0)
+                        has = np.zeros(len(held), bool)
+                        has[mine] = True
+                        lack = ~has[row]
+                        np.add.at(table[s], at[lack], f(p0[s], p[lack]) - f(p0[s], p0[at[lack]]))
         for lang, table in sums.items():
             names = list(known[lang][0])
             for i, name in enumerate(names):
