@@ -14,4 +14,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return plans.SQL | evidence_queries.SQL
+    return plans.SQL | flow_queries.SQL | evidence_queries.SQL

@@ -67,8 +67,8 @@ HOP = f"""{MEMBERS}, lp AS (SELECT node_id, hid, row_number() OVER (PARTITION BY
     dj AS (SELECT target, node_id, npos, degree, unnest(range(least(degree, 48))) AS j FROM tn JOIN dg USING (node_id) WHERE npos <= 192),
     dm AS (SELECT *, {_MIX(42)}, {_MIX(43)}, j * degree // 48 AS lo, (j + 1) * degree // 48 AS hi FROM dj),
     dp AS (SELECT target, node_id, npos, j, CASE WHEN degree > 48 THEN lo + {_PICK(42)} % (hi - lo) ELSE j END AS pos, CASE WHEN degree > 48 THEN {_PICK(43)} ELSE j END AS turn FROM dm),
-    fd AS (SELECT target, hid, min((npos, turn, j)) AS at FROM dp JOIN lp USING (node_id, pos) WHERE hid <> target GROUP BY ALL),
-    sm AS (SELECT target, hid, 1 AS depth FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY at) AS r FROM fd) WHERE r < 48 UNION ALL SELECT DISTINCT hid, hid, 0 FROM ic)"""
+    fd AS (SELECT target, hid, min((npos, turn, j)) AS first FROM dp JOIN lp USING (node_id, pos) WHERE hid <> target GROUP BY ALL),
+    sm AS (SELECT target, hid, 1 AS depth FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY first) AS r FROM fd) WHERE r < 48 UNION ALL SELECT DISTINCT hid, hid, 0 FROM ic)"""
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import flows, flowslices, semantics
-from . import adapters as ad
+from . import adapters as ad, queries
 
 QUERIES: dict = {}
+SQL: dict[str, str] = {}
 GAP_S, IDLE_S, SALT = 3.0, 1.0, "salt"
 
 
@@ -25,6 +26,15 @@ def _sliced(spark: SparkSession, d: str) -> DataFrame:
     return flowslices.flow_slices(ordered, GAP_S)
 
 
+#: One row of state a step: fo are the flows in the order of emission, fs the slice that is open after each.
+SQL["flow_slices"] = f"""WITH RECURSIVE {queries.FLOWS}, px AS (SELECT DISTINCT timestamp AS t FROM pk), fx AS (SELECT fl.*, px.t AS expiry FROM fl ASOF LEFT JOIN px ON px.t > fl.t_end + {IDLE_S}),
+    fo AS (SELECT *, a_ip LIKE '10.%' AND b_ip LIKE '10.%' AS inr, row_number() OVER (ORDER BY expiry NULLS LAST, t_start, a_ip, a_port, b_ip, b_port, proto, bucket, session) AS e FROM fx WHERE anchor IS NOT NULL),
+    fs AS (SELECT 0::BIGINT AS e, NULL::DOUBLE AS last, NULL::VARCHAR AS own, NULL::VARCHAR AS oth, -1::BIGINT AS slice_id
+        UNION ALL SELECT e, t_start, own2, CASE WHEN inr THEN CASE WHEN b_ip = own2 THEN a_ip ELSE b_ip END WHEN joins THEN oth END, slice_id + CASE WHEN joins THEN 0 ELSE 1 END
+        FROM (SELECT *, CASE WHEN joins THEN own ELSE anchor END AS own2 FROM (SELECT fo.e, fo.t_start, fo.anchor, fo.a_ip, fo.b_ip, fo.inr, fs.own, fs.oth, fs.slice_id, coalesce(fo.t_start - fs.last <= {GAP_S} AND (fo.anchor = fs.own OR fo.anchor = fs.oth), FALSE) AS joins FROM fs JOIN fo ON fo.e = fs.e + 1)))
+    SELECT 'f' AS stream, fs.slice_id, any_value(fs.own) AS slice_anchor, round(min(fo.t_start), 4) AS t_start, round(max(fo.t_end), 4) AS t_end, count(*) AS flows_count FROM fs JOIN fo USING (e) GROUP BY fs.slice_id"""
+
+
 @query
 def flow_slices(spark: SparkSession, d: str) -> DataFrame:
     rows = _sliced(spark, d).groupBy("stream", "slice_id", "slice_anchor")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import rules
-from ..operators import flows, hypergraph, metrics, normal, scoring, slicing, splits
+from ..operators import flows, hypergraph, metrics, normal, ordered, packs, scoring, slicing, splits
 from ..sources import files
 from . import adapters as ad
 
@@ -98,9 +98,14 @@ def entity_tokens(spark: SparkSession, d: str) -> DataFrame:
     return ad.table(spark, d, "customer").select("c_custkey", rules.salted_token(F.col("c_name"), "salt", "H_").alias("salted"), F.substring("c_name", 1, 8).alias("raw"))
 
 
-@query()
+#: The key and its two pads, as hexadecimal digits.
+_KEY = b"key"
+_PADS = [bytes(b ^ pad for b in _KEY.ljust(64, b"\0")).hex() for pad in (0x36, 0x5C)]
+
+
+@query(f"SELECT c_custkey, sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') || encode(c_name))))[1:8] AS token FROM customer")
 def keyed_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return ad.table(spark, d, "customer").select("c_custkey", rules.keyed_token(F.col("c_name"), b"key").alias("token"))
+    return ad.table(spark, d, "customer").select("c_custkey", rules.keyed_token(F.col("c_name"), _KEY).alias("token"))
 
 
 FLOWS = f"""{ad.PACKETS}, pa AS (SELECT *, floor(timestamp) AS bucket,
@@ -370,31 +375,60 @@ def hashed_bags(spark: SparkSession, d: str) -> DataFrame:
     return hypergraph.token_features(docs).withColumnRenamed("node_id", "doc_id")
 
 
-PACKS = f"""{SLICED}, r AS (SELECT stream, slice_id, t_ns, seq, etype, o, CASE WHEN lag(etype) OVER w IS DISTINCT FROM etype THEN 1 ELSE 0 END AS new FROM sl WINDOW w AS (PARTITION BY stream, slice_id ORDER BY t_ns, seq)),
+#: File names by an object's last digit, from which the technique rules tell techniques.
+_FILES = ("firefox", "drakon", "bash", "ping", "cmd.exe", "powershell", "notes", "mimikatz", "ls", "sysinfo")
+_TTPS = ("T1189", "T1055", "", "T1016", "T1059.003", "T1059.001", "", "T1003", "", "T1082")
+#: Seeds of the labels of event slices.
+_SEEDS = {"Access": ("EVENT_SIGNUP", "TTP_T1189", "TTP_T1003"), "Discovery": ("EVENT_VIEW", "TTP_T1016", "TTP_T1082"), "Execution": ("EVENT_CLICK", "TTP_T1055", "TTP_T1059.001", "TTP_T1059.003"), "Impact": ("EVENT_ERROR", "EVENT_PURCHASE")}
+_SEED_ROWS = ", ".join(f"('{w}', '{label}', {i}, {len(s)})" for i, (label, s) in enumerate(_SEEDS.items()) for w in s)
+_TTP_LIST = ", ".join(f"'{t}'" for t in _TTPS)
+PACKS = f"""{SLICED}, st AS (SELECT *, ([{_TTP_LIST}])[CAST(o[2:] AS INTEGER) + 1] AS ttp FROM sl),
+    r AS (SELECT stream, slice_id, t_ns, seq, etype, o, ttp, CASE WHEN lag(etype) OVER w IS DISTINCT FROM etype THEN 1 ELSE 0 END AS new FROM st WINDOW w AS (PARTITION BY stream, slice_id ORDER BY t_ns, seq)),
     m AS (SELECT *, sum(new) OVER (PARTITION BY stream, slice_id ORDER BY t_ns, seq) AS run FROM r),
-    he AS (SELECT stream, slice_id, min(t_ns) AS t_start, count(*) AS total_count, count(DISTINCT o) AS num_entities, count(DISTINCT etype) AS num_events, count(DISTINCT run) AS motifs FROM m GROUP BY ALL),
-    hn AS (SELECT *, row_number() OVER (ORDER BY t_start, stream, slice_id) - 1 AS hid, dense_rank() OVER (ORDER BY stream) - 1 AS y FROM he),
+    tw AS (SELECT stream, slice_id, word, count(*)::DOUBLE AS n FROM (SELECT stream, slice_id, etype AS word FROM st UNION ALL SELECT stream, slice_id, 'TTP_' || ttp FROM st WHERE ttp <> '') GROUP BY ALL),
+    tn AS (SELECT stream, slice_id, sqrt(sum(n * n)) AS norm FROM tw GROUP BY ALL), sd AS (SELECT * FROM (VALUES {_SEED_ROWS}) AS v(word, label, place, size)),
+    ls AS (SELECT stream, slice_id, label, place, coalesce(sum(n), 0) / any_value(norm) / sqrt(any_value(size)) AS sim FROM (SELECT tn.*, sd.*, tw.n FROM tn JOIN sd ON TRUE LEFT JOIN tw ON tw.stream = tn.stream AND tw.slice_id = tn.slice_id AND tw.word = sd.word) GROUP BY ALL),
+    lb AS (SELECT stream, slice_id, first(label ORDER BY round(sim, 12) DESC, place) AS label, round(max(sim), 6) AS score FROM ls GROUP BY ALL),
+    he AS (SELECT stream, slice_id, min(t_ns) AS t_start, count(*) AS total_count, count(DISTINCT o) AS num_entities, count(DISTINCT etype) AS num_events, coalesce(first(ttp ORDER BY t_ns, seq) FILTER (ttp <> ''), '') AS ttp FROM m GROUP BY ALL),
+    hn AS (SELECT he.*, lb.label, lb.score, row_number() OVER (ORDER BY t_start, stream, slice_id) - 1 AS hid, dense_rank() OVER (ORDER BY lb.label) - 1 AS y FROM he JOIN lb USING (stream, slice_id)),
+    ev2 AS (SELECT hid, etype, count(*)::DOUBLE AS n FROM m JOIN hn USING (stream, slice_id) GROUP BY ALL),
+    tq AS (SELECT hid, m.ttp, count(DISTINCT run)::DOUBLE AS n FROM m JOIN hn USING (stream, slice_id) WHERE m.ttp <> '' GROUP BY ALL),
     pm AS (SELECT DISTINCT hid, token, type FROM (SELECT hid, o AS token, 'entity' AS type FROM m JOIN hn USING (stream, slice_id) UNION ALL SELECT hid, 'EVT:' || etype, 'event' FROM m JOIN hn USING (stream, slice_id))),
     pf AS (SELECT token, min(hid * 2 + CASE WHEN type = 'entity' THEN 0 ELSE 1 END) AS f FROM pm GROUP BY token),
     pn AS (SELECT row_number() OVER (ORDER BY f, token) - 1 AS node_id, token, CASE WHEN f % 2 = 0 THEN 'entity' ELSE 'event' END AS type FROM pf),
     pi AS (SELECT pn.node_id, pm.hid FROM pm JOIN pn USING (token))"""
 
 
+def _event_packs(spark: SparkSession, d: str) -> DataFrame:
+    name = F.get(F.array(*[F.lit(f"/bin/{x}") for x in _FILES]), F.substring("o", 2, 9).cast("int"))
+    sliced = slicing.slice_events(ad.events(spark, d), ad.GAP_NS).withColumn("ttp", rules.technique(name))
+    return packs.event_packs(sliced, _SEEDS)
+
+
 def _packs(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    """The event slices as packs (motifs are runs of equal events, the label is the stream), and their hypergraph."""
-    sliced = slicing.slice_events(ad.events(spark, d), ad.GAP_NS)
-    key = F.struct("stream", "slice_id")
-    steps = sliced.select(key.alias("key"), F.struct("t_ns", "seq").alias("pos"), F.col("etype").alias("name"), F.col("o").alias("entity"), F.lit("").alias("ttp"))
-    motif = F.struct("run", F.col("name").alias("event_type"), F.col("n").alias("count"), "entities", "techniques")
-    packs = slicing.run_motifs(steps).groupBy("key").agg(F.array_sort(F.collect_list(motif)).alias("motifs"))
-    times = sliced.groupBy(key.alias("key")).agg(F.min("t_ns").alias("t_start"))
-    packs = packs.join(times, "key").select("key.*", "motifs", "t_start", F.col("key.stream").alias("semantic_label"), F.lit(0.5).alias("semantic_score"))
-    return hypergraph.from_packs(packs, F.floor(F.col("t_start") / 10**13), ["t_start", "stream", "slice_id"])
+    """The event slices as packs, and their hypergraph."""
+    return hypergraph.from_packs(_event_packs(spark, d), F.floor(F.col("t_start") / 10**13), ["t_start", "stream", "slice_id"])
+
 
+def _listed(pairs: Column) -> Column:
+    """A map of numbers as k=v text in order of keys."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(pairs)), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("long").cast("string"))), ",")
 
-@query(f"WITH {PACKS} SELECT hid, y, total_count, num_entities, num_events FROM hn")
+
+@query(f"""WITH {PACKS} SELECT stream, slice_id, t_start, hn.label AS semantic_label, hn.score AS semantic_score, hn.ttp, (SELECT string_agg(x, ';' ORDER BY run) FROM
+    (SELECT run, any_value(etype) || '*' || count(*) || ':' || string_agg(o, '>' ORDER BY t_ns, seq) || ':' || coalesce(string_agg(DISTINCT nullif(m.ttp, ''), '+' ORDER BY nullif(m.ttp, '')), '') AS x FROM m WHERE m.stream = hn.stream AND m.slice_id = hn.slice_id GROUP BY run)) AS motifs FROM hn""")
+def event_packs(spark: SparkSession, d: str) -> DataFrame:
+    """Event slices as packs, motifs written as event*count:entities:techniques."""
+    text = F.transform("motifs", lambda m: F.concat(m["event_type"], F.lit("*"), m["count"].cast("string"), F.lit(":"), F.array_join(m["entities"], ">"), F.lit(":"), F.array_join(m["techniques"], "+")))
+    return _event_packs(spark, d).withColumn("motifs", F.array_join(text, ";"))
+
+
+@query(f"""WITH {PACKS} SELECT hid, y, label AS semantic_label, total_count, num_entities, num_events, score AS attr_score, total_count::DOUBLE AS attr_count, num_entities::DOUBLE AS attr_entities,
+    (SELECT string_agg(etype || '=' || n::BIGINT, ',' ORDER BY etype) FROM ev2 WHERE ev2.hid = hn.hid) AS event_types, coalesce((SELECT string_agg(ttp || '=' || n::BIGINT, ',' ORDER BY ttp) FROM tq WHERE tq.hid = hn.hid), '') AS techniques FROM hn""")
 def pack_hyperedges(spark: SparkSession, d: str) -> DataFrame:
-    return _packs(spark, d)["hyperedges"].select("hid", "y", "total_count", "num_entities", "num_events")
+    e = _packs(spark, d)["hyperedges"]
+    at = lambda i, name: F.get("edge_attr", F.lit(i)).alias(name)
+    return e.select("hid", "y", "semantic_label", "total_count", "num_entities", "num_events", at(0, "attr_score"), at(1, "attr_count"), at(2, "attr_entities"), _listed(F.col("event_types")).alias("event_types"), _listed(F.col("techniques")).alias("techniques"))
 
 
 @query(f"WITH {PACKS} SELECT hid, node_id, token, type FROM pi JOIN pn USING (node_id)")
@@ -404,24 +438,30 @@ def pack_incidence(spark: SparkSession, d: str) -> DataFrame:
     return t["incidence"].join(t["nodes"], "node_id").select("hid", "node_id", "token", "type")
 
 
-@query(f"""WITH {PACKS}, dg AS (SELECT node_id, count(*) AS n FROM pi GROUP BY node_id) SELECT node_id, CAST(69 AS INTEGER) AS dims, round(ln(1 + n), 6) AS log_degree, round(n / (SELECT count(DISTINCT hid) FROM pi), 8) AS share,
-    CASE WHEN type = 'event' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS is_event, CAST(len(list_filter(regexp_split_to_array(lower(token), '[^\\p{{L}}\\p{{N}}._:-]+'), lambda x: x <> '')) AS DOUBLE) AS words FROM pn JOIN dg USING (node_id)""")
+def _filled(vectors: DataFrame, key: str) -> DataFrame:
+    """(key, pos, val) of the numbers that aren't 0."""
+    return vectors.select(key, F.posexplode("vec").alias("pos", "val")).filter("val <> 0").withColumn("val", F.round("val", 6))
+
+
+_SLOT = "CAST(('0x' || md5({0})[1:8])::UBIGINT % {1} AS INTEGER)"
+
+
+@query(f"""WITH {PACKS}, dg AS (SELECT node_id, count(*) AS n FROM pi GROUP BY node_id), wd AS (SELECT node_id, unnest(list_filter(regexp_split_to_array(lower(token), '[^\\p{{L}}\\p{{N}}._:-]+'), lambda x: x <> '')) AS w FROM pn),
+    al AS (SELECT node_id, CASE WHEN type = 'event' THEN 1 ELSE 0 END AS pos, 1.0::DOUBLE AS val FROM pn UNION ALL SELECT node_id, 2, ln(1 + n) FROM dg UNION ALL SELECT node_id, 3, n / (SELECT count(*) FROM hn) FROM dg UNION ALL SELECT node_id, 4, 1.0 FROM dg
+        UNION ALL SELECT node_id, 5 + {_SLOT.format('w', 64)}, count(*)::DOUBLE FROM wd GROUP BY ALL) SELECT node_id, CAST(pos AS INTEGER) AS pos, round(val, 6) AS val FROM al""")
 def node_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """G3's whole vectors, told by their length, head and sum."""
+    """G3's whole vectors, by position."""
     t = _packs(spark, d)
-    v = hypergraph.node_vectors(t["nodes"], t["incidence"])
-    words = F.aggregate(F.slice("vec", 6, 64), F.lit(0.0), lambda a, x: a + x)
-    return v.select("node_id", F.size("vec").alias("dims"), F.round(F.get("vec", F.lit(2)), 6).alias("log_degree"), F.round(F.get("vec", F.lit(3)), 8).alias("share"), F.get("vec", F.lit(1)).alias("is_event"), words.alias("words"))
+    return _filled(hypergraph.node_vectors(t["nodes"], t["incidence"], total=t["hyperedges"].count()), "node_id")
 
 
-@query(f"""WITH {PACKS} SELECT hid, CAST(260 AS INTEGER) AS dims, 0.5::DOUBLE AS score, CAST(num_entities + num_events AS DOUBLE) AS members, CAST(num_events AS DOUBLE) AS event_types, CAST(total_count AS DOUBLE) AS events FROM hn""")
+@query(f"""WITH {PACKS}, al AS (SELECT hid, 0 AS pos, score AS val FROM hn UNION ALL SELECT hid, 1, (num_entities + num_events)::DOUBLE FROM hn UNION ALL SELECT hid, 2, num_events::DOUBLE FROM hn UNION ALL SELECT hid, 3, count(*)::DOUBLE FROM tq GROUP BY hid
+        UNION ALL SELECT hid, 4 + {_SLOT.format('etype', 128)}, sum(n) FROM ev2 GROUP BY ALL UNION ALL SELECT hid, 132 + {_SLOT.format('ttp', 128)}, sum(n) FROM tq GROUP BY ALL)
+    SELECT hid, CAST(pos AS INTEGER) AS pos, round(val, 6) AS val FROM al WHERE val <> 0""")
 def edge_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """G4's whole vectors, told by their length, head and sum."""
+    """G4's whole vectors, by position."""
     t = _packs(spark, d)
-    v = hypergraph.edge_vectors(t["hyperedges"], t["incidence"])
-    at = lambda i: F.get("vec", F.lit(i))
-    events = F.aggregate(F.slice("vec", 5, 128), F.lit(0.0), lambda a, x: a + x)
-    return v.select("hid", F.size("vec").alias("dims"), at(0).alias("score"), at(1).alias("members"), at(2).alias("event_types"), events.alias("events"))
+    return _filled(hypergraph.edge_vectors(ordered.written(t["hyperedges"]), t["incidence"]), "hid")
 
 
 @query()
