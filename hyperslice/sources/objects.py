@@ -197,6 +197,8 @@ def objects(path: str, start: int, stop: int | None, state: State = OUTSIDE, lin
             return
     if record is not None and own:
         yield (*began, None, "cut")
+    if stop is not None:
+        return
     if told.get("truncated"):
         yield (line, at, None, "truncated")
     yield (line - (last == b"\n"), at, None, "file")
@@ -206,7 +208,8 @@ def read_objects(spark: SparkSession, path: str | list[str], schema: str, patter
     """S4, S5, S9 over files below path: the schema's columns, source_file, line, offset, record (bad objects only) and outcome.
 
     A row for every object (good, bad, cut), for every archive that ends early (truncated), and for every file (file, with its
-    number of lines in `line`). Files that end in .gz are archives. Files without objects have the last row only.
+    number of lines in `line`). Files that end in .gz are archives. Files without objects have the last row only;
+    files without bytes aren't listed by Spark and have none.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "length")
     archive = F.col("path").endswith(".gz") | (F.col("length") == 0)

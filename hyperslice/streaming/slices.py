@@ -50,8 +50,8 @@ def flow_joins(gap_us: int) -> Callable:
 class Slicer(StatefulProcessor):
     """Rows of one stream, buffered up to the watermark and folded in the order of (at_us, order)."""
 
-    def __init__(self, step: Callable, order: list[str], fields: list[str], time: str, idle_ms: int, rows: StructType, out: list[str]):
-        self.step, self.order, self.fields, self.time, self.idle, self.schema, self.out = step, order, fields, time, idle_ms, rows, out
+    def __init__(self, step: Callable, order: list[str], fields: list[str], time: str, idle_ms: int, rows: StructType, out: list[str], chained: bool):
+        self.step, self.order, self.fields, self.time, self.idle, self.schema, self.out, self.chained = step, order, fields, time, idle_ms, rows, out, chained
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -64,6 +64,8 @@ class Slicer(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
+        if self.chained:  # what an operator before this one hands over at a watermark isn't behind it; what was folded is
+            mark = self.open.get()[5] - 1 if self.open.exists() else -1
         late, kept = [], []
         for frame in rows:
             for row in frame[self.schema.names].astype(object).where(frame.notna(), None).itertuples(index=False, name=None):
@@ -105,14 +107,15 @@ class Slicer(StatefulProcessor):
         yield from self._frame(out)
 
 
-def _slices(rows: DataFrame, at_us, step: Callable, order: list[str], fields: list[str], time: str, late: str, idle_s: float) -> DataFrame:
+def _slices(rows: DataFrame, at_us, step: Callable, order: list[str], fields: list[str], time: str, late: str | None, idle_s: float) -> DataFrame:
     columns = [c for c in rows.columns if c != "stream"]
-    marked = rows.withColumn("_event_time", F.timestamp_micros(at_us)).withWatermark("_event_time", late)
+    marked = rows.withColumn("_event_time", F.timestamp_micros(at_us))
+    marked = marked if late is None else marked.withWatermark("_event_time", late)
     # The operator itself tells late rows; a column with the watermark's mark would be filtered before it.
     own = marked.select("stream", F.unix_micros("_event_time").alias("at_us", metadata={}), *columns)
     schema = StructType([f for f in own.schema.fields if f.name != "stream"])
     out = StructType([own.schema["stream"], *schema.fields]).add("run", "long").add("slice_id", "long").add("late", "boolean")
-    processor = Slicer(step, order, fields, time, int(idle_s * 1000), schema, out.names)
+    processor = Slicer(step, order, fields, time, int(idle_s * 1000), schema, out.names, late is None)
     return own.groupBy("stream").transformWithStateInPandas(statefulProcessor=processor, outputStructType=out, outputMode="Append", timeMode="EventTime")
 
 
@@ -127,10 +130,12 @@ def stream_event_slices(events: DataFrame, gap_ns: int, late: str = "10 seconds"
     return _slices(events, F.floor(F.col("t_ns") / 1000).cast("long"), event_joins(gap_ns), ["t_ns", "seq"], ["s", "o"], "t_ns", late, idle_s)
 
 
-def stream_flow_slices(flows: DataFrame, gap_s: float, late: str = "10 seconds", idle_s: float = 3600.0) -> DataFrame:
+def stream_flow_slices(flows: DataFrame, gap_s: float, late: str | None = "10 seconds", idle_s: float = 3600.0) -> DataFrame:
     """flows(stream, emitted_us, start_us, a_ip, a_port, b_ip, b_port, proto, anchor, inner, ...) as a stream -> each with
     run, slice_id and late. Flows go by emitted_us (the time at which they were complete, as stream_biflows' window ends),
     then start and endpoints; within a run slices are flowslices.flow_slices' of that order. Flows without anchor are left out.
+
+    late=None takes the watermark that flows have already: behind stream_biflows, its own.
     """
     if idle_s <= gap_s:
         raise ValueError("idle_s must be longer than the gap")

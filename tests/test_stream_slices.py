@@ -2,7 +2,6 @@
 
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from hyperslice.functions import rules
@@ -34,7 +33,6 @@ def numbered(rows, key):
     return sorted(map(sorted, found.values()))
 
 
-@pytest.mark.slow
 def test_event_slices_of_shuffled_batches(spark, tmp_path):
     r = random.Random(4)
     second = 10**9
@@ -55,7 +53,6 @@ def test_event_slices_of_shuffled_batches(spark, tmp_path):
     assert sum(n for n, _ in counts.values()) == 200 and sum(n for _, n in counts.values()) == 2
 
 
-@pytest.mark.slow
 def test_flow_slices_from_packets(spark, tmp_path):
     """X1 into X3: packets as a stream to flows of windows, and those to slices, equal to the batch operator on the same flows."""
     r = random.Random(6)
@@ -78,7 +75,7 @@ def test_flow_slices_from_packets(spark, tmp_path):
             "proto", F.when(ia, a).when(ib, b).alias("anchor"), (ia & ib).alias("inner"), "packets",
         )
 
-    make = lambda s: slices.stream_flow_slices(flows_of(streams.stream_biflows(s.withColumn("ts", F.timestamp_seconds("at")), late="12 seconds")), 3.0, "0 seconds", 60.0)
+    make = lambda s: slices.stream_flow_slices(flows_of(streams.stream_biflows(s.withColumn("ts", F.timestamp_seconds("at")), late="12 seconds")), 3.0, None, 60.0)
     got, _ = run(spark, tmp_path, batches, schema, make, "flow_slices")
     key = ["start_us", "a_ip", "b_ip"]
     told = {tuple(x[c] for c in key): (x["run"], x["slice_id"]) for x in got if x["start_us"] < (base + 5000) * 10**6}
