@@ -16,14 +16,22 @@ def normal_packets(packets: DataFrame) -> DataFrame:
     return rows.withColumn("anchor", F.when(ia, F.col("ep_a.ip")).when(ib, F.col("ep_b.ip")))
 
 
-def biflows(packets: DataFrame, bucket_s: float = 1.0, idle_s: float = 1.0) -> DataFrame:
-    """A1: packets of one endpoint pair, protocol and time bucket; a silence over idle_s starts a new flow."""
+FLOW = ["ep_a", "ep_b", "proto", "bucket", "session"]
+
+
+def sessions(packets: DataFrame, bucket_s: float = 1.0, idle_s: float = 1.0) -> DataFrame:
+    """Normal packets with `bucket` and `session`: within an endpoint pair, protocol and time bucket a silence over idle_s starts
+    a new flow."""
     rows = normal_packets(packets).withColumn("bucket", F.floor(F.col("timestamp") / bucket_s))
-    key = ["ep_a", "ep_b", "proto", "bucket"]
-    order = Window.partitionBy(*key).orderBy("timestamp", "packet_id")
+    order = Window.partitionBy(*FLOW[:-1]).orderBy("timestamp", "packet_id")
     gap = F.coalesce((F.col("timestamp") - F.lag("timestamp").over(order) > idle_s).cast("int"), F.lit(0))
-    rows = rows.withColumn("_gap", gap).withColumn("session", F.sum("_gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(*key, "session").agg(F.min("timestamp").alias("t_start"), F.max("timestamp").alias("t_end"), F.count("*").alias("packets"), F.sum("bytes").alias("bytes"), F.first("anchor").alias("anchor"))
+    return rows.withColumn("_gap", gap).withColumn("session", F.sum("_gap").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_gap")
+
+
+def biflows(packets: DataFrame, bucket_s: float = 1.0, idle_s: float = 1.0) -> DataFrame:
+    """A1: packets of one endpoint pair, protocol and time bucket; a silence over idle_s starts a new flow."""
+    rows = sessions(packets, bucket_s, idle_s)
+    return rows.groupBy(*FLOW).agg(F.min("timestamp").alias("t_start"), F.max("timestamp").alias("t_end"), F.count("*").alias("packets"), F.sum("bytes").alias("bytes"), F.first("anchor").alias("anchor"))
 
 
 #: Ports of lateral movement, of discovery, and of command and control; and the bounds of the tactic rules.
@@ -57,11 +65,11 @@ def tactics(flows: DataFrame, bounds: dict[str, float] | None = None) -> DataFra
     return by.withColumn("tactic", F.when(F.size(tags) > 0, F.array_join(tags, "|")).otherwise("TA0000:Benign"))
 
 
-def histogram(packets: DataFrame, column: str, bucket_s: float = 1.0) -> DataFrame:
-    """(ep_a, ep_b, proto, bucket, counts, top): how often each value of a column occurs among a flow's packets,
-    and the most frequent one, the first seen on ties. Null values don't count."""
-    key = ["ep_a", "ep_b", "proto", "bucket"]
-    rows = normal_packets(packets).withColumn("bucket", F.floor(F.col("timestamp") / bucket_s)).filter(F.col(column).isNotNull())
-    by = rows.groupBy(*key, F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n"), F.min(F.struct("timestamp", "packet_id")).alias("first"))
+def histogram(packets: DataFrame, column: str, bucket_s: float = 1.0, idle_s: float = 1.0, missing: str | None = None) -> DataFrame:
+    """(FLOW, counts, top): how often each value of a column occurs among a flow's packets, and the most frequent
+    one, the first seen on ties. Null and empty values count as `missing`, without it they don't count."""
+    value = F.coalesce(F.nullif(F.col(column).cast("string"), F.lit("")), F.lit(missing))
+    rows = sessions(packets, bucket_s, idle_s).withColumn("value", value).filter("value is not null")
+    by = rows.groupBy(*FLOW, "value").agg(F.count("*").alias("n"), F.min(F.struct("timestamp", "packet_id")).alias("first"))
     top = F.min_by("value", F.struct((-F.col("n")).alias("n"), "first"))
-    return by.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "n")))).alias("counts"), top.alias("top"))
+    return by.groupBy(*FLOW).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "n")))).alias("counts"), top.alias("top"))

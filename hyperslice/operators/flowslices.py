@@ -227,7 +227,7 @@ def flow_slices(flows: DataFrame, gap_s: float) -> DataFrame:
     return both.mapInPandas(_resolved(gap_s), schema).drop("inner", "block", *state)
 
 
-STEP = "stream string, slice_id long, step long, etype string, entity string, src_host string, peer_ip string, peer_port int, proto string, at double, packets long, bytes long"
+STEP = "stream string, slice_id long, step long, etype string, entity string, src_host string, peer_ip string, peer_port int, proto string, at double, packets long, bytes long, flag string"
 
 
 def _walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -239,16 +239,16 @@ def _walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frame.itertuples(index=False):
             if (f.stream, f.slice_id) != key:
                 key, host, step, seen = (f.stream, f.slice_id), f.slice_anchor, 1, {f.slice_anchor}
-                out.append((*key, 1, "HOST", host, None, None, None, None, f.t_start, None, None))
+                out.append((*key, 1, "HOST", host, None, None, None, None, f.t_start, None, None, None))
             if host not in (f.a_ip, f.b_ip):
                 continue
             peer, port = (f.b_ip, f.b_port) if f.a_ip == host else (f.a_ip, f.a_port)
             step += 1
-            out.append((*key, step, "FLOW", f"{peer}:{port}/{f.proto}", host, peer, port, f.proto, f.t_start, f.packets, f.bytes))
+            out.append((*key, step, "FLOW", f"{peer}:{port}/{f.proto}", host, peer, port, f.proto, f.t_start, f.packets, f.bytes, f.flag))
             if (f.a_inner if peer == f.a_ip else f.b_inner) and peer not in seen:
                 host, step = peer, step + 1
                 seen.add(peer)
-                out.append((*key, step, "HOST", host, None, None, None, None, f.t_start, None, None))
+                out.append((*key, step, "HOST", host, None, None, None, None, f.t_start, None, None, None))
         yield pd.DataFrame(out, columns=names, dtype=object)
 
 
@@ -256,20 +256,26 @@ def flow_chains(sliced: DataFrame) -> DataFrame:
     """The steps of every slice's chain, one row each: its anchor, then every flow of the host where the walk stands,
     in order of start; it moves to a flow's other end if that is internal and new. Rows are walked as they come, sorted.
     """
-    rows = sliced.select("stream", "slice_id", "slice_anchor", "emitted", *FLOW_KEY, "packets", "bytes")
+    rows = sliced.select("stream", "slice_id", "slice_anchor", "emitted", *FLOW_KEY, "packets", "bytes", F.col("flag") if "flag" in sliced.columns else F.lit(None).cast("string").alias("flag"))
     rows = rows.withColumns({"a_inner": rules.is_internal(F.col("a_ip")), "b_inner": rules.is_internal(F.col("b_ip"))})
     return rows.repartition("stream", "slice_id").sortWithinPartitions("stream", "slice_id", "t_start", "emitted").mapInPandas(_walk, STEP)
 
 
-def flow_tokens(steps: DataFrame, salt: str) -> DataFrame:
-    """C5 over a chain's steps: (stream, slice_id, step, tokens)."""
+def flow_tokens(steps: DataFrame, salt: str, tactics: DataFrame | None = None) -> DataFrame:
+    """C5 over a chain's steps: (stream, slice_id, step, tokens). Flows with a flag (their most frequent one, W6) have HAS_FLAGS
+    and FLAG_ tokens; with tactics(stream, slice_id, tactic), the steps of a slice with one have HAS_TTP and TTP_ tokens."""
+    steps = steps.withColumn("_ttp", F.lit(None).cast("string")) if tactics is None else steps.join(tactics.select("stream", "slice_id", F.nullif("tactic", F.lit("")).alias("_ttp")), ["stream", "slice_id"], "left")
     last = F.max("step").over(Window.partitionBy("stream", "slice_id"))
     role = F.when(F.col("step") == 1, "ROLE_SUBJ").when(F.col("step") == last, "ROLE_OBJ").otherwise("ROLE_MID")
-    host = F.array(role, F.lit("HOST"), rules.salted_token(F.col("entity"), salt, "HOST_"))
+    named = (F.when(F.col("_ttp").isNotNull(), "HAS_TTP"), F.concat(F.lit("TTP_"), "_ttp"))
+    host = F.array_compact(F.array(role, F.lit("HOST"), rules.salted_token(F.col("entity"), salt, "HOST_"), *named))
     flow = F.array(
         role, F.lit("FLOW"), F.concat(F.lit("P_"), F.upper("proto")), rules.service(F.col("peer_port")), rules.port_bucket(F.col("peer_port")), F.lit("HAS_PEER"), rules.salted_token(F.col("peer_ip"), salt, "PEER_"),
+        F.when(F.col("flag").isNotNull(), "HAS_FLAGS"), F.concat(F.lit("FLAG_"), "flag"),
         F.concat(F.lit("BYTES_"), rules.magnitude(F.col("bytes"), 2_000, 200_000)), F.concat(F.lit("PKT_"), rules.magnitude(F.col("packets"), 3, 30)),
+        *named,
     )
+    flow = F.array_compact(flow)
     return steps.select("stream", "slice_id", "step", F.when(F.col("etype") == "HOST", host).otherwise(flow).alias("tokens"))
 
 

@@ -8,20 +8,24 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the shared folder: read again, not computed again, and there when executors are lost."""
+    """df as a table in the folder of spark.checkpoint.dir: read again, not computed again, of a size that plans know, and there
+    when executors are lost. Only a local master may do without that setting."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not found and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cuts(df: DataFrame, column: str, blocks: int) -> list[float]:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from . import metrics
+
 
 def class_weights(rows: DataFrame, label: str, beta: float = 0.999) -> DataFrame:
     """Count, prior, log prior and the four weights (none, inverse, inverse root, effective), of mean 1 each."""
@@ -111,11 +113,14 @@ def anomaly_export(preds: DataFrame, tau: float, benign: int = 0) -> DataFrame:
 
 
 def anomaly_metrics(export: DataFrame, benign: int = 0) -> DataFrame:
-    """Precision, recall and F1 of is_anomaly against y not benign, 0 where undefined."""
+    """Precision, recall and F1 of is_anomaly against y not benign, and the average precision of the anomaly score; 0 where
+    undefined."""
     hit, real = F.col("is_anomaly"), F.col("y") != benign
     n = export.agg(F.count_if(hit & real).alias("tp"), F.count_if(hit).alias("said"), F.count_if(real).alias("pos"))
     ratio = lambda a, b: F.coalesce(F.col(a) / F.expr(f"nullif({b}, 0)"), F.lit(0.0))
-    return n.select(ratio("tp", "said").alias("precision"), ratio("tp", "pos").alias("recall"), F.coalesce(2 * F.col("tp") / F.expr("nullif(said + pos, 0)"), F.lit(0.0)).alias("f1"))
+    ap = metrics.average_precision(export.select(F.lit(0).alias("label"), F.col("anomaly").alias("score"), real.cast("int").alias("hit")))
+    n = n.withColumn("label", F.lit(0)).join(ap, "label", "left")  # one row each
+    return n.select(ratio("tp", "said").alias("precision"), ratio("tp", "pos").alias("recall"), F.coalesce(2 * F.col("tp") / F.expr("nullif(said + pos, 0)"), F.lit(0.0)).alias("f1"), F.coalesce("ap", F.lit(0.0)).alias("ap"))
 
 
 def best_epoch(log: DataFrame, metric: str = "macro_f1") -> DataFrame:
@@ -132,6 +137,40 @@ def predictions(scores: DataFrame, k: int = 3, benign: int = 0) -> DataFrame:
     return by.select("id", "y", F.get("all", F.lit(0))["label"].alias("pred"), F.slice(F.transform("all", lambda x: x["label"]), 1, k).alias("top"), (1 - p0).alias("anomaly"), kind.alias("anomaly_type"))
 
 
+def prediction_export(scores: DataFrame, tau: float, k: int = 3, benign: int = 0) -> DataFrame:
+    """K2, G20 over scores(id, y, label, logit, p): (id, y, pred, anomaly, is_anomaly, anomaly_type, top, top_p, p), a row an id.
+
+    anomaly is what the benign class's probability lacks to 1 (all of it without such a class), anomaly_type the best other
+    class as text, 'None' under tau. top and top_p are the k best classes and their probabilities (ties: the smaller label), p
+    the probabilities of all classes in order of labels.
+    """
+    by = scores.groupBy("id", "y").agg(F.array_sort(F.collect_list(F.struct((-F.col("logit")).alias("l"), "label", "p"))).alias("all"))
+    p0 = F.aggregate("all", F.lit(0.0), lambda a, x: a + F.when(x["label"] == benign, x["p"]).otherwise(0.0))
+    other = F.get(F.filter("all", lambda x: x["label"] != benign), F.lit(0))["label"].cast("string")
+    first = F.slice("all", 1, k)
+    every = F.transform(F.array_sort(F.transform("all", lambda x: F.struct(x["label"].alias("label"), x["p"].alias("p")))), lambda x: x["p"])
+    rows = by.withColumn("anomaly", 1 - p0).withColumn("is_anomaly", F.col("anomaly") >= tau)
+    return rows.select(
+        "id", "y", F.get("all", F.lit(0))["label"].alias("pred"), "anomaly", "is_anomaly", F.when(F.col("is_anomaly"), other).otherwise("None").alias("anomaly_type"),
+        F.transform(first, lambda x: x["label"]).alias("top"), F.transform(first, lambda x: x["p"]).alias("top_p"), every.alias("p"),
+    )
+
+
+def fill(rows: DataFrame, ident: str, drawn: DataFrame, total: int, seed: int) -> DataFrame:
+    """G17's rest: drawn(ident, draw, ...) with rows of any class, by the hash of seed and id, until there are `total`; they may
+    have been drawn before. If more are missing than there are rows, all rows come again and again. `draw` counts on from 1000000
+    for them, so that they can be told."""
+    need = max(0, total - drawn.count())
+    have = rows.count()
+    if not need or not have:
+        return drawn
+    every = rows.withColumn("_all", F.lit(0))
+    rest = quota_sample(every, "_all", ident, need % have, seed).withColumn("draw", F.lit(1_000_000).cast("long")) if need % have else None
+    rounds = every.withColumn("draw", F.explode(F.sequence(F.lit(1_000_001), F.lit(1_000_000 + need // have))).cast("long")) if need >= have else None
+    more = rest.union(rounds) if rest is not None and rounds is not None else rest if rest is not None else rounds
+    return drawn.select(ident, "draw").union(more.select(ident, "draw"))
+
+
 def sample_key(ident: str, seed: int) -> Column:
     """The hash of seed and id, by which samples are drawn."""
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(ident).cast("string")).cast("binary"))

@@ -7,6 +7,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import rules
 
 
+def stratum_key(label: str, strength: str | None = None, default: str = "unknown") -> Column:
+    """P20: the label, or label|strength; blank labels are UNK, blank strengths `default`."""
+    text = lambda c, other: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit(other))
+    return text(label, "UNK") if strength is None else F.concat(text(label, "UNK"), F.lit("|"), text(strength, default))
+
+
 def quota_targets(rows: DataFrame, stratum: str, train: float = 0.7, val: float = 0.1) -> DataFrame:
     """A4, A5: rows of each stratum and its quotas; three or more rows leave at least one for val and test."""
     n = rows.groupBy(F.coalesce(F.expr(f"nullif({stratum}, '')"), F.lit("UNK")).alias("stratum")).agg(F.count("*").alias("n"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import flows, flowslices, semantics
+from ..operators import flows, flowslices, ordered, semantics
 from . import adapters as ad, queries
 
 QUERIES: dict = {}
@@ -63,7 +63,8 @@ def net_motifs(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def w2v_labels(spark: SparkSession, d: str) -> DataFrame:
-    tokens = flowslices.flow_tokens(flowslices.flow_chains(_sliced(spark, d)), SALT).persist()  # read by the fit and after it
+    tokens = flowslices.flow_tokens(flowslices.flow_chains(_sliced(spark, d)), SALT)
+    tokens = ordered.written(tokens)  # read by the fit and after it
     model = semantics.train_vectors(tokens)
     vectors = semantics.slice_vectors(tokens, model)
     return semantics.nearest_label(vectors, semantics.seed_prototypes(model, semantics.TRAFFIC_SEEDS), tau=0.2)

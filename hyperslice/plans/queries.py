@@ -151,15 +151,23 @@ def network_event_types(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy(rules.network_event(F.col("dst_port")).alias("event_type"), rules.magnitude(F.col("packet_len"), 2000, 200000).alias("size"), rules.port_bucket(F.col("dst_port")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {ad.PACKETS}, e AS (SELECT pk.*, event_type AS flag FROM pk JOIN events ON event_id = packet_id), pa AS (SELECT *, floor(timestamp) AS bucket, least((src_ip, src_port), (dst_ip, dst_port)) AS a, greatest((src_ip, src_port), (dst_ip, dst_port)) AS b FROM e),
-    g AS (SELECT a, b, proto, bucket, flag, count(*) AS n, min((timestamp, packet_id)) AS first FROM pa GROUP BY ALL)
-    SELECT a[1] AS a_ip, a[2] AS a_port, b[1] AS b_ip, b[2] AS b_port, proto, CAST(bucket AS BIGINT) AS bucket, string_agg(flag || '=' || n, ',' ORDER BY flag) AS counts, arg_min(flag, (-n, first)) AS top FROM g GROUP BY a, b, proto, bucket""")
+_OF_FLOW = "a_ip, a_port, b_ip, b_port, proto, bucket, session"
+
+
+@query(f"""WITH {FLOWS}, e AS (SELECT pc.*, event_type AS flag, CASE WHEN event_id % 7 = 0 THEN 'unknown' WHEN event_id % 3 = 0 THEN 'pvt' ELSE 'edge' END AS sensor FROM pc JOIN events ON event_id = packet_id),
+    g AS (SELECT {_OF_FLOW}, flag, count(*) AS n, min((timestamp, packet_id)) AS first FROM e GROUP BY ALL), h AS (SELECT {_OF_FLOW}, sensor, count(*) AS n FROM e GROUP BY ALL),
+    s AS (SELECT {_OF_FLOW}, string_agg(sensor || '=' || n, ',' ORDER BY sensor) AS sensors FROM h GROUP BY ALL)
+    SELECT a_ip, a_port, b_ip, b_port, proto, CAST(bucket AS BIGINT) AS bucket, CAST(session AS BIGINT) AS session, string_agg(flag || '=' || n, ',' ORDER BY flag) AS counts, arg_min(flag, (-n, first)) AS top, any_value(sensors) AS sensors
+    FROM g JOIN s USING ({_OF_FLOW}) GROUP BY {_OF_FLOW}""")
 def flow_histograms(spark: SparkSession, d: str) -> DataFrame:
-    """A1's histogram and W6, of the packets' event types."""
-    packets = ad.packets(spark, d).join(ad.table(spark, d, "events").select(F.col("event_id").alias("packet_id"), F.col("event_type").alias("flag")), "packet_id")
-    h = flows.histogram(packets, "flag")
-    counts = F.array_join(F.transform(F.array_sort(F.map_entries("counts")), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",")
-    return h.select(F.col("ep_a.ip").alias("a_ip"), F.col("ep_a.port").alias("a_port"), F.col("ep_b.ip").alias("b_ip"), F.col("ep_b.port").alias("b_port"), "proto", "bucket", counts.alias("counts"), "top")
+    """A1's histograms of flags (here the packets' event types) and sensors, and W6."""
+    k = F.col("event_id")
+    sensor = F.when(k % 7 == 0, F.lit(None)).when(k % 3 == 0, "pvt").otherwise("edge")
+    packets = ad.packets(spark, d).join(ad.table(spark, d, "events").select(k.alias("packet_id"), F.col("event_type").alias("flag"), sensor.alias("sensor")), "packet_id")
+    told = lambda h, name: h.withColumn(name, F.array_join(F.transform(F.array_sort(F.map_entries("counts")), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ","))
+    flags, sensors = told(flows.histogram(packets, "flag"), "counts"), told(flows.histogram(packets, "sensor", missing="unknown"), "sensors")
+    both = flags.join(sensors.drop("counts", "top"), flows.FLOW)
+    return both.select(F.col("ep_a.ip").alias("a_ip"), F.col("ep_a.port").alias("a_port"), F.col("ep_b.ip").alias("b_ip"), F.col("ep_b.port").alias("b_port"), "proto", "bucket", F.col("session").cast("long").alias("session"), "counts", "top", "sensors")
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN n = 0 THEN 'NON_IP' WHEN n = 6 THEN 'TCP' WHEN n = 17 THEN 'UDP' ELSE 'IP_PROTO_' || n END AS protocol, CASE WHEN n IN (6, 17) THEN l_suppkey END AS src_port, CASE WHEN n = 6 THEN l_returnflag END AS flags
@@ -193,6 +201,14 @@ TARGETS = """n AS (SELECT coalesce(nullif(lang, ''), 'UNK') AS stratum, count(*)
     t2 AS (SELECT *, least(a, n - n_val) AS a2 FROM t1), tg AS (SELECT stratum, n, CASE WHEN n >= 3 AND n - a2 - n_val < 1 THEN n - n_val - 1 ELSE a2 END AS n_train, n_val FROM t2)"""
 
 
+@query(f"""WITH {TARGETS.replace("FROM documents GROUP BY ALL", "FROM (SELECT coalesce(nullif(lang, ''), 'UNK') || '|' || coalesce(nullif(source, ''), 'unknown') AS lang FROM documents) GROUP BY ALL")}
+    SELECT *, n - n_train - n_val AS n_test FROM tg""")
+def split_targets_strength(spark: SparkSession, d: str) -> DataFrame:
+    """P20 with a strength: quotas by label and strength (here language and source)."""
+    docs = ad.table(spark, d, "documents").withColumn("key", splits.stratum_key("lang", "source"))
+    return splits.quota_targets(docs, "key")
+
+
 @query(f"WITH {TARGETS} SELECT *, n - n_train - n_val AS n_test FROM tg")
 def split_targets(spark: SparkSession, d: str) -> DataFrame:
     return splits.quota_targets(ad.table(spark, d, "documents"), "lang")
@@ -475,9 +491,10 @@ def khop_samples(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {ad.SCORES}, a AS (SELECT y, anomaly >= 0.5 AS hit, y <> 0 AS real FROM pr) SELECT round(coalesce(count(*) FILTER (hit AND real) / nullif(count(*) FILTER (hit), 0), 0), 8) AS "precision",
-    round(coalesce(count(*) FILTER (hit AND real) / nullif(count(*) FILTER (real), 0), 0), 8) AS recall, round(coalesce(2 * count(*) FILTER (hit AND real) / nullif(count(*) FILTER (hit) + count(*) FILTER (real), 0), 0), 8) AS f1 FROM a""")
+    round(coalesce(count(*) FILTER (hit AND real) / nullif(count(*) FILTER (real), 0), 0), 8) AS recall, round(coalesce(2 * count(*) FILTER (hit AND real) / nullif(count(*) FILTER (hit) + count(*) FILTER (real), 0), 0), 8) AS f1,
+    (SELECT round(sum(p * cp / cn) / nullif(sum(p), 0), 8) FROM (SELECT *, sum(p) OVER w AS cp, sum(n) OVER w AS cn FROM (SELECT round(anomaly, 5) AS s, count(*) FILTER (y <> 0) AS p, count(*) AS n FROM pr GROUP BY s) WINDOW w AS (ORDER BY s DESC))) AS ap FROM a""")
 def anomaly_metrics(spark: SparkSession, d: str) -> DataFrame:
-    m = scoring.anomaly_metrics(scoring.anomaly_export(scoring.predictions(_scores(spark, d)), 0.5))
+    m = scoring.anomaly_metrics(scoring.anomaly_export(scoring.predictions(_scores(spark, d)), 0.5).withColumn("anomaly", F.round("anomaly", 5)))
     return m.select(*[F.round(c, 8).alias(c) for c in m.columns])
 
 
@@ -503,3 +520,17 @@ def quota_take_back(spark: SparkSession, d: str) -> DataFrame:
     """G16 where floors ask for more than there is: the largest quotas give way first."""
     sizes = ad.table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("label")).agg(F.count("*").alias("n"))
     return scoring.quota_alloc(sizes, "n", 1003, {"5-LOW": 420, "1-URGENT": 150}, size="n")
+
+
+@query(f"""WITH {ad.SCORES}, ex AS (SELECT id, first(y) AS y, list(label ORDER BY logit DESC, label) AS labels, list(round(p, 5) ORDER BY logit DESC, label) AS probs, list(round(p, 5) ORDER BY label) AS every, 1 - sum(CASE WHEN label = 2 THEN p ELSE 0 END) AS anomaly,
+    first(label ORDER BY logit DESC, label) FILTER (label <> 2) AS other FROM sc GROUP BY id)
+    SELECT id, y, labels[1] AS pred, round(anomaly, 5) AS anomaly, anomaly >= 0.9 AS is_anomaly, CASE WHEN anomaly >= 0.9 THEN CAST(other AS VARCHAR) ELSE 'None' END AS anomaly_type,
+    list_aggregate(labels[1:3], 'string_agg', ',') AS top_labels, round(probs[1], 5) AS top1_prob, round(probs[3], 5) AS top3_prob, len(every) AS classes, round(every[1], 5) AS p_first, round(every[-1], 5) AS p_last FROM ex""")
+def prediction_export(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions with the top classes' and every class's probability, label 2 as the benign one."""
+    e = scoring.prediction_export(_scores(spark, d), 0.9, 3, 2)
+    at = lambda c, i: F.round(F.try_element_at(c, F.lit(i)), 5)
+    return e.select(
+        "id", "y", "pred", F.round("anomaly", 5).alias("anomaly"), "is_anomaly", "anomaly_type", F.array_join(F.col("top").cast("array<string>"), ",").alias("top_labels"), at("top_p", 1).alias("top1_prob"), at("top_p", 3).alias("top3_prob"),
+        F.size("p").cast("long").alias("classes"), at("p", 1).alias("p_first"), at("p", -1).alias("p_last"),
+    )

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..operators import ordered
+
 #: File schemas of the raw records.
 PACKET = "packet_id BIGINT, timestamp DOUBLE, src_ip STRING, dst_ip STRING, src_port INT, dst_port INT, protocol STRING, packet_len INT, flags STRING, sensor STRING"
 HOST_EVENT = "timestamp STRING, actorID STRING, objectID STRING, action STRING, object STRING, hostname STRING, properties STRUCT<image_path: STRING, module_path: STRING, command_line: STRING>"
@@ -19,7 +21,7 @@ def read_json_lines(spark: SparkSession, path: str | list[str], schema: str) ->
 def read_json_counted(spark: SparkSession, path: str | list[str], schema: str) -> tuple[DataFrame, DataFrame]:
     """(rows, counts), the same rows, and (source_file, good, bad) for every file that has lines."""
     marked = spark.read.schema(f"{schema}, _bad STRING").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path).withColumn("source_file", F.col("_metadata.file_path"))
-    marked = marked.persist()  # Spark doesn't count corrupt records straight from a file
+    marked = ordered.written(marked)  # Spark doesn't count corrupt records straight from a file
     counts = marked.groupBy("source_file").agg(F.count_if(F.col("_bad").isNull()).alias("good"), F.count_if(F.col("_bad").isNotNull()).alias("bad"))
     return marked.filter(F.col("_bad").isNull()).drop("_bad", "source_file"), counts
 
@@ -59,6 +61,14 @@ def merge_sensors(edge: DataFrame, private: DataFrame) -> DataFrame:
     return both.withColumn("timestamp", F.col("timestamp").try_cast("double")).filter(F.col("timestamp").isNotNull())
 
 
+def in_time_order(packets: DataFrame, partitions: int | None = None) -> DataFrame:
+    """merge_sensors' packets in ranges of time, sorted in each: written as they are, the files follow one another in time.
+    Equal times: the edge sensor first, then packet_id."""
+    order = ["timestamp", "sensor", "packet_id"]
+    n = partitions or int(packets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return packets.repartitionByRange(n, *order).sortWithinPartitions(*order)
+
+
 def host_number(hostname: Column, pattern: str = r"(?i)SysClient(\d{4})\.systemia\.com") -> Column:
     """The host's number, '' if the name has another form."""
     return F.regexp_extract(hostname, pattern, 1)
