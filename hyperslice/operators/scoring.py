@@ -166,7 +166,7 @@ def fill(rows: DataFrame, ident: str, drawn: DataFrame, total: int, seed: int) -
         return drawn
     every = rows.withColumn("_all", F.lit(0))
     rest = quota_sample(every, "_all", ident, need % have, seed).withColumn("draw", F.lit(1_000_000).cast("long")) if need % have else None
-    rounds = every.withColumn("draw", F.explode(F.sequence(F.lit(1_000_001), F.lit(1_000_000 + need // have))).cast("long")) if need >= have else None
+    rounds = every.withColumn("draw", F.explode(F.sequence(F.lit(1_000_001).cast("long"), F.lit(1_000_000 + need // have).cast("long")))) if need >= have else None
     more = rest.union(rounds) if rest is not None and rounds is not None else rest if rest is not None else rounds
     return drawn.select(ident, "draw").union(more.select(ident, "draw"))
 
