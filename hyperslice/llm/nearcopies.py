@@ -226,7 +226,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFr
     Rows with a null id are left out; repeated ids give repeated rows; an empty table gives an empty table; other columns
     of docs are not read.
     """
-    docs = docs.filter("doc_id is not null")
+    docs = docs.select("doc_id", "text").filter("doc_id is not null")
     prints = materialize(sketches(docs, shingle, whole=False), "sketches")
     heads = prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     nodes = materialize(prints.join(heads, ["node", "doc_id"], "left_semi").dropDuplicates(["node"]), "nodes")

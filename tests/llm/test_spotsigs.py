@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from hyperslice.llm import queries, spotsigs
+from hyperslice.llm import nearcopies, queries, spotsigs
 from hyperslice.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -115,3 +115,10 @@ def test_fingerprints_follow_prose(spark):
     """Half a text is found again, the next document isn't."""
     got = queries.op11_fingerprints(spark, SF).filter("n_chars > 400").agg(F.avg("near_edited").alias("edited"), F.expr("percentile(near_next, 0.9)").alias("next")).first()
     assert got["edited"] > 0.2 and got["next"] < 0.2
+
+
+def test_near_copies_with_names_that_clash(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, 5, "x"), (2, text, 6, "y"), (3, "other words", 7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id long, node string")
+    assert {r["doc_id"]: r["component_id"] for r in nearcopies.near_copies(docs).collect()} == {1: 1, 2: 1, 3: 3}
