@@ -2,6 +2,10 @@
 
 Each stage is (name, function of (spark, docs, sf_dir)); its result is written as Parquet and read again as the next
 one's docs. All but the last return the columns of documents. run() applies them to the whole table.
+
+Every stage takes nulls in any column, empty tables and further columns, whatever their names. Rows that are equal in id and
+text are one document given several times: every stage treats them alike and keeps or drops them together, so they are packed
+as often as they are given. Null texts count as empty.
 """
 
 from __future__ import annotations
@@ -31,14 +35,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, exactly or reworded."""
+    """Documents that hold no benchmark item, exactly or reworded; null and empty texts stay, as all do without items."""
     for free in decontam.clean(docs, table(spark, sf_dir, "benchmark")):
         docs = docs.filter(free)
     return docs
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece, with its ids and its place in a sequence."""
+    """One row per piece, with its ids and its place in a sequence; a null or empty text is its end id alone."""
     return packing.pack(docs)
 
 
@@ -49,7 +53,8 @@ STAGES = [
     ("decontamination", drop_contaminated),
     ("packing", pack),
 ]
-#: Edit joins, fitted models and subword ids are beyond SQL; the tests hold run() against brute force.
+#: Edit joins, fitted models and subword ids are beyond SQL. The tests hold each stage's operator against brute force, and of
+#: the stages together their columns only.
 ORACLE_SQL = None
 
 
