@@ -27,12 +27,20 @@ def _sliced(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: One row of state a step: fo are the flows in the order of emission, fs the slice that is open after each.
-SQL["flow_slices"] = f"""WITH RECURSIVE {queries.FLOWS}, px AS (SELECT DISTINCT timestamp AS t FROM pk), fx AS (SELECT fl.*, px.t AS expiry FROM fl ASOF LEFT JOIN px ON px.t > fl.t_end + {IDLE_S}),
+_WALK = f"""WITH RECURSIVE {queries.FLOWS}, px AS (SELECT DISTINCT timestamp AS t FROM pk), fx AS (SELECT fl.*, px.t AS expiry FROM fl ASOF LEFT JOIN px ON px.t > fl.t_end + {IDLE_S}),
     fo AS (SELECT *, a_ip LIKE '10.%' AND b_ip LIKE '10.%' AS inr, row_number() OVER (ORDER BY expiry NULLS LAST, t_start, a_ip, a_port, b_ip, b_port, proto, bucket, session) AS e FROM fx WHERE anchor IS NOT NULL),
     fs AS (SELECT 0::BIGINT AS e, NULL::DOUBLE AS last, NULL::VARCHAR AS own, NULL::VARCHAR AS oth, -1::BIGINT AS slice_id
         UNION ALL SELECT e, t_start, own2, CASE WHEN inr THEN CASE WHEN b_ip = own2 THEN a_ip ELSE b_ip END WHEN joins THEN oth END, slice_id + CASE WHEN joins THEN 0 ELSE 1 END
-        FROM (SELECT *, CASE WHEN joins THEN own ELSE anchor END AS own2 FROM (SELECT fo.e, fo.t_start, fo.anchor, fo.a_ip, fo.b_ip, fo.inr, fs.own, fs.oth, fs.slice_id, coalesce(fo.t_start - fs.last <= {GAP_S} AND (fo.anchor = fs.own OR fo.anchor = fs.oth), FALSE) AS joins FROM fs JOIN fo ON fo.e = fs.e + 1)))
+        FROM (SELECT *, CASE WHEN joins THEN own ELSE anchor END AS own2 FROM (SELECT fo.e, fo.t_start, fo.anchor, fo.a_ip, fo.b_ip, fo.inr, fs.own, fs.oth, fs.slice_id, coalesce(fo.t_start - fs.last <= {GAP_S} AND (fo.anchor = fs.own OR fo.anchor = fs.oth), FALSE) AS joins FROM fs JOIN fo ON fo.e = fs.e + 1)))"""
+SQL["flow_slices"] = f"""{_WALK}
     SELECT 'f' AS stream, fs.slice_id, any_value(fs.own) AS slice_anchor, round(min(fo.t_start), 4) AS t_start, round(max(fo.t_end), 4) AS t_end, count(*) AS flows_count FROM fs JOIN fo USING (e) GROUP BY fs.slice_id"""
+_PORTS = {"lat": flows.LATERAL, "disc": flows.DISCOVERY, "ctl": flows.CONTROL}
+_IN = {k: f"port IN {v}" for k, v in _PORTS.items()}
+SQL["flow_tactics"] = f"""{_WALK}, x AS (SELECT fs.slice_id, CASE fs.own WHEN a_ip THEN b_ip WHEN b_ip THEN a_ip END AS peer, CASE fs.own WHEN a_ip THEN b_port WHEN b_ip THEN a_port END AS port, packets, bytes, t_start, t_end FROM fs JOIN fo USING (e)),
+    y AS (SELECT slice_id, count(DISTINCT peer) AS peers, count(DISTINCT port) AS ports, coalesce(sum(bytes) FILTER (peer IS NOT NULL), 0) AS bytes, coalesce(sum(packets) FILTER (peer IS NOT NULL), 0) AS packets, count(*) FILTER (peer LIKE '10.%') AS inside, count(*) FILTER (peer NOT LIKE '10.%') AS outside,
+        count(*) FILTER (peer LIKE '10.%' AND {_IN['lat']}) AS hits, coalesce(bool_or({_IN['lat']}), FALSE) AS lat, coalesce(bool_or({_IN['disc']}), FALSE) AS disc, coalesce(bool_or({_IN['ctl']}), FALSE) AS ctl, greatest(1e-6, max(t_end) - min(t_start)) AS lasts FROM x GROUP BY slice_id)
+    SELECT 'f:' || slice_id AS slice, coalesce(nullif(concat_ws('|', CASE WHEN ((peers >= 20 OR ports >= 30) AND lasts <= 10) OR (disc AND peers >= 5) THEN 'TA0007:Discovery' END, CASE WHEN hits >= 2 OR (inside >= 3 AND lat) THEN 'TA0008:LateralMovement' END,
+        CASE WHEN outside >= 1 AND bytes >= 2000000 THEN 'TA0010:Exfiltration' END, CASE WHEN outside >= 1 AND peers <= 2 AND lasts >= 10 AND packets >= 10 AND ctl THEN 'TA0011:CommandAndControl' END), ''), 'TA0000:Benign') AS tactic FROM y"""
 
 
 @query
