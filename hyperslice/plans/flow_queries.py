@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions import rules
 from ..operators import flows, flowslices, ordered, semantics
 from . import adapters as ad, queries
 
@@ -43,6 +44,21 @@ SQL["flow_tactics"] = f"""{_WALK}, x AS (SELECT fs.slice_id, CASE fs.own WHEN a_
         CASE WHEN outside >= 1 AND bytes >= 2000000 THEN 'TA0010:Exfiltration' END, CASE WHEN outside >= 1 AND peers <= 2 AND lasts >= 10 AND packets >= 10 AND ctl THEN 'TA0011:CommandAndControl' END), ''), 'TA0000:Benign') AS tactic FROM y"""
 
 
+#: The walk through each slice's flows: where it stands before flow i, and the steps that the flow adds.
+_CHAIN = f"""{_WALK}, fr AS (SELECT fs.slice_id, fs.own AS anchor, fo.*, row_number() OVER (PARTITION BY fs.slice_id ORDER BY fo.t_start, fo.e) AS i FROM fs JOIN fo USING (e)),
+    w AS (SELECT slice_id, 0::BIGINT AS i, any_value(anchor) AS host, [any_value(anchor)] AS seen, 1::BIGINT AS step, NULL::BIGINT AS f_step, NULL::VARCHAR AS was, NULL::VARCHAR AS peer, NULL::INTEGER AS port, NULL::VARCHAR AS proto, 1::BIGINT AS h_step FROM fr GROUP BY slice_id
+        UNION ALL SELECT slice_id, i, CASE WHEN moves THEN peer ELSE host END, CASE WHEN moves THEN list_append(seen, peer) ELSE seen END, step + touches::INTEGER + moves::INTEGER, CASE WHEN touches THEN step + 1 END, host, peer, port, proto, CASE WHEN moves THEN step + 2 END
+        FROM (SELECT *, touches AND peer LIKE '10.%' AND NOT list_contains(seen, peer) AS moves FROM (SELECT w.slice_id, fr.i, w.host, w.seen, w.step, fr.proto, w.host IN (fr.a_ip, fr.b_ip) AS touches,
+            CASE WHEN fr.a_ip = w.host THEN fr.b_ip ELSE fr.a_ip END AS peer, CASE WHEN fr.a_ip = w.host THEN fr.b_port ELSE fr.a_port END AS port FROM w JOIN fr ON fr.slice_id = w.slice_id AND fr.i = w.i + 1)))"""
+SQL["flow_chains"] = f"""{_CHAIN} SELECT 'f' AS stream, slice_id, f_step AS step, 'FLOW' AS etype, peer || ':' || port || '/' || proto AS entity FROM w WHERE f_step IS NOT NULL
+    UNION ALL SELECT 'f', slice_id, h_step, 'HOST', host FROM w WHERE h_step IS NOT NULL"""
+_CASES = " ".join(f"WHEN {port} THEN '{name}'" for port, name in rules.SERVICES.items())
+SQL["net_motifs"] = f"""{_CHAIN}, st AS (SELECT slice_id, f_step, was, peer, proto, CASE port {_CASES} ELSE 'SVC_OTHER' END AS svc, CASE WHEN port <= 1023 THEN 'PORT_WELLKNOWN' WHEN port <= 49151 THEN 'PORT_REGISTERED' ELSE 'PORT_DYNAMIC' END AS pb FROM w WHERE f_step IS NOT NULL),
+    en AS (SELECT slice_id, f_step, CASE WHEN svc IN ('SVC_DNS', 'SVC_DHCP') THEN 'NET_' || svc[5:] ELSE 'NET_CONNECT_' || svc[5:] END AS event_type, ['HOST_' || sha1('{SALT}|' || was)[1:8], 'PEER_' || sha1('{SALT}|' || peer)[1:8], svc, 'P_' || upper(proto), pb] AS es FROM st),
+    g AS (SELECT slice_id, event_type, count(*) AS n, min(f_step) AS first FROM en GROUP BY ALL), u AS (SELECT slice_id, event_type, string_agg(DISTINCT x, ',' ORDER BY x) AS entities FROM (SELECT slice_id, event_type, unnest(es) AS x FROM en) GROUP BY ALL)
+    SELECT 'f' AS stream, slice_id, 'M' || row_number() OVER (PARTITION BY slice_id ORDER BY first) AS motif_id, event_type, n, entities FROM g JOIN u USING (slice_id, event_type)"""
+
+
 @query
 def flow_slices(spark: SparkSession, d: str) -> DataFrame:
     rows = _sliced(spark, d).groupBy("stream", "slice_id", "slice_anchor")
