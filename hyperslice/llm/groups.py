@@ -16,8 +16,8 @@ def connect(crowd: DataFrame, found: DataFrame, exact: Callable[[DataFrame, str]
     Each group's nodes are compared with one of them, the hub (the one in most crowded keys: the original of many
     copies), then those that aren't linked to it with a next hub, for `rounds` rounds. exact(pairs, name) gives the pairs
     (a, b) that are links. Groups that several components are left of go to rest(groups), groups(hub, node, c) with the
-    first hub and the component: pairs of different components that hold at least all links not both of whose ends are
-    linked to the hub. So no link is lost; `rounds` only saves work.
+    first hub and the component: links that, with those found, connect what links within a group do. So no link is lost;
+    `rounds` only saves work.
     """
     rank = crowd.groupBy("node").agg(F.struct((-F.sum("n")).alias("n"), "node").alias("rank"))
     met = materialize(crowd.select("key", "node").distinct().join(rank, "node"), "crowds")
@@ -39,4 +39,4 @@ def connect(crowd: DataFrame, found: DataFrame, exact: Callable[[DataFrame, str]
     rows = groups.select("group", "node").join(connected_components(found), "node", "left").withColumn("c", F.coalesce("component", "node"))
     several = rows.groupBy("group").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("group")
     rows = materialize(rows.join(several, "group", "left_semi").select(F.col("group").alias("hub"), "node", "c"), "several")
-    return found if rows.isEmpty() else found.union(exact(rest(rows), "met"))
+    return found if rows.isEmpty() else found.union(rest(rows))

@@ -11,15 +11,14 @@ characters are left alone (op4_line_dedup and the pipeline take 1: all but empty
 compared for equality only.
 
 Where more than `pair_limit` different lines meet at one key, they are not paired with each other but compared with hubs
-among them (groups.py). Lines that no hub connects are reduced to the letter pairs in which they differ from the first
-hub. Lines within t edits of one another differ in at most 4 t letter pairs, so their difference lists share one of the
+among them (groups.py). Lines that no hub connects are reduced to the letter pairs in which they differ from those that
+over half of their group's lines hold; the line that differs least is one more hub. Lines within t edits of one another differ in at most 4 t letter pairs, so their difference lists share one of the
 first 4 t + 1 entries (prefix filter, rare pairs first) unless both lists have at most 4 t entries together; only such lines of different
 components, whose lengths, parities and counts of letters and letter pairs allow t edits, are paired. No link is lost; each line takes the t of its own length, which is no less than that of a pair it is in.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -253,19 +252,32 @@ def parity(pairs: np.ndarray, letters: np.ndarray) -> list[int]:
     return np.packbits(both.astype(np.uint8), bitorder="little").view(np.int64).tolist()
 
 
-def _letter_pairs(s: str) -> Counter:
-    return Counter(s[i : i + 2] for i in range(len(s) - 1))
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def numbered_pairs(line: str) -> np.ndarray:
+    """The line's letter pairs as a sorted set of 32-bit hashes of (pair, how often it stood before).
+
+    Lines within t edits differ in at most 4 t of them; hashes that collide only make differences smaller.
+    """
+    code = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    pair = np.sort(code[:-1] << np.uint64(21) | code[1:])
+    number = np.arange(len(pair), dtype=np.uint64)
+    first = np.maximum.accumulate(np.where(np.append(True, pair[1:] != pair[:-1])[: len(pair)], number, np.uint64(0)))
+    return np.unique((_mixed(_mixed(pair) + (number - first)) >> np.uint64(32)).astype(np.uint32).view(np.int32))
 
 
 def _common(lines: DataFrame) -> np.ndarray:
-    """In how many lines(line) the letter pairs hashed to each of BUCKETS occur."""
+    """In how many lines(line) the numbered letter pairs of each of BUCKETS occur."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count: Counter = Counter()
+        count = np.zeros(BUCKETS, np.int64)
         for frame in frames:
             for line in frame["line"]:
-                count.update({_digest(g) % BUCKETS for g in _letter_pairs(line)})
-        yield pd.DataFrame(list(count.items()), columns=["bucket", "n"], dtype="int64")
+                count[np.unique(numbered_pairs(line) % BUCKETS)] += 1
+        yield pd.DataFrame({"bucket": np.flatnonzero(count), "n": count[count > 0]})
 
     found = lines.select("line").mapInPandas(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(BUCKETS, np.int64)
@@ -273,24 +285,38 @@ def _common(lines: DataFrame) -> np.ndarray:
     return out
 
 
+def _profiles(rows: DataFrame) -> DataFrame:
+    """rows(line, group) -> (group, usual): the numbered letter pairs that over half of a group's lines hold."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for group, some in frame.groupby("group"):
+                x, k = np.unique(np.concatenate([numbered_pairs(line) for line in some["line"]]), return_counts=True)
+                yield pd.DataFrame({"group": group, "x": x, "k": k.astype(np.int64)})
+
+    held = rows.select("group", "line").mapInPandas(run, "group long, x int, k long").groupBy("group", "x").agg(F.sum("k").alias("k"))
+    sizes = rows.groupBy("group").agg(F.count("*").alias("size"))
+    # A group's usual pairs are at most twice as many as its mean line has.
+    return held.join(sizes, "group").filter(F.col("k") * 2 > F.col("size")).groupBy("group").agg(F.array_sort(F.collect_list("x")).alias("usual"))
+
+
 def _apart(rows: DataFrame, common: np.ndarray) -> DataFrame:
-    """rows(h, c, t, line, group, hub) -> (h, c, d, at, few, token): the first 4 t + 1 letter pairs, rare ones first, in which a
-    line differs from its group's hub, d pairs in all; and where d is at most 4 t, the group itself (few)."""
+    """rows(h, c, t, line, group, usual) -> (h, c, t, group, d, tokens): d letter pairs in which a line differs from the usual
+    ones of its group, tokens for the first 4 t + 1 of them, rare ones first."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["h", "c", "d", "at", "few", "token"]
         for frame in frames:
             out = []
-            for h, c, t, line, group, hub in frame[["h", "c", "t", "line", "group", "hub"]].itertuples(index=False):
-                a, b = _letter_pairs(line), _letter_pairs(hub)
-                diff = sorted((common[_digest(g) % BUCKETS], g, sign, n) for sign, d in ((1, a - b), (0, b - a)) for g, k in d.items() for n in range(k))
-                own = [(i + 1, 0, _digest(f"{group} {sign} {n} {g}")) for i, (_, g, sign, n) in enumerate(diff[: 4 * t + 1])]
-                own += [(1, 1, _digest(f"{group}"))] * (len(diff) <= 4 * t)
-                out += [(h, c, len(diff), at, few, (x ^ (1 << 63)) - (1 << 63)) for at, few, x in own]
-            yield pd.DataFrame(out, columns=names, dtype="int64")
+            for h, c, t, line, group, usual in frame[["h", "c", "t", "line", "group", "usual"]].itertuples(index=False):
+                own, usual = numbered_pairs(line), np.zeros(0, np.int32) if usual is None else np.asarray(usual, np.int32)
+                more, less = np.setdiff1d(own, usual, assume_unique=True), np.setdiff1d(usual, own, assume_unique=True)
+                # One order for all lines of a group: pairs that are not usual, rare ones first, then usual ones that are missing.
+                diff = np.concatenate([more[np.lexsort((more, common[more % BUCKETS]))], np.sort(less)])
+                tokens = _mixed(diff[: 4 * t + 1].astype(np.int64).view(np.uint64) ^ _mixed(np.array([group], np.int64).view(np.uint64)))
+                out.append((h, c, t, group, len(diff), tokens.view(np.int64)))
+            yield pd.DataFrame(out, columns=["h", "c", "t", "group", "d", "tokens"])
 
-    found = rows.mapInPandas(run, "h long, c long, d long, at long, few long, token long")
-    return materialize(found.withColumn("n", F.count("*").over(Window.partitionBy("token"))).filter("n > 1").drop("n"), "differences")
+    return materialize(rows.mapInPandas(run, "h long, c long, t long, group long, d long, tokens array<long>"), "differences")
 
 
 def _pairs(met: DataFrame, by: str, *more: Column) -> DataFrame:
@@ -341,8 +367,21 @@ def similar_lines(lines: DataFrame, pair_limit: int = 4) -> DataFrame:
         return materialize(both.select("a", "b", "x", "y").mapInPandas(check, "a long, b long"), name)
 
     def rest(groups: DataFrame) -> DataFrame:
-        told = groups.withColumnRenamed("node", "h").join(texts, "h").join(texts.select(F.col("h").alias("hub"), F.col("line").alias("hub_line")), "hub")
-        apart = _apart(told.select("h", "c", "t", "line", F.col("hub").alias("group"), F.col("hub_line").alias("hub")), _common(texts))
+        told = groups.select(F.col("node").alias("h"), "c", F.col("hub").alias("group")).join(texts.select("h", "t", "line"), "h")
+        told = materialize(told, "told")
+        apart = _apart(told.join(_profiles(told), "group", "left"), _common(texts))
+        # The line nearest to its group's usual pairs is one more hub; components that it links count as one.
+        middle = apart.groupBy("group").agg(F.min(F.struct("d", "h", "c")).alias("m")).select("group", F.col("m.d").alias("md"), F.col("m.h").alias("mh"), F.col("m.c").alias("mc"))
+        near = apart.join(middle, "group").filter((F.col("c") != F.col("mc")) & (F.col("d") - F.col("md") <= 4 * F.col("t")))
+        stars = exact(near.select(F.col("mh").alias("a"), F.col("h").alias("b")).distinct(), "stars")
+        one = near.join(stars.select(F.col("a").alias("mh"), F.col("b").alias("h")), ["mh", "h"]).select("group", "c", "mc").distinct()
+        apart = apart.join(one, ["group", "c"], "left").withColumn("c", F.coalesce("mc", "c"))
+        few = F.when(F.col("d") <= 4 * F.col("t"), F.struct(F.lit(1).alias("at"), F.lit(1).alias("few"), F.xxhash64("group").alias("token")))
+        entries = F.transform("tokens", lambda x, i: F.struct((i + 1).alias("at"), F.lit(0).alias("few"), x.alias("token")))
+        apart = apart.select("h", "c", "d", F.explode(F.concat(entries, F.array_compact(F.array(few)))).alias("x")).select("h", "c", "d", "x.*")
+        over = Window.partitionBy("token")
+        apart = apart.withColumns({"lo": F.min("c").over(over), "hi": F.max("c").over(over)}).filter("lo < hi").drop("lo", "hi")
+        apart = materialize(apart, "tokens")
         # Lists of a and b entries share (a + b - 4 t) / 2 at least: one of them is among the first 2 t + 1 of the shorter list.
         most = 4 * F.least("a.t", "b.t")
         short, long = (F.struct(f"{x}.d", f"{x}.h") for x in "ab")
@@ -350,7 +389,7 @@ def similar_lines(lines: DataFrame, pair_limit: int = 4) -> DataFrame:
         room = F.least("a.at", "b.at") + F.least(F.col("a.d") - F.col("a.at"), F.col("b.d") - F.col("b.at")) >= (F.col("a.d") + F.col("b.d") - most) / 2
         first = room & (F.when(short < long, F.col("a.at")).otherwise(F.col("b.at")) <= most / 2 + 1)
         fits = (F.abs(F.col("a.d") - F.col("b.d")) <= most) & F.when(F.col("a.few") == 0, first).otherwise(F.col("a.d") + F.col("b.d") <= most)
-        return _pairs(apart.join(texts.select("h", *FILTERS), "h"), "token", F.col("a.c") != F.col("b.c"), fits)
+        return stars.union(exact(_pairs(apart.join(texts.select("h", *FILTERS), "h"), "token", F.col("a.c") != F.col("b.c"), fits), "met"))
 
     # Crowded keys are split by length: steps of so many characters, and the step below for lines within reach of it.
     lengths = F.array_distinct(F.array(F.floor(F.col("len") / STEP), F.floor((F.col("len") - F.col("t")) / STEP)))

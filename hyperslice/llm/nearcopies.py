@@ -215,7 +215,8 @@ def links(nodes: DataFrame, least: float = 0.8, pair_limit: int = 4, sets: Calla
     found = _exact(likely, whole, least, "links")
     if crowd.isEmpty():
         return found
-    return connect(crowd, found, lambda pairs, name: _exact(pairs, whole, least, name), lambda groups: _by_differences(groups, whole, least), rounds)
+    exact = lambda pairs, name: _exact(pairs, whole, least, name)
+    return connect(crowd, found, exact, lambda groups: exact(_by_differences(groups, whole, least), "met"), rounds)
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:

@@ -222,7 +222,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, crowd: int = 32) -> Dat
     links = exact(met, "links")
     crowded = keys.filter(F.col("n") > crowd)
     if not crowded.isEmpty():
-        links = materialize(connect(crowded, links, exact, lambda groups: _apart(groups, nodes, least)), "links")
+        links = materialize(connect(crowded, links, exact, lambda groups: exact(_apart(groups, nodes, least), "met")), "links")
     links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
     root = nodes.select("node", "least_id").join(connected_components(links), "node", "left").withColumn("root", F.coalesce("component", "node"))

@@ -333,6 +333,25 @@ def test_line_dedup_equals_brute_force(spark, limit):
     assert rows == {(d, n, *first[k]) for d, n, x in texts for k in [label[lines.index(x)] if x in lines else x] if (d, n) != first[k]}
 
 
+def test_line_dedup_of_variants_without_their_original(spark):
+    """A crowd of lines with one or two words changed, the original left out: the line nearest to what most hold is a hub."""
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(3, 7))) for _ in range(60)]
+    lines = [" ".join(words)[:-2]]
+    for n in [1] * 30 + [2] * 20:
+        some = list(words)
+        for at in r.sample(range(60), n):
+            some[at] = edited(r, some[at], r.randint(2, 5))
+        lines.append(" ".join(" ".join(some).split()))
+    lines = list(dict.fromkeys(lines))
+    got, want = spanning(spark, lines, 3)
+    assert got <= want and classes(len(lines), got) == classes(len(lines), want)
+    for i, j in want:
+        a, b = (set(linededup.numbered_pairs(lines[x]).tolist()) for x in (i, j))
+        assert len(a ^ b) <= 4 * linededup.edits_for(min(len(lines[i]), len(lines[j])))
+    assert len(linededup.numbered_pairs("")) == len(linededup.numbered_pairs("a")) == 0 and len(linededup.numbered_pairs("aaaa")) == 3
+
+
 @pytest.mark.parametrize("limit", [40, 2])
 def test_line_dedup_of_long_lines(spark, limit):
     """Edits grow with the length; all classes are found, also across the lengths where the keys change."""
