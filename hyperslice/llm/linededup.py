@@ -369,7 +369,7 @@ def similar_lines(lines: DataFrame, pair_limit: int = 4) -> DataFrame:
     def rest(groups: DataFrame) -> DataFrame:
         told = groups.select(F.col("node").alias("h"), "c", F.col("hub").alias("group")).join(texts.select("h", "t", "line"), "h")
         told = materialize(told, "told")
-        apart = _apart(told.join(_profiles(told), "group", "left"), _common(texts))
+        apart = _apart(told.join(_profiles(told), "group", "left"), _common(told))
         # The line nearest to its group's usual pairs is one more hub; components that it links count as one.
         middle = apart.groupBy("group").agg(F.min(F.struct("d", "h", "c")).alias("m")).select("group", F.col("m.d").alias("md"), F.col("m.h").alias("mh"), F.col("m.c").alias("mc"))
         near = apart.join(middle, "group").filter((F.col("c") != F.col("mc")) & (F.col("d") - F.col("md") <= 4 * F.col("t")))
