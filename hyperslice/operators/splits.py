@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import rules
@@ -14,9 +16,11 @@ def stratum_key(label: str, strength: str | None = None, default: str = "unknown
 
 
 def quota_targets(rows: DataFrame, stratum: str, train: float = 0.7, val: float = 0.1) -> DataFrame:
-    """A4, A5: rows of each stratum and its quotas; three or more rows leave at least one for val and test."""
+    """A4, A5: rows of each stratum and its quotas; three or more rows leave at least one for val and test. Shares are exact
+    decimals, so that halves round to even (45 * 0.7 is 31.5, but less than that in doubles)."""
     n = rows.groupBy(F.coalesce(F.expr(f"nullif({stratum}, '')"), F.lit("UNK")).alias("stratum")).agg(F.count("*").alias("n"))
-    n = n.withColumns({"a": F.bround(F.col("n") * train).cast("long"), "b": F.bround(F.col("n") * val).cast("long")})
+    share = lambda x: F.bround(F.col("n") * F.lit(Decimal(str(x)))).cast("long")
+    n = n.withColumns({"a": share(train), "b": share(val)})
     b = F.when((F.col("n") >= 3) & (F.col("b") < 1), 1).otherwise(F.col("b"))
     n = n.withColumn("b2", b).withColumn("a2", F.least("a", F.col("n") - F.col("b2")))
     short = (F.col("n") >= 3) & (F.col("n") - F.col("a2") - F.col("b2") < 1)
