@@ -3,7 +3,9 @@
 import random
 from collections import defaultdict
 
-from hyperslice.operators import hypergraph
+from pyspark.sql import functions as F
+
+from hyperslice.operators import hypergraph, models
 
 from test_subgraphs import search
 
@@ -47,3 +49,20 @@ def test_targets_of_one_hub(spark):
         got[x["target"]][x["epos"]] = (x["hid"], x["depth"])
     for target in {h for _, h in inc}:
         assert [got[target][i] for i in sorted(got[target])] == search(inc, target, *caps)[0]
+
+
+def test_attention_moves_rows_twice(spark):
+    """A sample's rows look up their hyperedge and go to their target; before, they moved once more, and again as values."""
+    sample = spark.range(40000).selectExpr("id % 1000 as target", "id % 1009 as hid").localCheckpoint()
+    inc = spark.range(4000).selectExpr("id % 7 as node_id", "id % 1009 as hid").distinct().localCheckpoint()
+    nodes = spark.range(7).selectExpr("id as node_id", "cast(id % 4 as int) as idx", "0.5D as val")
+    edges = spark.range(1009).selectExpr("id as hid", "cast(id % 4 as int) as idx", "1D as val")
+    _, since = records(spark, 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = models.propagate_attention(sample, inc, nodes, edges, 4).groupBy("target", "idx").agg(F.avg("val").alias("val"))
+        assert len(found.collect()) == 4000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved, _ = records(spark, since)
+    assert 0 < moved < 2.6 * 40000
