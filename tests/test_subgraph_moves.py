@@ -6,6 +6,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from hyperslice.operators import hypergraph, models
+from hyperslice.plans import queries
 
 from test_subgraphs import search
 
@@ -66,3 +67,17 @@ def test_attention_moves_rows_twice(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     moved, _ = records(spark, since)
     assert 0 < moved < 2.6 * 40000
+
+
+def test_mean_reads_its_tables_once_written(spark):
+    """The query's incidence table comes from lineitem once: its rows are dealt out by order for nodes and members, not for each use."""
+    d = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").count()
+    _, since = records(spark, 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert queries.propagate_mean(spark, d).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved, _ = records(spark, since)
+    assert 0 < moved < 14.8 * lines
