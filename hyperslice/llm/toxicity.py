@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -54,10 +55,14 @@ def _g(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
 def _together(rows: list[np.ndarray], toxic: np.ndarray, terms: np.ndarray) -> list[np.ndarray]:
     """In how many toxic rows, and in how many others, each pair of terms occurs together."""
     order = np.argsort(terms)
-    x = np.zeros((len(rows), len(terms)), np.float32)
-    for i, r in enumerate(rows):
-        x[i, order[np.isin(terms[order], r, assume_unique=True)]] = 1
-    return [(x[toxic == y].T @ x[toxic == y]).astype(np.float64) for y in (1, 0)]
+    found = []
+    for y in (1, 0):  # one class at a time, so that one matrix is held
+        own = np.flatnonzero(toxic == y)
+        x = np.zeros((len(own), len(terms)), np.float32)
+        for i, at in enumerate(own):
+            x[i, order[np.isin(terms[order], rows[at], assume_unique=True)]] = 1
+        found.append(x.T @ x)
+    return found
 
 
 def fit_sample(rows: list[np.ndarray], toxic: np.ndarray, prior: float, used: int = 2048, least: float = 20.0, factors: int = 8, epochs: int = 30, seed: int = 7, common: int = 1024, pairs: int = 256, least_pair: float = 40.0) -> Model:
@@ -68,19 +73,21 @@ def fit_sample(rows: list[np.ndarray], toxic: np.ndarray, prior: float, used: in
     n_pos, n_neg = int(toxic.sum()), int(len(toxic) - toxic.sum())
     if not n_pos or not n_neg:
         return Model(np.zeros(0, np.int64), -3.0 if not n_pos else 3.0, np.zeros(0), np.zeros((0, factors)))
-    held, side = np.concatenate(rows), np.repeat(toxic == 1, [len(r) for r in rows])
-    known, place = np.unique(held, return_inverse=True)  # only terms that occur: the driver holds no table of all slots
-    count = [np.bincount(place[side == s], minlength=len(known)) for s in (True, False)]
+    known = np.unique(np.concatenate(rows))  # only terms that occur: the driver holds no table of all slots
+    count = [np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)]
+    for r, y in zip(rows, toxic):  # a row's terms differ
+        count[0 if y == 1 else 1][np.searchsorted(known, r)] += 1
     seen = count[0] + count[1]
     gain = _g(count[0], count[1], n_pos, n_neg)
     best = np.argsort(-gain, kind="stable")[:used]
     often = np.argsort(-seen, kind="stable")[:common]
     both = _together(rows, toxic, known[often])
-    more = _g(both[0], both[1], n_pos, n_neg) - np.maximum(gain[often][:, None], gain[often][None, :])
     a, b = np.triu_indices(len(often), 1)
-    top = np.argsort(-more[a, b], kind="stable")[:pairs]
-    top = top[more[a, b][top] >= least_pair]
-    slots = np.unique(known[np.concatenate([best[gain[best] >= least], often[a[top]], often[b[top]]])])
+    more = np.concatenate([_g(both[0][a[i], b[i]].astype(np.float64), both[1][a[i], b[i]].astype(np.float64), n_pos, n_neg) for i in np.array_split(np.arange(len(a)), 16)])
+    more -= np.maximum(gain[often][a], gain[often][b])
+    top = np.argsort(-more, kind="stable")[:pairs]
+    top = top[more[top] >= least_pair]
+    slots = np.unique(known[np.concatenate([best[gain[best] >= least], often[a[top]], often[b[top]]])]).astype(np.int64)
     x = np.zeros((len(rows), len(slots)), np.float32)
     for i, r in enumerate(rows):
         x[i, np.flatnonzero(np.isin(slots, r, assume_unique=True))] = 1
@@ -119,13 +126,21 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, max_
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "toxic": frame["toxic"], "terms": [text_terms(t) for t in frame["text"]]})
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "toxic": frame["toxic"], "terms": [text_terms(t).astype(np.int32) for t in frame["text"]]})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     one = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # of rows that share an id, one
-    got = one.mapInPandas(run, "doc_id long, toxic int, terms array<long>").toPandas().sort_values("doc_id", kind="stable")
+    got = one.mapInPandas(run, "doc_id long, toxic int, terms array<int>").toArrow()
+    parts = [part for chunk in got.column("terms").chunks for part in _parts(chunk)]  # views of what was sent
+    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
     n = sum(size.values())
-    return fit_sample([np.asarray(t, np.int64) for t in got["terms"]], got["toxic"].to_numpy(np.float64), size.get(1, 0) / max(1, n))
+    return fit_sample([parts[i] for i in order], got.column("toxic").to_numpy()[order].astype(np.float64), size.get(1, 0) / max(1, n))
+
+
+def _parts(lists: pa.ListArray) -> list[np.ndarray]:
+    """The rows of lists as arrays that share their memory."""
+    flat, ends = lists.flatten().to_numpy(), np.cumsum(np.asarray(lists.value_lengths()))
+    return [flat[a:b] for a, b in zip(np.concatenate(([0], ends[:-1])), ends)]
 
 
 def score(model: Model) -> object:
