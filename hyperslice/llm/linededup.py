@@ -113,7 +113,7 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
     return both[0], both[1]
 
 
-def _part_keys(lines: list[str], lengths: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _part_keys(lines: list[str], lengths: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of lines(at): differences of one running sum over all letters, shifted to place 0, are the substrings' hashes."""
     ends = np.cumsum(lengths[at])
     code = np.frombuffer("".join([lines[i] for i in at]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -121,14 +121,16 @@ def _part_keys(lines: list[str], lengths: np.ndarray, at: np.ndarray) -> Iterato
     if len(code) > PART:  # a single line
         power, inverse = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(code), b, np.uint64)))) for b in (power[1], inverse[1]))
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((code + np.uint64(1)) * power[: len(code)])))
-    for length in np.unique(lengths[at]):
-        some = np.flatnonzero(lengths[at] == length)
-        start, end, seed, own = _plan_arrays(int(length))
-        place = (ends[some] - length)[:, None]
-        x = ((total[place + end] - total[place + start]) * inverse[place + start] ^ seed) * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-        x = (x ^ x >> np.uint64(32)) & ~np.uint64(1) | own
-        yield np.repeat(at[some], len(start)), x.ravel()
+    plans = [_plan_arrays(n) for n in lengths[at].tolist()]
+    start, end, seed, own = (np.concatenate(c) for c in zip(*plans, strict=True))
+    sizes = np.array([len(p[0]) for p in plans])
+    place = np.repeat(ends - lengths[at], sizes)
+    start += place
+    end += place
+    x = ((total[end] - total[start]) * inverse[start] ^ seed) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ x >> np.uint64(32)) & ~np.uint64(1) | own
+    return np.repeat(at, sizes), x
 
 
 def keys_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +144,7 @@ def keys_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         long = lengths[group] > PART // 2
         for some in [group[~long], *(group[i : i + 1] for i in np.flatnonzero(long))]:
             if len(some):
-                out += _part_keys(lines, lengths, some)
+                out.append(_part_keys(lines, lengths, some))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate([n for n, _ in out]), np.concatenate([x for _, x in out]).view(np.int64)
