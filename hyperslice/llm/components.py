@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize
+from .common import drop, materialize
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -28,5 +28,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        links = materialize(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        old, links = links, materialize(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        drop(old)
     raise RuntimeError(f"components are not settled after {max_rounds} rounds")

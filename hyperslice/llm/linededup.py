@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import materialize, slices, unused
+from .common import materialize, settled, slices, unused
 from .components import connected_components
 from .groups import connect
 
@@ -412,7 +412,7 @@ def repeated(docs: DataFrame, min_chars: int = 40) -> DataFrame:
     """
     lines = materialize(all_lines(docs.filter("doc_id is not null"), min_chars), "lines")
     places = lines.drop("line")
-    links = connected_components(similar_lines(lines.filter("line is not null").select("h", "line")))
+    links = settled(lambda: connected_components(similar_lines(lines.filter("line is not null").select("h", "line"))), "components")
     links = links.select(F.col("node").alias("h"), "component")
     roots = links.select(F.col("component").alias("h"), "component").distinct()
     # Lines are equal if all 128 bits are; only links go by the first half.
@@ -431,7 +431,7 @@ def dedup(docs: DataFrame, min_chars: int = 40) -> DataFrame:
     lines' numbers; each loses the lines found repeated under it. An empty table gives an empty table.
     """
     gone_, id_ = unused(docs, "gone"), unused(docs, "id")
-    gone = repeated(docs, min_chars).groupBy(F.col("doc_id").alias(id_)).agg(F.collect_set("line_no").alias(gone_))
+    gone = settled(lambda: repeated(docs, min_chars).groupBy(F.col("doc_id").alias(id_)).agg(F.collect_set("line_no").alias(gone_)), "gone")
     rows = docs.join(gone, F.col("doc_id").cast("long") == F.col(id_), "left")
     left = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(gone_, i)), "\n")
     rows = rows.withColumn("text", F.when(F.col(gone_).isNull(), F.col("text")).otherwise(left))
