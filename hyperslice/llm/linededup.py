@@ -223,17 +223,53 @@ def all_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, line_no int, h long, g long, line string")
 
 
-def _keyed(lines: DataFrame) -> DataFrame:
-    """lines(h, line) -> (h, key, own)."""
+def _met(lines: DataFrame) -> DataFrame:
+    """lines(h, line) -> (h, key, n, mine): keys at which n lines meet, different ones among them and one at least by an index
+    entry; mine is 1 for the lines that have one. Keys of many lines travel to a range of keys as one row of arrays; the
+    ranges hold about 20,000 lines' keys each."""
+    buckets = 1 + lines.count() // 20_000
+    longs = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1000):
-            h = batch.column(0).to_numpy()
-            no, key = keys_of(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(h[no]), pa.array(key)], names=["h", "value"])
-
-    rows = lines.select("h", "line").mapInArrow(run, "h long, value long")
-    return rows.select("h", F.expr("shiftright(value, 1)").alias("key"), F.col("value").bitwiseAND(1).alias("own"))
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            h, value = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.argsort(value.view(np.uint64))
+            h, value = h[order], value[order]
+            bucket = ((value.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            edges = np.concatenate((np.flatnonzero(np.diff(bucket, prepend=-1)), [len(bucket)]))
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[a : a + 1]), pa.array([h[a:b]], longs), pa.array([value[a:b]], longs)], names=["bucket", "h", "value"])
+
+        for batch in batches:
+            for some in slices([batch], 1000):
+                no, value = keys_of(some.column(1).to_pylist())
+                held.append((some.column(0).to_numpy()[no], value))
+                if sum(len(x) for _, x in held) >= 1_000_000:
+                    yield from flush()
+        if held:
+            yield from flush()
+
+    def meet(group: pa.Table) -> pa.Table:
+        h, value = (np.concatenate([np.zeros(0, np.int64), *(c.flatten().to_numpy() for c in group.column(x).chunks)]) for x in ("h", "value"))
+        order = np.argsort(value)  # index entries are the last of a key
+        h, value = h[order], value[order]
+        key = value >> 1
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        sizes = np.diff(np.append(first, len(key)))
+        kept = (np.minimum.reduceat(h, first) < np.maximum.reduceat(h, first)) & (value[first + sizes - 1] & 1 == 1)
+        at = np.flatnonzero(np.repeat(kept, sizes))
+        h, key, mine, n = h[at], key[at], value[at] & 1, np.repeat(sizes, sizes)[at]
+        order = np.lexsort((-mine, h, key))
+        h, key, mine, n = h[order], key[order], mine[order], n[order]
+        once = (np.diff(h, prepend=h[:1]) != 0) | (np.diff(key, prepend=key[:1]) != 0)
+        once[:1] = True
+        return pa.table({"h": h[once], "key": key[once], "n": n[once], "mine": mine[once]})
+
+    rows = lines.select("h", "line").mapInArrow(run, "bucket long, h array<bigint>, value array<bigint>")
+    return rows.groupBy("bucket").applyInArrow(meet, "h long, key long, n long, mine long")
 
 
 def counted(line: str) -> tuple[np.ndarray, np.ndarray]:
@@ -352,9 +388,7 @@ def _odds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def similar_lines(lines: DataFrame, pair_limit: int = 4) -> DataFrame:
     """lines(h, line) -> links (a, b) between the hashes of different lines, enough to connect all lines that are linked
     through pairs within the allowed edits."""
-    over = Window.partitionBy("key")
-    met = _keyed(lines).select("h", "key", F.col("own").alias("mine"), F.min("h").over(over).alias("lo"), F.max("h").over(over).alias("hi"), F.max("own").over(over).alias("own"), F.count("*").over(over).alias("n"))
-    met = materialize(met.filter("lo < hi and own = 1").groupBy("h", "key", "n").agg(F.max("mine").alias("mine")), "met")
+    met = materialize(_met(lines), "met")
     texts = lines.join(met.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
     texts = materialize(texts.mapInArrow(_odds, "h long, line string, " + ", ".join(f"{c} {'array<tinyint>' if c in ('counts', 'pairs') else 'long'}" for c in FILTERS)), "texts")
 
