@@ -208,7 +208,7 @@ def _looked_up(pairs: DataFrame, vocabulary: DataFrame, p: Column, b: Column) ->
     rest = vocabulary.filter("x >= 0")
     for key, name, value in (("w", "p", p), ("u", "b", b)):
         head = pairs.filter(F.col(key) < 0).withColumn(name, F.lit(None).cast("double"))
-        pairs = head.unionByName(pairs.filter(F.col(key) >= 0).join(rest.select(F.col("x").alias(key), value.cast("double").alias(name)), key))
+        pairs = head.unionByName(pairs.filter(F.col(key) >= 0).join(rest.select(F.col("x").alias(key), value.cast("double").alias(name)).hint("shuffle_hash"), key))
     return pairs
 
 
@@ -229,9 +229,9 @@ def _filled(part: pa.Table, heads: tuple[np.ndarray, np.ndarray]) -> list[np.nda
     return out
 
 
-def train(texts: DataFrame, head: int = 200_000, burn_in: int = 1, samples: int = 2) -> tuple[Model, np.ndarray, DataFrame, DataFrame]:
-    """The model's totals; its head words, sorted, with the texts' beginning; its vocabulary, of coded words; and all
-    pairs (u, w, c, t), t tables on average. Buckets hold about PER_BUCKET tokens."""
+def train(texts: DataFrame, head: int = 200_000, burn_in: int = 1, samples: int = 2) -> tuple[Model, np.ndarray, DataFrame, DataFrame, list[DataFrame]]:
+    """The model's totals; its head words, sorted, with the texts' beginning; its vocabulary, of coded words; all
+    pairs (u, w, c, t), t tables on average; and the written tables that these are in. Buckets hold about PER_BUCKET tokens."""
     spark = texts.sparkSession
     words = materialize(_counts(texts).groupBy("w").agg(F.sum("n").alias("n")), "words")
     size = words.agg(F.count("*").alias("v"), F.sum("n").alias("n"), F.sum(F.when(F.col("w") == int(END), F.col("n"))).alias("texts")).first()
@@ -277,6 +277,7 @@ def train(texts: DataFrame, head: int = 200_000, burn_in: int = 1, samples: int
 
     moved = pairs.filter("c > 1").select("u", "w", "c", F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("s"))
     vocabulary = seated(fixed, moved, (0, 0), -1)
+    drop(words)
     for number in range(burn_in + samples):
         totals = tuple(float(x or 0) for x in vocabulary.agg(F.sum("a"), F.sum("r")).first())
         p, b = model.parent(F.col("a"), F.col("r"), *totals), F.col("b")
@@ -296,7 +297,7 @@ def train(texts: DataFrame, head: int = 200_000, burn_in: int = 1, samples: int
         for table in old:
             drop(table)
     tables = moved.select("u", "w", "c", (F.col("s") / samples).alias("t"))
-    return model, known, vocabulary, pairs.filter("c = 1").select("u", "w", "c", F.lit(1.0).alias("t")).union(tables)
+    return model, known, vocabulary, pairs.filter("c = 1").select("u", "w", "c", F.lit(1.0).alias("t")).union(tables), [pairs, moved]
 
 
 def _top(rows: DataFrame, column: str, most: int) -> Column:
@@ -327,7 +328,7 @@ def score(docs: DataFrame, texts: DataFrame, head: int = 200_000, pair_head: int
 
 def _score(docs: DataFrame, texts: DataFrame, head: int, pair_head: int, **options: int) -> DataFrame:
     spark = docs.sparkSession
-    model, known, vocabulary, pairs = train(texts, head, **options)
+    model, known, vocabulary, pairs, tables_of = train(texts, head, **options)
     samples = options.get("samples", 2)
     buckets = buckets_of(model.n)
     start = -1 - int(np.searchsorted(known, START))
@@ -356,7 +357,7 @@ def _score(docs: DataFrame, texts: DataFrame, head: int, pair_head: int, **optio
             key, g = gain(part)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(g)], names=["key", "g"])
 
-    longs, floats, ints = pa.list_(pa.int64()), pa.list_(pa.float32()), pa.list_(pa.int32())
+    longs, floats, shorts = pa.list_(pa.int64()), pa.list_(pa.float32()), pa.list_(pa.int16())
 
     def packed(key: np.ndarray, n: np.ndarray, g: np.ndarray) -> Iterator[pa.RecordBatch]:
         for bucket, a, b in _ranges(key, buckets):
@@ -380,10 +381,12 @@ def _score(docs: DataFrame, texts: DataFrame, head: int, pair_head: int, **optio
     sent = spark.sparkContext.broadcast((known, np.log10((n + 1) / floor), f, top_key[order], top_g[order]))
     kind = "bucket int, keys array<bigint>, n array<bigint>, g array<float>"
     rest = _looked_up(pairs.filter(~top), vocabulary, parent, tables).select("u", "w", "c", "t", "p", "b").mapInArrow(pairs_out, kind)
-    rest = rest.union(vocabulary.filter("x >= 0").select("x", "n", value.alias("f")).mapInArrow(words_out, kind))
+    rest = materialize(rest.union(vocabulary.filter("x >= 0").select("x", "n", value.alias("f")).mapInArrow(words_out, kind)), "factors")
+    for written in (*tables_of, vocabulary):
+        drop(written)
     first = float(share[-1 - start])
     names = ["chunk", "bucket", "keys", "doc", "times", "ids", "tokens", "known", "base", "score"]
-    kinds = [pa.int64(), pa.int32(), longs, ints, ints, longs, longs, longs, pa.list_(pa.float64()), pa.list_(pa.float64())]
+    kinds = [pa.int64(), pa.int32(), longs, shorts, pa.list_(pa.int32()), longs, longs, longs, pa.list_(pa.float64()), pa.list_(pa.float64())]
 
     def row(*values: object) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
@@ -401,13 +404,13 @@ def _score(docs: DataFrame, texts: DataFrame, head: int, pair_head: int, **optio
             key, doc = key[order], doc[order]
             once = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))) if len(key) else np.zeros(0, np.int64)
             times = np.diff(np.append(once, len(key))).astype(np.int32)
-            key, doc = key[once], doc[once].astype(np.int32)
+            key, doc = key[once], doc[once].astype(np.int16)
             for bucket, a, b in _ranges(key, buckets):
                 yield row(chunk, bucket, key[a:b].view(np.int64), doc[a:b], times[a:b], None, None, None, None, None)
 
         for batch in batches:
             data, rids, ids = _encoded(batch.column(2)), batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), object)
-            for a, b in in_parts(data, 1 << 20):
+            for a, b in ((x, min(x + 8192, b)) for a, b in in_parts(data, 1 << 20) for x in range(a, b, 8192)):
                 if not held:
                     chunk, docs_held, tokens_held = int(rids[a]), 0, 0
                 words, sizes = tokens(data[a:b])
@@ -425,7 +428,7 @@ def _score(docs: DataFrame, texts: DataFrame, head: int, pair_head: int, **optio
                 key = np.concatenate([pair[~met], words[~hit] << SHIFT])
                 held.append((ids[a:b], sizes, key, np.concatenate([doc[~met], doc[~hit]]) + docs_held, k.astype(np.int64), s0, s1 + first))
                 docs_held, tokens_held = docs_held + size, tokens_held + len(words)
-                if tokens_held >= PER_CHUNK:
+                if tokens_held >= PER_CHUNK or docs_held >= 16384:  # numbers of texts are shorts
                     yield from flush()
                     held.clear()
         if held:
@@ -449,7 +452,7 @@ def _score(docs: DataFrame, texts: DataFrame, head: int, pair_head: int, **optio
                 count, value = np.where(met, n[at], 0), np.where(met, g[at], value)
             texts, place = np.unique(doc, return_inverse=True)
             sums = [np.bincount(place, times * v, len(texts)) for v in (count > 0, np.where(word, np.log10((count + 1) / floor), 0.0), value)]
-            values = [one.column("chunk")[0].as_py(), texts.astype(np.int32), None, None, sums[0].astype(np.int64), *sums[1:]]
+            values = [one.column("chunk")[0].as_py(), texts.astype(np.int16), None, None, sums[0].astype(np.int64), *sums[1:]]
             out.append(pa.table([pa.array([v], k) for v, k in zip(values, [kinds[0], kinds[3], *kinds[5:]], strict=True)], names=out[0].column_names))
         return pa.concat_tables(x.cast(pa.schema(list(zip(out[0].column_names, [kinds[0], kinds[3], *kinds[5:]], strict=True)))) for x in out)
 
@@ -463,7 +466,7 @@ def _score(docs: DataFrame, texts: DataFrame, head: int, pair_head: int, **optio
         return pa.table({"doc_id": ids, "n_tokens": sizes, "n_known": sums[0].round().astype(np.int64), "base_score": sums[1], "score": sums[2]})
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = rows.mapInArrow(run, "chunk long, bucket int, keys array<bigint>, doc array<int>, times array<int>, ids array<bigint>, tokens array<bigint>, known array<bigint>, base array<double>, score array<double>")
-    sums = parts.groupBy("bucket").cogroup(rest.groupBy("bucket")).applyInArrow(look_up, "chunk long, doc array<int>, ids array<bigint>, tokens array<bigint>, known array<bigint>, base array<double>, score array<double>")
+    parts = rows.mapInArrow(run, "chunk long, bucket int, keys array<bigint>, doc array<smallint>, times array<int>, ids array<bigint>, tokens array<bigint>, known array<bigint>, base array<double>, score array<double>")
+    sums = parts.groupBy("bucket").cogroup(rest.groupBy("bucket")).applyInArrow(look_up, "chunk long, doc array<smallint>, ids array<bigint>, tokens array<bigint>, known array<bigint>, base array<double>, score array<double>")
     by = sums.groupBy("chunk").applyInArrow(gather, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return by.select("doc_id", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
