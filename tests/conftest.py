@@ -11,3 +11,8 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+
+
+def pytest_collection_modifyitems(items):
+    """Tests that count what stages moved come first: Spark keeps the last 1,000 stages only, and they count from the first on."""
+    items.sort(key=lambda x: not hasattr(x.module, "records"))
